@@ -6,14 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from hyperloom.llm.fingerprint import op10_canonical_digest
+from hyperloom.llm.mixing import OP1_SQL, op1_source_mixing
 from hyperloom.llm.neardup import op4_minmax_near_dedup
+from hyperloom.llm.sharding import op3_flow_reshard
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_source_mixing": op1_source_mixing,
+        "op3_flow_reshard": op3_flow_reshard,
         "op4_minmax_near_dedup": op4_minmax_near_dedup,
+        "op10_canonical_digest": op10_canonical_digest,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_source_mixing": OP1_SQL}

@@ -7,8 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from hyperloom.llm.fingerprint import op10_canonical_digest
+from hyperloom.llm.lengths import op7_length_histogram
 from hyperloom.llm.mixing import OP1_SQL, op1_source_mixing
 from hyperloom.llm.neardup import op4_minmax_near_dedup
+from hyperloom.llm.scoring import op6_log_bloom_lm
+from hyperloom.llm.secrets import op9_token_efficiency
 from hyperloom.llm.sharding import op3_flow_reshard
 
 
@@ -17,6 +20,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_source_mixing": op1_source_mixing,
         "op3_flow_reshard": op3_flow_reshard,
         "op4_minmax_near_dedup": op4_minmax_near_dedup,
+        "op6_log_bloom_lm": op6_log_bloom_lm,
+        "op7_length_histogram": op7_length_histogram,
+        "op9_token_efficiency": op9_token_efficiency,
         "op10_canonical_digest": op10_canonical_digest,
     }
 

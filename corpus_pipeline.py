@@ -1,0 +1,69 @@
+"""From raw documents to sharded training data, in five stages.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame of what it keeps, with the columns of docs; the
+last one returns each document's place. Nulls and empty texts: a text without a letter has no language and goes
+in the first stage, so later stages see texts with letters; ids and sources may be null. An empty table passes
+through as an empty one. Extra columns pass through all stages but the last.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from hyperloom.llm import decontaminate, language, mixing, neardup, sharding
+from hyperloom.llm.common import cut, table, written
+
+#: Language scores below this say nothing: the texts are rejected.
+LEAST_LANGUAGE_SCORE = 0.3
+#: Ids of dropped documents that are broadcast at most (8 bytes each); beyond it, they are joined by a shuffle.
+BROADCAST_IDS = 1_000_000
+SHARDS = 8
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the documents that have a language; the network learns from those with a lang."""
+    return language.in_a_language(docs, *language.learn(docs, F.lit(True)), LEAST_LANGUAGE_SCORE)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document, the one of the smallest id, of each group with five-word shingles alike by 0.8."""
+    found = neardup.near_duplicates(docs, shingle=5, percent=80)
+    dropped = cut(found.where("not kept and doc_id is not null").select("doc_id").distinct())
+    return docs.join(F.broadcast(dropped) if dropped.count() <= BROADCAST_IDS else dropped, "doc_id", "left_anti").select(*docs.columns)
+
+
+def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the documents that hold no benchmark item."""
+    return decontaminate.decontaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeats and drops documents so that each source comes to its target."""
+    return mixing.emit(docs)
+
+
+def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Gives every row its shard and its slot there."""
+    return sharding.place(docs, SHARDS, sharding.by_source(SHARDS))[0]
+
+
+STAGES = [
+    ("language", identify_language),
+    ("near_dedup", drop_near_duplicates),
+    ("decontaminate", drop_benchmark_leaks),
+    ("mix", mix_sources),
+    ("shard", shard),
+]
+
+#: SQL expresses neither the network nor the signatures; tests hold each stage against a brute-force version.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for i, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if i + 1 < len(STAGES):
+            docs = written(docs)
+    return docs

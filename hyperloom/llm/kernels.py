@@ -65,12 +65,9 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[
             begin = end
 
 
-def words_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes of all words in order, offsets: document i has words offsets[i]:offsets[i + 1])."""
-    at, data = buffers(texts)
+def word_bounds(at: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(begins, ends) of all words, in bytes; a word ends with its text at the latest."""
     n = len(data)
-    if n == 0:
-        return np.zeros(0, U64), np.zeros(len(at), np.int64)
     inside = ~IS_SPACE[data]
     first = np.zeros(n + 1, bool)
     first[at] = True
@@ -78,7 +75,16 @@ def words_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     begins[1:] &= ~inside[:-1] | first[1:n]
     ends = inside.copy()
     ends[:-1] &= ~inside[1:] | first[1:n]
-    begins, ends = np.flatnonzero(begins), np.flatnonzero(ends) + 1
+    return np.flatnonzero(begins), np.flatnonzero(ends) + 1
+
+
+def words_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes of all words in order, offsets: document i has words offsets[i]:offsets[i + 1])."""
+    at, data = buffers(texts)
+    n = len(data)
+    if n == 0:
+        return np.zeros(0, U64), np.zeros(len(at), np.int64)
+    begins, ends = word_bounds(at, data)
     total = np.zeros(n + 1, U64)
     np.cumsum(BYTE_CODE[LOWER[data]] * powers(BASE, n), out=total[1:])
     hashes = (total[ends] - total[begins]) * powers(BASE_INVERSE, n)[begins]

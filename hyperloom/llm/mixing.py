@@ -50,32 +50,43 @@ def targets(sizes: DataFrame, weights: list[int], share: float, most: float) ->
     return used.select("source", "source_size", F.when(F.col("full"), F.col("cap")).otherwise(even).alias("target"))
 
 
-def mix(docs: DataFrame, weights: list[int] = (5, 2, 1), share: float = 1.5, most: float = 2.0) -> DataFrame:
-    """doc_id, source, size, key, source_size, target, copies for every row of docs."""
-    key = F.coalesce(F.col("doc_id").cast("string"), F.md5(F.coalesce("text", F.lit("")).cast("binary")))
-    light = cut(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), key.alias("key")))
+def _key() -> Column:
+    return F.coalesce(F.col("doc_id").cast("string"), F.md5(F.coalesce("text", F.lit("")).cast("binary")))
+
+
+def _copies(rows: DataFrame, rates: DataFrame, key: Column) -> DataFrame:
+    """rows with the columns of their source's rates and _copies. A source is joined null-safe."""
+    extra = (seeded(key, F.col("_seed")) < F.col("_fraction")).cast("long")
+    return rows.join(rates, rows["source"].eqNullSafe(rates["_source"])).withColumn("_copies", (F.floor("_rate") + extra).cast("long"))
+
+
+def rates(light: DataFrame, weights: list[int], share: float, most: float) -> DataFrame:
+    """_source, _size, _target, _rate, _fraction, _seed for each source of light (source, size, key)."""
     sizes = cut(light.groupBy("source").agg(F.sum("size").alias("source_size")))
     small = sizes.count() <= BROADCAST_SOURCES
     near = lambda df: F.broadcast(df) if small else df
-    wanted = cut(targets(sizes, list(weights), share, most).withColumn("rate", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)))
-    same = light["source"].eqNullSafe(F.col("own"))
-    whole = F.floor("rate")
-    drawn = light.join(near(wanted.withColumnRenamed("source", "own")), same).withColumn("fraction", F.col("rate") - whole)
-    sums = [F.sum(F.when(seeded(F.col("key"), F.lit(s)) < F.col("fraction"), F.col("size")).otherwise(0)).alias(f"s{s}") for s in range(SEEDS)]
-    off = lambda s: F.abs(F.col(f"s{s}") + F.col("source_size") * F.floor("rate") - F.col("target"))
+    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
+    wanted = cut(targets(sizes, weights, share, most).select(F.col("source").alias("_source"), F.col("source_size").alias("_size"), F.col("target").alias("_target"), rate.alias("_rate")))
+    wanted = wanted.withColumn("_fraction", F.col("_rate") - F.floor("_rate"))
+    drawn = light.join(near(wanted), light["source"].eqNullSafe(wanted["_source"]))
+    sums = [F.sum(F.when(seeded(F.col("key"), F.lit(s)) < F.col("_fraction"), F.col("size")).otherwise(0)).alias(f"s{s}") for s in range(SEEDS)]
+    off = lambda s: F.abs(F.col(f"s{s}") + F.col("_size") * F.floor("_rate") - F.col("_target"))
     best = F.array_min(F.array(*(F.struct(off(s).alias("off"), F.lit(s).alias("seed")) for s in range(SEEDS))))["seed"]
-    seeds = cut(drawn.groupBy("own", "source_size", "target", "rate", "fraction").agg(*sums).withColumn("seed", best).select("own", "source_size", "target", "rate", "fraction", "seed"))
-    extra = (seeded(F.col("key"), F.col("seed")) < F.col("fraction")).cast("long")
-    return light.join(near(seeds), same).select("doc_id", "source", "size", "key", "source_size", "target", (whole + extra).cast("long").alias("copies"))
+    return near(cut(drawn.groupBy(*wanted.columns).agg(*sums).withColumn("_seed", best).select(*wanted.columns, "_seed")))
+
+
+def mix(docs: DataFrame, weights: list[int] = (5, 2, 1), share: float = 1.5, most: float = 2.0) -> DataFrame:
+    """doc_id, source, size, source_size, target, copies for every row of docs."""
+    light = cut(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), _key().alias("key")))
+    mixed = _copies(light, rates(light, list(weights), share, most), F.col("key"))
+    return mixed.select("doc_id", "source", "size", F.col("_size").alias("source_size"), F.col("_target").alias("target"), F.col("_copies").alias("copies"))
 
 
 def emit(docs: DataFrame, weights: list[int] = (5, 2, 1), share: float = 1.5, most: float = 2.0) -> DataFrame:
-    """The mixed rows themselves: each row of docs as often as the mix takes it."""
-    plan = mix(docs, weights, share, most)
-    rates = cut(plan.select("key", "copies").distinct())
-    key = F.coalesce(F.col("doc_id").cast("string"), F.md5(F.coalesce("text", F.lit("")).cast("binary")))
-    joined = docs.withColumn("_key", key).join(rates.withColumnRenamed("key", "_key"), "_key")
-    return joined.withColumn("_copy", F.explode(F.expr("array_repeat(1, int(copies))"))).select(*docs.columns)
+    """The mixed rows themselves: each row of docs, all columns, as often as the mix takes it. Texts aren't shuffled."""
+    light = cut(docs.select("source", word_count(F.col("text")).alias("size"), _key().alias("key")))
+    mixed = _copies(docs, rates(light, list(weights), share, most), _key())
+    return mixed.withColumn("_copy", F.explode(F.expr("array_repeat(1, int(_copies))"))).select(*docs.columns)
 
 
 def op1_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,7 +23,7 @@ SHARDS = 8
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the documents that have a language; the network learns from those with a lang."""
-    return language.in_a_language(docs, *language.learn(docs, F.lit(True)), LEAST_LANGUAGE_SCORE)
+    return language.in_a_language(docs, language.learn(docs, F.lit(True))[0], LEAST_LANGUAGE_SCORE)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

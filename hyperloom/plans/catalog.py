@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from hyperloom.plans import documents, experiments, stream
+from hyperloom.plans.registry import ORACLE_SQL, QUERIES
+
 FLAGSHIP = "vsa_search_filtered"
+
+__all__ = ["FLAGSHIP", "ORACLE_SQL", "QUERIES", "documents", "experiments", "stream"]

@@ -59,13 +59,20 @@ NUMERIC = r"^([^0-9:=<>≤≥\s]+)\s*[:=]?\s*(<=|>=|[<>≤≥=])?\s*([-+]?\d*(?:
 NUMERIC_WORDS = NUMERIC.replace(r"≥\s]+)", r"≥]+?)")
 
 
+def bound(value: Column, use) -> Column:
+    """use(value) with the value computed once, also inside lambdas."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def numeric_property(value: Column | str, multiword_names: bool = False) -> Column:
     """struct(name, op, number, unit), null where the text isn't a numeric property."""
-    v, p = strip(value), F.lit(NUMERIC_WORDS if multiword_names else NUMERIC)
-    part = lambda i: F.regexp_extract(v, NUMERIC_WORDS if multiword_names else NUMERIC, i)
-    number = F.regexp_replace(part(3), ",", ".").try_cast("double")
-    op = F.when(part(2) == "<=", "≤").when(part(2) == ">=", "≥").otherwise(part(2))
-    return F.when(F.regexp_like(v, p) & number.isNotNull(), F.struct(strip(part(1)).alias("name"), op.alias("op"), number.alias("number"), strip(part(4)).alias("unit")))
+
+    def read(p: Column) -> Column:
+        number = F.replace(p[2], F.lit(","), F.lit(".")).try_cast("double")
+        op = F.when(p[1] == "<=", "≤").when(p[1] == ">=", "≥").otherwise(p[1])
+        return F.when((F.size(p) == 4) & number.isNotNull(), F.struct(strip(p[0]).alias("name"), op.alias("op"), number.alias("number"), strip(p[3]).alias("unit")))
+
+    return bound(F.split(F.regexp_replace(strip(value), NUMERIC_WORDS if multiword_names else NUMERIC, "$1\u0001$2\u0001$3\u0001$4"), "\u0001"), read)
 
 
 def property_range(name: Column, unit: Column) -> Column:
@@ -82,14 +89,17 @@ def property_range(name: Column, unit: Column) -> Column:
     return F.struct(F.lit(0.0).alias("low"), high.alias("high"))
 
 
-def property_position(value: Column | str) -> Column:
-    """Where a numeric property lies in its range, 0 to 1; inequalities stand for the middle of their half."""
-    n = numeric_property(value)
+def position_in_range(n: Column) -> Column:
+    """Where a parsed numeric property lies in its range, 0 to 1; inequalities stand for the middle of their half."""
     r = property_range(n["name"], n["unit"])
     number = F.when(n["op"].isin("<", "≤"), (r["low"] + n["number"]) / 2).when(n["op"].isin(">", "≥"), (n["number"] + r["high"]) / 2).otherwise(n["number"])
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), (number - r["low"]) / (r["high"] - r["low"])))
 
 
+def property_position(value: Column | str) -> Column:
+    return bound(numeric_property(value), position_in_range)
+
+
 def slug(filename: Column | str, longest: int = 32) -> Column:
     base = F.regexp_replace(F.regexp_extract(col(filename), r"([^/]*)$", 1), r"(?<=.)\.[^.]*$", "")
     clean = F.regexp_replace(F.regexp_replace(F.upper(base), r"[^A-Za-z0-9Ѐ-ӿ]+", "-"), r"^-+|-+$", "")

@@ -81,7 +81,10 @@ def encode_experiments(experiments: DataFrame, dim: int = vectors.FULL, semantic
     """id and the packed vector of each experiment: its role-filler bindings (Material and Process weigh 2) and its
     relations, permute(source) * type * target, whose endpoints resolve to the first entity of that value. Entities
     are columns of the row, so nothing is shuffled; `tasks` deals rows of few input files out to so many."""
-    place = lambda c: F.transform(c, lambda e: F.struct(e["type"].alias("type"), e["value"].alias("value"), text.entity_key(e["type"], e["value"]).alias("key"), F.lower(text.numeric_property(e["value"])["name"]).alias("base"), F.when(e["type"] == "Property", text.property_position(e["value"])).alias("position")))
+    def placed(e: Column) -> Column:
+        number = F.when(e["type"] == "Property", text.numeric_property(e["value"]))
+        key = text.entity_key(e["type"], e["value"])
+        return text.bound(number, lambda n: F.struct(e["type"].alias("type"), e["value"].alias("value"), key.alias("key"), F.lower(n["name"]).alias("base"), text.position_in_range(n).alias("position")))
 
     def run(batches):
         book, bound = vectors.Codebook(dim, semantic), {}
@@ -123,7 +126,7 @@ def encode_experiments(experiments: DataFrame, dim: int = vectors.FULL, semantic
             yield pd.DataFrame({"id": rows["id"], "hv": out})
 
     every = F.concat("input_entities", "process_entities", "output_entities")
-    rows = experiments.select("id", place(every).alias("every"), "relations")
+    rows = experiments.select("id", F.transform(every, placed).alias("every"), "relations")
     return (rows.repartition(tasks, "id") if tasks else rows).mapInPandas(run, "id string, hv binary")
 
 

@@ -1 +1,194 @@
-"""Queries."""
+"""Queries over documents, pages and conversations: text functions, chunks, ingestion."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from hyperloom.functions import text
+from hyperloom.operators import chunks, ingest
+from hyperloom.plans.adapter import table
+from hyperloom.plans.registry import query
+
+# Words of the tables' invented languages, in the places of the model's own word lists.
+HERE, ABROAD = ["des", "und", "les"], ["the", "and", "that"]
+OUTPUTS = ["tion", "heit"]
+
+
+@query(r"SELECT doc_id, lower(regexp_replace(trim(source || '  ' || lang, ' '), '\s+', ' ', 'g')) AS value, 'Material:' || lower(regexp_replace(source || '  ' || lang, '\s+', ' ', 'g')) AS key FROM documents")
+def entity_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    both = F.concat("source", F.lit("  "), "lang")
+    return table(spark, sf_dir, "documents").select("doc_id", text.normalize_value(both).alias("value"), text.entity_key(F.lit("Material"), both).alias("key"))
+
+
+@query("""WITH v AS (SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'pH < ' WHEN 1 THEN 'temp: ' WHEN 2 THEN 'density ≥ ' ELSE 'yield >= ' END AS head, CASE event_id % 4 WHEN 0 THEN '<' WHEN 1 THEN '' ELSE '≥' END AS op, CAST(round(value * 100) AS BIGINT) AS c FROM events),
+ n AS (SELECT event_id, op, c // 100 + (c % 100) / 100e0 AS number, CASE event_id % 4 WHEN 0 THEN 14e0 WHEN 1 THEN 1200e0 ELSE 1000e0 END AS high FROM v)
+ SELECT event_id, op, round(number, 2) AS number, round(greatest(0e0, least(1e0, CASE WHEN op = '<' THEN number / 2 WHEN op = '≥' THEN (number + high) / 2 ELSE number END / high)), 6) AS position FROM n""")
+def numeric_property_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cents = F.round(F.col("value") * 100).cast("long")
+    number = F.concat(F.floor(cents / 100).cast("string"), F.lit(","), F.lpad((cents % 100).cast("string"), 2, "0"), F.lit(" u"))
+    head = F.element_at(F.array(*map(F.lit, ("pH < ", "temp: ", "density ≥ ", "yield >= "))), (F.col("event_id") % 4 + 1).cast("int"))
+    rows = table(spark, sf_dir, "events").select("event_id", F.concat(head, number).alias("v")).withColumn("n", text.numeric_property("v"))
+    return rows.select("event_id", "n.op", F.round("n.number", 2).alias("number"), F.round(text.position_in_range(F.col("n")), 6).alias("position"))
+
+
+@query(r"SELECT page_id, rtrim(substr(CASE WHEN s = '' THEN 'DOC' ELSE s END, 1, 32), '-') AS slug FROM (SELECT page_id, trim(regexp_replace(upper(regexp_replace(regexp_extract(url, '([^/]*)$', 1), '(.)\.[^.]*$', '\1')), '[^A-Za-z0-9Ѐ-ӿ]+', '-', 'g'), '-') AS s FROM pages)")
+def slug(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", text.slug("url").alias("slug"))
+
+
+@query("SELECT event_id, upper(event_type) || '-' || CASE WHEN user_id < 10 THEN '0' ELSE '' END || user_id || '-2024' AS code FROM events")
+def document_code(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = F.concat(F.col("event_type"), F.lit(" – "), F.col("user_id").cast("string"), F.lit(" - 2024"))
+    return table(spark, sf_dir, "events").select("event_id", text.normalize_code(raw).alias("code"))
+
+
+_HITS = lambda words: " + ".join(f"CASE WHEN contains(lower(text || ' ' || source), '{w}') THEN 1 ELSE 0 END" for w in words)
+
+
+@query(f"SELECT doc_id, CASE WHEN {_HITS(HERE)} > {_HITS(ABROAD)} THEN 'RU' ELSE 'Global' END AS geography FROM documents")
+def geography_guess(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", text.guess_geography("text", "source", HERE, ABROAD).alias("geography"))
+
+
+@query(r"""WITH b AS (SELECT doc_id, regexp_replace(text, '^\s+|\s+$', '', 'g') AS b FROM documents), l AS (SELECT doc_id, b, list_filter(list_transform(string_split_regex(b, '\r?\n'), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: length(x) > 2) AS l FROM b),
+ k AS (SELECT *, CASE WHEN len(l) > 0 THEN array_to_string(l, chr(10)) ELSE b END AS k FROM l)
+ SELECT doc_id, CASE WHEN length(b) < 50 THEN 'too_short' WHEN regexp_full_match(k, '[\d.,\s\-–—]+') THEN 'slide_number' WHEN len(regexp_extract_all(k, '[A-Za-zА-Яа-яЁё0-9]{2,}')) < 4 THEN 'too_few_tokens'
+ WHEN length(k) < 180 AND NOT regexp_matches(k, '(?i)(pH|°C|ore|anode|slag|nickel|copper|filter|furnace|cathode|leaching|smelting|electrolyte|electrowinning)') AND NOT regexp_matches(k, '(?i)\d+([.,]\d+)?\s*(°C|К|мг/л|г/л|%|МПа|HB|А/м)') THEN 'low_domain_signal' END AS reason FROM k""")
+def low_signal_reason(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", text.low_signal_reason("text").alias("reason"))
+
+
+@query(r"SELECT doc_id, regexp_matches(text, '(?i)(^|[^\pL\pN_])(U|Pu|UF6|уран|плутоний|plutonium|uranium)($|[^\pL\pN_])') AS sensitive FROM documents")
+def sensitive_flag(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", text.is_sensitive("text").alias("sensitive"))
+
+
+@query(r"""WITH t AS (SELECT doc_id, (CASE doc_id % 3 WHEN 0 THEN 'import os' || chr(10) || 'def f(x):' || chr(10) WHEN 1 THEN 'class A: x = {};' || chr(10) ELSE '' END) || text AS t FROM documents),
+ c AS (SELECT doc_id, t, len(regexp_extract_all(t, '(?i)(?:^|\n)\s*(?:import\s+\w+|from\s+\w+\s+import|def\s+\w+\s*\(|class\s+\w+\s*[:\(]|function\s+\w+\s*\(|console\.log|#!/usr/bin|package\s+\w+)')) AS words,
+ len(regexp_extract_all(t, '[{};=<>]|::|->|=>')) AS marks FROM t)
+ SELECT doc_id, words >= 2 OR (words >= 1 AND marks > 0) AS code FROM c""")
+def code_like(spark: SparkSession, sf_dir: str) -> DataFrame:
+    head = F.when(F.col("doc_id") % 3 == 0, "import os\ndef f(x):\n").when(F.col("doc_id") % 3 == 1, "class A: x = {};\n").otherwise("")
+    return table(spark, sf_dir, "documents").select("doc_id", text.is_code_like(F.concat(head, "text")).alias("code"))
+
+
+@query(f"""SELECT role, count(*) AS words FROM (SELECT CASE WHEN doc_id % 5 IN (1, 2) THEN 'process' WHEN doc_id % 5 = 4 THEN 'input' WHEN contains(lower(w), '{OUTPUTS[0]}') OR contains(lower(w), '{OUTPUTS[1]}') THEN 'output' ELSE 'input' END AS role
+ FROM (SELECT doc_id, unnest(string_split(text, ' ')) AS w FROM documents) WHERE w <> '' AND trim(w, chr(10)) <> '') GROUP BY role""")
+def role_classification(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.split("text", " ")).alias("w")).where(text.strip("w") != "")
+    kind = F.element_at(F.array(*map(F.lit, ("Material", "Process", "Equipment", "Property", "Expert"))), (F.col("doc_id") % 5 + 1).cast("int"))
+    return words.groupBy(text.entity_role(kind, "w", OUTPUTS, OUTPUTS).alias("role")).agg(F.count("*").alias("words"))
+
+
+@query(r"""WITH t AS (SELECT event_id, 'at ' || user_id || ' °C and pH ' || (user_id % 14) || ', load ' || user_id || ' А/м² gives ' || (user_id % 100) || ' % or > ' || user_id || ' мг/л' AS t, user_id FROM events)
+ SELECT event_id, concat_ws('|', user_id || ' °C', 'pH ' || (user_id % 14), user_id || ' А/м²', (user_id % 100) || ' %', user_id || ' мг/л', '> ' || user_id || ' мг/л') AS mentions FROM t""")
+def numeric_enrichment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    u = F.col("user_id").cast("string")
+    t = F.concat(F.lit("at "), u, F.lit(" °C and pH "), (F.col("user_id") % 14).cast("string"), F.lit(", load "), u, F.lit(" А/м² gives "), (F.col("user_id") % 100).cast("string"), F.lit(" % or > "), u, F.lit(" мг/л"))
+    return table(spark, sf_dir, "events").select("event_id", F.array_join(text.numeric_mentions(t), "|").alias("mentions"))
+
+
+@query(r"""SELECT doc_id, length(r) AS n_after, len(regexp_extract_all(r, '\[REDACTED\]')) AS marks FROM (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(text, 'sk-[A-Za-z0-9]{20,}', '[REDACTED]', 'g'), '(?i)api[_-]?key', '[REDACTED]', 'g'), '(?i)Bearer\s+[A-Za-z0-9._-]+', '[REDACTED]', 'g') AS r FROM documents)""")
+def redaction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "documents").select("doc_id", text.redact("text").alias("r"))
+    return rows.select("doc_id", F.length("r").cast("long").alias("n_after"), F.regexp_count("r", F.lit(r"\[REDACTED\]")).cast("long").alias("marks"))
+
+
+@query("""SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, CASE event_type WHEN 'click' THEN 'located_at' WHEN 'view' THEN 'uses_material' WHEN 'error' THEN 'contradicts' END AS relation FROM events""")
+def json_repair_relation_alias(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "events").select("event_id", "event_type", F.concat(F.lit("Sure:\n```json\n"), F.regexp_replace("props", r"\}$", ",}"), F.lit("\n```")).alias("answer"))
+    name = F.when(F.col("event_type") == "click", "Located in").when(F.col("event_type") == "view", " used-with ").when(F.col("event_type") == "error", "CONTRADICTS").otherwise(F.col("event_type"))
+    return rows.select("event_id", F.get_json_object(text.repair_json("answer"), "$.k").cast("long").alias("k"), text.relation_type(name).alias("relation"))
+
+
+@query("""WITH p AS (SELECT event_id, event_type, user_id % 3 AS kind FROM events)
+ SELECT event_id, CASE kind WHEN 0 THEN 2 ELSE 0 END AS entities, CASE kind WHEN 2 THEN 0 ELSE 2 END AS dropped, CASE kind WHEN 1 THEN 'tolerant_drop_all' WHEN 2 THEN 'parse_error' END AS failure FROM p""")
+def payload_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    good = F.concat(F.lit('{"entities":[{"type":"material","value":"'), "event_type", F.lit('"},{"type":"PROCESS","value":"x"},{"type":"Ghost","value":"y"}],"relations":[{"source":"a","type":"nonsense","target":"b"}]}'))
+    bad = F.lit('{"entities":[{"type":"Ghost","value":"y"},{"type":"Material","value":" "}]}')
+    kind = F.col("user_id") % 3
+    rows = table(spark, sf_dir, "events").select("event_id", F.when(kind == 0, good).when(kind == 1, bad).otherwise(F.lit("no json")).alias("payload"))
+    return ingest.parse_payload(rows).select("event_id", F.size("entities").alias("entities"), "dropped", "failure")
+
+
+@query("""WITH b AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS body, unnest(range(len(string_split(text, chr(10))))) AS pos FROM documents)
+ SELECT CASE WHEN contains(body, '|') THEN 'table' ELSE 'text' END AS kind, count(*) AS blocks, CAST(sum(length(body)) AS BIGINT) AS chars FROM b WHERE trim(body, ' ' || chr(9) || chr(13)) <> '' GROUP BY kind""")
+def text_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunks.blocks_of_text(table(spark, sf_dir, "documents")).groupBy("kind").agg(F.count("*").alias("blocks"), F.sum(F.length("body")).alias("chars"))
+
+
+@query()
+def page_text_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunks.section_paths(chunks.blocks_of_html(table(spark, sf_dir, "pages")), "page_id").select("page_id", "pos", "kind", "body", F.array_join("section_path", " / ").alias("section"))
+
+
+@query("""WITH RECURSIVE l AS (SELECT doc_id, list_transform(string_split(text, chr(10)), lambda x: length(x)) AS n FROM documents),
+ r(doc_id, i, part, used) AS (SELECT doc_id, 1, 0, n[1] FROM l UNION ALL SELECT r.doc_id, i + 1, CASE WHEN used + n[i + 1] + 1 > 600 THEN part + 1 ELSE part END, CASE WHEN used + n[i + 1] + 1 > 600 THEN n[i + 1] ELSE used + n[i + 1] + 1 END FROM r JOIN l USING (doc_id) WHERE i < len(n))
+ SELECT doc_id, CAST(max(part) + 1 AS BIGINT) AS parts, CAST(max(used) AS BIGINT) AS longest_end FROM r GROUP BY doc_id""")
+def chunk_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lengths = F.transform(F.split("text", "\n"), F.length)
+    rows = table(spark, sf_dir, "documents").select("doc_id", lengths.alias("n"), chunks.packed(lengths, 600).alias("parts")).select("doc_id", "parts", F.explode(F.arrays_zip("n", F.col("parts").alias("p"))).alias("z"), F.monotonically_increasing_id().alias("row"))
+    return _pack_ends(rows)
+
+
+def _pack_ends(rows: DataFrame) -> DataFrame:
+    """The number of parts, and the fullest that a part was while it was filled."""
+    per = rows.groupBy("doc_id", F.col("z.p").alias("p")).agg((F.sum(F.col("z.n") + 1) - 1).alias("used"))
+    return per.groupBy("doc_id").agg((F.max("p") + 1).cast("long").alias("parts"), F.max("used").cast("long").alias("longest_end"))
+
+
+@query()
+def document_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    blocks = chunks.blocks_of_text(table(spark, sf_dir, "documents"))
+    rows = blocks.select("doc_id", "pos", "kind", F.lit(None).cast("int").alias("level"), "body", F.when(F.col("kind") == "table", F.array(F.split("body", r"\s*\|\s*"))).alias("rows"))
+    return chunks.chunks(rows).select("doc_id", "index", "section", "content_type", "source_block", "table_part", F.sha2(F.col("text").cast("binary"), 256).alias("digest"))
+
+
+@query(r"""WITH v AS (SELECT DISTINCT lower(string_split_regex(text, '\s+')[1] || ' ' || string_split_regex(text, '\s+')[2]) AS value FROM benchmark WHERE len(string_split_regex(text, '\s+')) > 1),
+ d AS (SELECT doc_id, ' ' || lower(regexp_replace(regexp_replace(text, '^\s+|\s+$', '', 'g'), '\s+', ' ', 'g')) || ' ' AS t FROM documents) SELECT doc_id, value FROM d JOIN v ON contains(t, ' ' || value || ' ')""")
+def vocab_text_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = F.split("text", r"\s+")
+    values = table(spark, sf_dir, "benchmark").where(F.size(words) > 1).select(F.concat_ws(" ", words[0], words[1]).alias("value"))
+    return ingest.match_vocabulary(table(spark, sf_dir, "documents"), values, "doc_id", "text")
+
+
+@query("SELECT doc_id, source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
+def ingest_idempotent_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ingest.new_rows(table(spark, sf_dir, "documents").select("doc_id", "source"), table(spark, sf_dir, "labels"), "doc_id")
+
+
+@query("""SELECT doc_id, CASE WHEN toxic = 1 THEN d.n_chars ELSE coalesce(CAST(quality AS BIGINT), d.n_chars) END AS value, CASE WHEN toxic = 1 THEN 'restored' WHEN quality IS NULL THEN 'skipped' ELSE 'ok' END AS status FROM documents d LEFT JOIN labels USING (doc_id)""")
+def relabel_restore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    old = table(spark, sf_dir, "documents").select("doc_id", F.col("n_chars").alias("value"))
+    new = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").cast("long").alias("value"), (F.col("toxic") == 1).alias("failed"))
+    return ingest.relabel(old, new, "doc_id", "value", "failed")
+
+
+@query("""WITH s AS (SELECT unnest(['ok', 'skipped', 'restored', 'validation_failed', 'moderation', 'empty', 'graph_sync_failed', 'graph_sync_deferred']) AS status),
+ o AS (SELECT CASE role WHEN 'user' THEN 'ok' WHEN 'assistant' THEN 'skipped' ELSE 'unknown' END AS status FROM conversations) SELECT s.status, count(o.status) AS chunks FROM s LEFT JOIN o USING (status) GROUP BY s.status""")
+def outcome_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    status = F.when(F.col("role") == "user", "ok").when(F.col("role") == "assistant", "skipped").otherwise("unknown")
+    return ingest.outcome_counts(table(spark, sf_dir, "conversations").select(status.alias("status")))
+
+
+@query(r"SELECT doc_id, regexp_replace(substr(t, 1, 240), '', '') || CASE WHEN length(t) > 240 THEN '...' ELSE '' END AS preview FROM (SELECT doc_id, regexp_replace(regexp_replace(text, '^\s+|\s+$', '', 'g'), '\s*\n\s*', ' ', 'g') AS t FROM documents)")
+def text_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", text.preview("text").alias("preview"))
+
+
+@query(r"""SELECT conv_id, turn, len(list_filter(['onatth', 'thereas', 'eauxtions'], lambda w: contains(t, w) OR contains(t, left(w, greatest(5, length(w) - 5))))) AS hits FROM (SELECT conv_id, turn, lower(regexp_replace(regexp_replace(text, '^\s+|\s+$', '', 'g'), '\s+', ' ', 'g')) AS t FROM conversations)""")
+def answer_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hits = sum((text.keyword_in_answer(F.col("text"), F.lit(w)).cast("long") for w in ("onatth", "thereas", "eauxtions")), F.lit(0).cast("long"))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", hits.alias("hits"))
+
+
+@query()
+def ingest_experiments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    own = docs.select(F.format_string("EXP-%s-%s-%02d", text.slug("source"), F.lit("cn_v1"), F.col("doc_id")).alias("id"), F.col("source").alias("filename"), "text", text.document_year("source", "text").alias("year"), F.array("lang").alias("experts"))
+    known = table(spark, sf_dir, "labels").where("toxic = 1").join(docs.select("doc_id", "source"), "doc_id").select(F.format_string("EXP-%s-%s-%02d", text.slug("source"), F.lit("cn_v1"), F.col("doc_id")).alias("id"))
+    made = ingest.process_chunks(own, known)
+    return made.select("id", "geography", "year", "is_sensitive", "status", F.size("input_entities").alias("inputs"), F.size("output_entities").alias("outputs"))
+
+

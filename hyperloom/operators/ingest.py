@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -88,13 +89,20 @@ def process_chunks(chunks: DataFrame, known: DataFrame, extractor: Callable[[Col
     return made
 
 
-def match_vocabulary(texts: DataFrame, vocabulary: DataFrame, id_: str, column: str, most: int = 10_000) -> DataFrame:
-    """id, value for each vocabulary value of one or more words that a text holds as whole words, in order.
+def _run(n: int) -> Callable[[Column], Column]:
+    return lambda i: F.concat_ws(" ", F.slice("_w", i, F.lit(n)))
 
-    The values' first words meet the texts' distinct words in an equi-join; what follows is compared where they met.
-    So work goes with the texts' size, not with texts times values."""
-    words = F.array_distinct(F.split(text.normalize_value(column), " "))
-    own = texts.select(id_, text.normalize_value(column).alias("_t"), F.explode(words).alias("_w"))
-    values = vocabulary.select(text.normalize_value("value").alias("value")).where("value <> ''").distinct().withColumn("_w", F.split("value", " ")[0])
-    met = own.join(values, "_w").where(F.contains(F.concat(F.lit(" "), "_t", F.lit(" ")), F.concat(F.lit(" "), "value", F.lit(" "))))
-    return met.select(id_, "value").distinct()
+
+def match_vocabulary(texts: DataFrame, vocabulary: DataFrame, id_: str, column: str) -> DataFrame:
+    """id, value for each vocabulary value that a text holds as whole words in order.
+
+    Texts' distinct runs of as many words as values have meet the values in equi-joins, so work goes with the texts'
+    size and not with texts times values, and no row carries a text."""
+    values = vocabulary.select(text.normalize_value("value").alias("value")).where("value <> ''").distinct().withColumn("_n", F.size(F.split("value", " ")))
+    words = F.split(text.normalize_value(column), " ")
+    own = texts.select(id_, words.alias("_w"))
+    parts = []
+    for n in sorted(r[0] for r in values.select("_n").distinct().collect()):
+        runs = F.transform(F.sequence(F.lit(1), F.size("_w") - n + 1), _run(n)) if n > 1 else F.col("_w")
+        parts.append(own.where(F.size("_w") >= n).select(id_, F.explode(F.array_distinct(runs)).alias("value")).join(values.where(F.col("_n") == n).select("value"), "value"))
+    return reduce(DataFrame.unionByName, parts).select(id_, "value") if parts else texts.select(id_, F.lit("").alias("value")).limit(0)

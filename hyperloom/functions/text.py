@@ -56,7 +56,8 @@ def is_semantic_key(key: Column | str) -> Column:
 
 #: name, optional separator, optional operator, number, unit. `<=` and `>=` are read as `≤` and `≥`.
 NUMERIC = r"^([^0-9:=<>≤≥\s]+)\s*[:=]?\s*(<=|>=|[<>≤≥=])?\s*([-+]?\d*(?:[.,]\d+)?)\s*([\s\S]*)$"
-NUMERIC_WORDS = NUMERIC.replace(r"≥\s]+)", r"≥]+?)")
+#: The same for names of several words, which end before a separator, an operator or a digit.
+NUMERIC_WORDS = NUMERIC.replace(r"≥\s]+)", r"≥]+?)(?=\s*[:=<>≤≥0-9])")
 
 
 def bound(value: Column, use) -> Column:

@@ -87,7 +87,8 @@ def encode_experiments(experiments: DataFrame, dim: int = vectors.FULL, semantic
         return text.bound(number, lambda n: F.struct(e["type"].alias("type"), e["value"].alias("value"), key.alias("key"), F.lower(n["name"]).alias("base"), text.position_in_range(n).alias("position")))
 
     def run(batches):
-        book, bound = vectors.Codebook(dim, semantic), {}
+        # Experiments share what breaks their ties, so that it doesn't set like ones apart.
+        book, bound, even = vectors.Codebook(dim, semantic), {}, vectors.tie("experiments", dim)
 
         def filler(e: dict):
             if e["position"] is not None:
@@ -122,7 +123,7 @@ def encode_experiments(experiments: DataFrame, dim: int = vectors.FULL, semantic
                         n += 1
                 if not n:
                     total += vectors.generate(f"empty|{id_}", dim)
-                out.append(vectors.pack(np.where(total == 0, vectors.tie(id_, dim), total) if (total == 0).any() else total))
+                out.append(vectors.pack(np.where(total == 0, even, total)))
             yield pd.DataFrame({"id": rows["id"], "hv": out})
 
     every = F.concat("input_entities", "process_entities", "output_entities")

@@ -120,10 +120,10 @@ def affected(flow: dict[tuple[int, int], int]) -> list[int]:
 
 
 def rewrite(docs: DataFrame, placed: DataFrame, flow: dict[tuple[int, int], int], folder: str) -> None:
-    """Write the affected shards' documents to folder/shard=N; docs must have unique doc_ids."""
-    shards = placed.where(F.col("shard").isin(affected(flow))).select("doc_id", "shard", "slot")
-    rows = docs.join(shards, "doc_id").repartition("shard", F.floor(F.col("slot") / 100_000))
-    rows.drop("slot").write.option("partitionOverwriteMode", "dynamic").partitionBy("shard").mode("overwrite").parquet(folder)
+    """Write the affected shards' documents to folder/new_shard=N; docs must have unique doc_ids."""
+    shards = placed.where(F.col("shard").isin(affected(flow))).select("doc_id", F.col("shard").alias("new_shard"), F.floor(F.col("slot") / 100_000).alias("_part"))
+    rows = docs.join(shards, "doc_id").repartition("new_shard", "_part").drop("_part")
+    rows.write.option("partitionOverwriteMode", "dynamic").partitionBy("new_shard").mode("overwrite").parquet(folder)
 
 
 def by_source(shards: int) -> Column:

@@ -42,6 +42,12 @@ LINES_SQL = """x AS (
     JOIN nation cn ON c_nationkey = cn.n_nationkey JOIN region cr ON cn.n_regionkey = cr.r_regionkey)"""
 
 
+def spread(rows: DataFrame, read: DataFrame) -> DataFrame:
+    """rows dealt out by id if they come from fewer files than there are cores; tables of many files stay as they are."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores, "id") if len(read.inputFiles()) < cores else rows
+
+
 def _entity(kind: str, value: Column) -> Column:
     return F.struct(F.lit(kind).alias("type"), value.alias("value"))
 
@@ -50,7 +56,7 @@ def experiments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The hyperedges themselves, in the model's columns."""
     text = lambda name: F.concat(F.lit(f"{name}: "), F.col(name).cast("string"))
     relation = lambda s, kind, t: F.struct(F.col(s).alias("source"), F.lit(kind).alias("type"), F.col(t).alias("target"))
-    return lines(spark, sf_dir).select(
+    return spread(lines(spark, sf_dir), table(spark, sf_dir, "lineitem")).select(
         "id", F.lit(0).cast("long").alias("ord"), F.col("id").alias("name"),
         F.array(_entity("Material", F.col("material")), _entity("Facility", F.col("facility")), _entity("Property", text("quantity")), _entity("Property", text("discount"))).alias("input_entities"),
         F.array(_entity("Process", F.col("process")), _entity("Equipment", F.concat(F.lit("band "), F.floor(F.col("size") / 10).cast("string")))).alias("process_entities"),

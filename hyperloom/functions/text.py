@@ -18,13 +18,23 @@ def col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+#: White space other than the space itself.
+WHITE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
 def strip(c: Column | str) -> Column:
-    return F.regexp_replace(col(c), r"(?U)^\s+|\s+$", "")
+    return F.trim(col(c), F.lit(" " + WHITE))
+
+
+def single_spaces(c: Column) -> Column:
+    """White space runs as one space; a pattern runs only over texts that have runs."""
+    spaced = F.translate(c, WHITE, " " * len(WHITE))
+    return F.when(F.contains(spaced, F.lit("  ")), F.regexp_replace(spaced, " +", " ")).otherwise(spaced)
 
 
 def normalize_value(c: Column | str) -> Column:
     """Stripped, lower case, white space as single spaces."""
-    return F.lower(F.regexp_replace(strip(c), r"(?U)\s+", " "))
+    return F.lower(single_spaces(strip(c)))
 
 
 def entity_key(kind: Column | str, value: Column | str) -> Column:
@@ -142,7 +152,7 @@ def heading_level(style: Column | str, text: Column | str) -> Column:
 
 def table_rows(rows: Column | str) -> Column:
     """array<array<string>> as lines `| a | b |`."""
-    cell = lambda c: F.regexp_replace(strip(F.coalesce(c, F.lit(""))), r"(?U)\s+", " ")
+    cell = lambda c: single_spaces(strip(F.coalesce(c, F.lit(""))))
     return F.array_join(F.transform(col(rows), lambda r: F.concat(F.lit("| "), F.array_join(F.transform(r, cell), " | "), F.lit(" |"))), "\n")
 
 

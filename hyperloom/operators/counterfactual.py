@@ -14,11 +14,12 @@ def leave_one_out(experiments: DataFrame) -> DataFrame:
 
     Two experiments with sets of equal size that differ in one element each share (type, rest) with different keys;
     so the comparison of all pairs becomes an equi-join."""
-    keyed = F.array_sort(F.array_distinct(F.transform("input_entities", lambda e: F.struct(text.entity_key(e["type"], e["value"]).alias("key"), e["type"].alias("type"), e["value"].alias("value")))))
-    rows = experiments.select("id", keyed.alias("inputs")).withColumn("keys", F.array_distinct(F.transform("inputs", lambda e: e["key"])))
-    one = rows.select("id", "keys", F.explode("inputs").alias("e"))
-    rest = F.sha2(F.array_join(F.array_remove(F.col("keys"), F.col("e.key")), "\u0001").cast("binary"), 256)
-    return one.groupBy("id", F.col("e.key").alias("key")).agg(F.first("e.type").alias("type"), F.max("e.value").alias("value"), F.first(rest).alias("rest"))
+    keyed = F.array_sort(F.transform("input_entities", lambda e: F.struct(text.entity_key(e["type"], e["value"]).alias("key"), e["type"].alias("type"), e["value"].alias("value"))))
+    rows = experiments.select("id", keyed.alias("inputs")).withColumn("keys", F.transform("inputs", lambda e: e["key"]))
+    distinct = F.filter("inputs", lambda e, i: F.array_position(F.col("keys"), e["key"]) == i + 1)
+    one = rows.select("id", F.array_distinct("keys").alias("own"), F.explode(distinct).alias("e"))
+    rest = F.md5(F.array_join(F.array_remove(F.col("own"), F.col("e.key")), "\u0001").cast("binary"))
+    return one.select("id", F.col("e.key").alias("key"), F.col("e.type").alias("type"), F.col("e.value").alias("value"), rest.alias("rest"))
 
 
 def all_pairs(experiments: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -155,6 +157,47 @@ def search(encoded: DataFrame, experiments: DataFrame, query: DataFrame, limit:
     return top_k(hits, limit)
 
 
+def nearest(rows: DataFrame, queries: DataFrame, k: int, block: int = 4096) -> DataFrame:
+    """query, vec_id, similarity: the k rows (vec_id, embedding) of the largest cosine for each query, itself left out.
+
+    Queries come in blocks of bounded size, one pass over the rows for each. A task hands on its own k best of each
+    query, so the shuffle carries k rows for each query and batch."""
+    spark, parts, held = rows.sparkSession, [], []
+
+    def passing(ids: np.ndarray, vectors_: np.ndarray) -> DataFrame:
+        sent = spark.sparkContext.broadcast((ids, vectors_ / np.maximum(np.linalg.norm(vectors_, axis=1, keepdims=True), 1e-30)))
+
+        def run(batches):
+            wanted, units = sent.value
+            for batch in batches:
+                own = batch["vec_id"].to_numpy()
+                x = np.stack(batch["embedding"].to_list()).astype(np.float64)
+                s = units @ (x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-30)).T
+                s[wanted[:, None] == own] = -np.inf
+                best = np.argsort(-s, axis=1, kind="stable")[:, :k]
+                q = np.repeat(np.arange(len(wanted)), best.shape[1])
+                out = pd.DataFrame({"query": wanted[q], "vec_id": own[best.ravel()], "similarity": s[q, best.ravel()]})
+                yield out[np.isfinite(out["similarity"])]
+
+        return rows.select("vec_id", "embedding").mapInPandas(run, "query long, vec_id long, similarity double")
+
+    def flush() -> None:
+        parts.append(passing(np.array([r[0] for r in held], np.int64), np.array([r[1] for r in held], np.float64)))
+        held.clear()
+
+    for r in queries.select("vec_id", "embedding").toLocalIterator():
+        held.append(r)
+        if len(held) == block:
+            flush()
+    if held:
+        flush()
+    if not parts:
+        return spark.createDataFrame([], "query long, vec_id long, similarity double")
+    best = Window.partitionBy("query").orderBy(F.desc("similarity"), "vec_id")
+    every = reduce(DataFrame.unionByName, parts)
+    return every.withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= k).drop("_r")
+
+
 # --- gate ------------------------------------------------------------------------------------------------------------
 
 

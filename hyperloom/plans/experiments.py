@@ -121,13 +121,10 @@ def dense_cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
  n AS (SELECT query, label, count(*) AS votes FROM s WHERE rank <= 10 GROUP BY ALL)
  SELECT query, label, votes FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY votes DESC, label) AS r FROM n) WHERE r = 1""")
 def knn_label_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Queries are the vectors whose id 100 divides; each task keeps its own ten best of each query, so the shuffle
-    carries ten rows for each query and task."""
-    rows = table(spark, sf_dir, "embeddings")
-    wanted = rows.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query"), F.col("embedding").alias("q"))
-    scored = rows.crossJoin(wanted).where("vec_id <> query").select("query", "vec_id", "label", vectors.cosine(F.col("embedding"), F.col("q")).alias("s"))
-    best = Window.partitionBy("query").orderBy(F.desc("s"), "vec_id")
-    votes = scored.withColumn("rank", F.row_number().over(best)).where("rank <= 10").groupBy("query", "label").agg(F.count("*").alias("votes"))
+    """Queries are the vectors whose id 100 divides, against all vectors."""
+    rows = table(spark, sf_dir, "embeddings").withColumn("vec_id", F.col("vec_id").cast("long"))
+    near = search.nearest(rows, rows.where("vec_id % 100 = 0"), 10)
+    votes = near.join(rows.select("vec_id", "label"), "vec_id").groupBy("query", "label").agg(F.count("*").alias("votes"))
     return votes.withColumn("r", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("votes"), "label"))).where("r = 1").select("query", "label", "votes")
 
 
@@ -314,7 +311,7 @@ def graph_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
  SELECT id, kind, rank, node FROM (SELECT *, row_number() OVER (PARTITION BY id, kind ORDER BY node) AS rank FROM k) WHERE rank <= 10""")
 def graph_expand_2hop(spark: SparkSession, sf_dir: str) -> DataFrame:
     ids = lines(spark, sf_dir).where("quantity = 50").select("id")
-    return graph.expand(graph.edges(experiments(spark, sf_dir)).drop("experiment_id").distinct(), ids)
+    return graph.expand(graph.edges(experiments(spark, sf_dir)), ids)
 
 
 @query(f"""{X} SELECT id, 7 + CASE WHEN 'quantity: ' || quantity = 'discount: ' || discount THEN 0 ELSE 1 END AS entities, 8 AS hyperedges, 2 AS relations, 1 AS evidence FROM x""")

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from hyperloom.llm import kernels as k
-from hyperloom.llm.common import table
+from hyperloom.llm.common import cut, table
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: the vocabulary's split into pieces.
@@ -49,7 +49,8 @@ def with_lengths(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
 
 
 def histogram(lengths: DataFrame) -> DataFrame:
-    return lengths.groupBy("tokens").agg(F.count("*").alias("docs"))
+    """tokens, docs. It is small and read several times, so it is written once."""
+    return cut(lengths.groupBy("tokens").agg(F.count("*").alias("docs")))
 
 
 def running_sums(hist: DataFrame) -> DataFrame:

@@ -207,16 +207,21 @@ NUMBER_UNIT = r"(?iu)(?:\d+([.,]\d+)?\s*(°C|К|мг/л|мг/дм³|г/л|%|МП
 
 def low_signal_reason(text: Column | str, shortest: int = 50) -> Column:
     """Why a chunk is skipped, null if it isn't; the first rule that holds counts."""
-    body = strip(F.coalesce(col(text), F.lit("")))
-    lines = F.filter(F.transform(F.split(body, r"\r?\n"), strip), lambda x: F.length(x) > 2)
-    kept = F.when(F.size(lines) > 0, F.array_join(lines, "\n")).otherwise(body)
-    return (
-        F.when(F.length(body) < shortest, "too_short")
-        .when(kept.rlike(r"(?U)\A[\d.,\s\-–—]+\z"), "slide_number")
-        .when(F.regexp_count(kept, F.lit("[A-Za-zА-Яа-яЁё0-9]{2,}")) < 4, "too_few_tokens")
-        .when((F.size(lines) <= 2) & F.exists(lines, lambda x: x.rlike(BOILERPLATE)), "presentation_boilerplate")
-        .when((F.length(kept) < 180) & ~kept.rlike(DOMAIN) & ~kept.rlike(NUMBER_UNIT), "low_domain_signal")
-    )
+
+    def reason(body: Column, lines: Column, kept: Column) -> Column:
+        return (
+            F.when(F.length(body) < shortest, "too_short")
+            .when(kept.rlike(r"(?U)\A[\d.,\s\-–—]+\z"), "slide_number")
+            .when(F.regexp_count(kept, F.lit("[A-Za-zА-Яа-яЁё0-9]{2,}")) < 4, "too_few_tokens")
+            .when((F.size(lines) <= 2) & F.exists(lines, lambda x: x.rlike(BOILERPLATE)), "presentation_boilerplate")
+            .when((F.length(kept) < 180) & ~kept.rlike(DOMAIN) & ~kept.rlike(NUMBER_UNIT), "low_domain_signal")
+        )
+
+    def split(body: Column) -> Column:
+        lines = F.filter(F.transform(F.split(body, r"\r?\n"), strip), lambda x: F.length(x) > 2)
+        return bound(lines, lambda own: bound(F.when(F.size(own) > 0, F.array_join(own, "\n")).otherwise(body), lambda kept: reason(body, own, kept)))
+
+    return bound(strip(F.coalesce(col(text), F.lit(""))), split)
 
 
 def experiment_id(code: Column, slug_: Column, version: Column, index: Column, default_version: str = "cn_v1") -> Column:
@@ -253,7 +258,11 @@ ENRICHMENT = [
 def numeric_mentions(text: Column | str) -> Column:
     """array<string>: numbers with units, in the patterns' order, the first of each lower-cased form."""
     every = F.concat(*(F.transform(F.regexp_extract_all(col(text), F.lit(p), F.lit(1)), strip) for p in ENRICHMENT))
-    return F.filter(every, lambda x, i: F.array_position(F.transform(every, F.lower), F.lower(x)) == i + 1)
+
+    def first(own: Column) -> Column:
+        return bound(F.transform(own, F.lower), lambda low: F.filter(own, lambda x, i: F.array_position(low, F.lower(x)) == i + 1))
+
+    return bound(every, first)
 
 
 def repair_json(text: Column | str) -> Column:

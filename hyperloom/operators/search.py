@@ -63,12 +63,19 @@ def query_vector(material: str, process: str, facility: str, dim: int = 256) ->
     return vectors.majority_words(*(role_filler(k, F.lit(v), dim) for k, v in (("Material", material), ("Process", process), ("Facility", facility))))
 
 
+#: Combinations (of 32 bytes and three names) whose similarities are broadcast at most; beyond it, they are joined by
+#: a shuffle.
+BROADCAST_COMBINATIONS = 1_000_000
+
+
 def search_triples(rows: DataFrame, material: str, process: str, facility: str, f: schema.SearchFilter, dim: int = 256) -> DataFrame:
-    """rows with their similarity to the query. Filters apply before anything else."""
+    """rows with their similarity to the query. Filters apply before anything else. The combinations are found by one
+    pass over three columns and kept; if they are few, as usual, the rows themselves aren't shuffled."""
     kept = metadata_filter(rows, f)
     query = kept.sparkSession.range(1).select(query_vector(material, process, facility, dim).alias("q"))
-    scored = encode_triples(kept, dim).crossJoin(F.broadcast(query)).select("material", "process", "facility", vectors.similarity_words(F.col("hv"), F.col("q"), dim).alias("similarity"))
-    return kept.join(scored, ["material", "process", "facility"])
+    scored = encode_triples(kept, dim).crossJoin(F.broadcast(query)).select("material", "process", "facility", vectors.similarity_words(F.col("hv"), F.col("q"), dim).alias("similarity")).cache()
+    few = scored.count() <= BROADCAST_COMBINATIONS
+    return kept.join(F.broadcast(scored) if few else scored, ["material", "process", "facility"])
 
 
 def top_k(scored: DataFrame, k: int, score: str = "similarity", tie: str = "id", skip: int = 0) -> DataFrame:

@@ -4,7 +4,7 @@ Test items are cut into seeds: from each of their words on, the shortest run of
 rare, that is, expected less than RARE times in the corpus if its words came independently. Rarity goes by the
 words' counts, not by the run's own, so a passage that has leaked a thousand times still has seeds. Training
 passages that share a seed with an item are aligned with it word by word (Smith-Waterman), which scores edited,
-cut and paraphrased copies too.
+cut and paraphrased copies too. Case, of any script, and punctuation at the ends of words make no difference.
 
 The items are taken in blocks of at most BLOCK_BYTES of text, which bounds what is broadcast; there is one pass
 over the documents for each block.
@@ -16,11 +16,13 @@ pass through `decontaminated`.
 
 from __future__ import annotations
 
+import string
 from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,6 +35,7 @@ BLOCK_BYTES = 4_000_000
 MATCH, MISMATCH, GAP = 1.0, -0.5, -0.5
 #: Alignment score, as a share of a perfect one, from which a document has an item.
 THRESHOLD = 0.5
+IS_PUNCTUATION = np.array([chr(b) in string.punctuation for b in range(256)])
 
 
 class Seeds(NamedTuple):
@@ -52,6 +55,21 @@ class Hit(NamedTuple):
     end: int
 
 
+def plain_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of the words in lower case, of any script, without the ASCII punctuation at their ends, and offsets.
+    A word of punctuation alone stays, so words keep their places."""
+    at, data = k.buffers(pc.utf8_lower(texts))
+    n = len(data)
+    if n == 0:
+        return np.zeros(0, k.U64), np.zeros(len(at), np.int64)
+    begins, ends = k.word_bounds(at, data)
+    body, place = ~IS_PUNCTUATION[data], np.arange(n)
+    first = np.minimum.accumulate(np.where(body, place, n)[::-1])[::-1][begins]
+    last = np.maximum.accumulate(np.where(body, place, -1))[ends - 1] + 1
+    some = first < ends
+    return k.word_hashes(data, np.where(some, first, begins), np.where(some, last, ends)), np.searchsorted(begins, at)
+
+
 def align(item: np.ndarray, passage: np.ndarray) -> tuple[float, int, int]:
     """Best local alignment of two word sequences: (score / len(item), begin, end in the passage)."""
     n = len(passage)
@@ -81,7 +99,7 @@ def _vocabulary_counts(docs: DataFrame, vocabulary: np.ndarray) -> tuple[np.ndar
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, total = known.value, np.zeros(len(known.value) + 1, np.int64)
         for batch in k.slices(batches):
-            words, _ = k.words_of(batch.column("text"))
+            words, _ = plain_words(batch.column("text"))
             place = np.searchsorted(own, words)
             place[place == len(own)] = 0
             hit = own[place] == words if len(own) else np.zeros(len(words), bool)
@@ -120,7 +138,7 @@ def _seeds(words: np.ndarray, at: np.ndarray, vocabulary: np.ndarray, counts: np
 
 
 def _hits(texts: pa.Array, words_of_items: np.ndarray, at_items: np.ndarray, seeds: dict[int, Seeds], threshold: float) -> Iterator[Hit]:
-    words, at = k.words_of(texts)
+    words, at = plain_words(texts)
     found = []
     for n, s in seeds.items():
         grams, offsets = k.ngrams_of(words, at, n, whole_if_short=False)
@@ -158,7 +176,7 @@ def _matchers(docs: DataFrame, benchmark: DataFrame, threshold: float) -> Iterat
     ids, texts, size = [], [], 0
 
     def made() -> tuple[list, Callable[[pa.Array], Iterator[Hit]]]:
-        words, at = k.words_of(pa.array(texts, pa.large_string()))
+        words, at = plain_words(pa.array(texts, pa.large_string()))
         vocabulary = np.unique(words)
         counts, total = _vocabulary_counts(docs, vocabulary)
         sent = docs.sparkSession.sparkContext.broadcast((words, at, _seeds(words, at, vocabulary, counts, total)))

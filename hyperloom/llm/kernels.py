@@ -78,17 +78,20 @@ def word_bounds(at: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return np.flatnonzero(begins), np.flatnonzero(ends) + 1
 
 
+def word_hashes(data: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Of the words data[begins[i]:ends[i]], none of them empty."""
+    total = np.zeros(len(data) + 1, U64)
+    np.cumsum(BYTE_CODE[LOWER[data]] * powers(BASE, len(data)), out=total[1:])
+    return mix((total[ends] - total[begins]) * powers(BASE_INVERSE, len(data))[begins])
+
+
 def words_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(hashes of all words in order, offsets: document i has words offsets[i]:offsets[i + 1])."""
     at, data = buffers(texts)
-    n = len(data)
-    if n == 0:
+    if len(data) == 0:
         return np.zeros(0, U64), np.zeros(len(at), np.int64)
     begins, ends = word_bounds(at, data)
-    total = np.zeros(n + 1, U64)
-    np.cumsum(BYTE_CODE[LOWER[data]] * powers(BASE, n), out=total[1:])
-    hashes = (total[ends] - total[begins]) * powers(BASE_INVERSE, n)[begins]
-    return mix(hashes), np.searchsorted(begins, at)
+    return word_hashes(data, begins, ends), np.searchsorted(begins, at)
 
 
 def ngrams_of(words: np.ndarray, at: np.ndarray, n: int, whole_if_short: bool = True) -> tuple[np.ndarray, np.ndarray]:

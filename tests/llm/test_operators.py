@@ -228,6 +228,9 @@ def test_decontamination(spark, edge, empty, monkeypatch):
     got = decontaminate.leaks(docs, bench).collect()
     assert {(r.doc_id, r.item_id) for r in got} == {(i, i % 12) for i in dirty}
     assert {r.doc_id for r in decontaminate.decontaminated(docs, bench).collect()} == set(range(60)) - dirty
+    foreign = "Élan ñandú. Ça öffnet «Übung»; Ärger über Œuvre, señal — Ölung, Ère éclat"
+    loud = [(1, f"x {foreign.upper()} y", "en", "s"), (2, f"x {foreign.replace(',', '!!').replace('.', '')} y", "en", "s"), (3, "x y", "en", "s")]
+    assert {r.doc_id for r in decontaminate.leaks(make(spark, loud), spark.createDataFrame([(1, foreign)], "item_id long, text string")).where("score = 1").collect()} == {1, 2}
     monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 500)  # several blocks find the same
     assert {(r.doc_id, r.item_id) for r in decontaminate.leaks(docs, bench).collect()} == {(i, i % 12) for i in dirty}
     assert decontaminate.decontaminated(edge, bench).count() == edge.count()

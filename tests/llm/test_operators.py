@@ -259,6 +259,7 @@ def test_scores(edge, edge_rows, empty, monkeypatch):
     parts = scoring.score(edge, train, most_bytes=3000).collect()
     rounded = lambda rows: sorted((str(r.doc_id), r.n_tokens, round(r.score, 6), round(r.base_score, 6)) for r in rows)
     assert rounded(parts) == rounded(whole)
+    assert rounded(scoring.score(edge, train, most_bytes=400).collect()) == rounded(whole)  # the words' filter in parts too
     assert scoring.score(empty, train).count() == 0
     untaught = scoring.score(edge, F.lit(False)).collect()
     assert len(untaught) == len(edge_rows) and all(r.n_known == 0 and r.train_tokens == 0 for r in untaught)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from hyperloom import schema
 from hyperloom.functions import text, vectors
-from hyperloom.operators import counterfactual, entities, gaps, graph, ingest, search
+from hyperloom.operators import browse, counterfactual, entities, gaps, graph, ingest, search
 from hyperloom.policy import Session
 from hyperloom.sources.store import Store
 
@@ -37,6 +37,14 @@ class Engine:
         rows = self._visible().orderBy("ord", "id")
         return rows if limit is None else rows.offset(skip).limit(limit)
 
+    def browse(self, geography: str | None = None, year: int | None = None, words: str = "", public_only: bool = False) -> DataFrame:
+        self.session.require("experiments")
+        return browse.corpus_page(self._visible(), public_only, geography, year, words).orderBy("ord", "id")
+
+    def options(self) -> DataFrame:
+        self.session.require("experiments")
+        return browse.options(self._visible())
+
     def documents(self) -> DataFrame:
         self.session.require("documents")
         return entities.documents_rollup(self._visible(), "ord")

@@ -22,6 +22,15 @@ def mean_metrics(metrics: DataFrame) -> DataFrame:
     return metrics.agg(F.count("*").alias("questions"), *(F.avg(c).alias(c) for c in ("precision_at_k", "recall_at_k", "reciprocal_rank")))
 
 
+def run_rollup(questions: DataFrame) -> DataFrame:
+    """One row for a run over questions (judge_pass, and latencies in ms): the share that passed of those judged, and mean
+    latencies. What wasn't measured is left out of its mean."""
+    judged, passed = F.count("judge_pass"), F.count_if("judge_pass")
+    rate = F.round(F.coalesce(passed / F.when(judged > 0, judged), F.lit(0.0)), 4)
+    means = [F.round(F.avg(F.nullif(c, F.lit(0.0)) if c != "e2e_ms" else c), 2).alias(f"mean_{c}") for c in ("e2e_ms", "vector_ms", "graph_ms")]
+    return questions.agg(F.count("*").alias("questions"), judged.alias("questions_judged"), passed.alias("questions_passed"), rate.alias("success_rate"), *means)
+
+
 def rule_judge(answers: DataFrame) -> DataFrame:
     """answers (answer, keywords array, recall, min_recall, retrieved, expect_empty) with passed and score: the mean of
     the criteria that a question has. An empty answer fails."""

@@ -36,6 +36,19 @@ def outcome_counts(outcomes: DataFrame) -> DataFrame:
     return known.join(outcomes.groupBy("status").agg(F.count("*").alias("chunks")), "status", "left").na.fill(0)
 
 
+def validation_summary(outcomes: DataFrame) -> DataFrame:
+    """failure_class (null: none), failed, dropped_entities, dropped_relations of chunk outcomes. A chunk counts as failed
+    by its status, whatever its class."""
+    failed = F.count_if(F.coalesce(F.col("status").isin("validation_failed", "moderation", "empty"), F.lit(False)))
+    dropped = [F.sum(F.coalesce(c, F.lit(0))).cast("long").alias(c) for c in ("dropped_entities", "dropped_relations")]
+    return outcomes.groupBy("failure_class").agg(F.count("*").alias("chunks"), failed.alias("failed"), *dropped)
+
+
+def failed_samples(outcomes: DataFrame, order: str, most: int = 20) -> DataFrame:
+    """The first failed outcomes, for a report."""
+    return outcomes.where(F.col("status").isin("validation_failed", "moderation", "empty")).orderBy(order).limit(most)
+
+
 def valid_entities(entities: Column) -> Column:
     """Of array<struct<type, value>>: those of a known type, in its right case, with a value."""
     fixed = F.transform(entities, lambda e: F.struct(text.entity_type(e["type"]).alias("type"), text.strip(e["value"]).alias("value")))
@@ -63,6 +76,17 @@ def parse_payload(df: DataFrame, payload: str = "payload") -> DataFrame:
     return out.withColumns({"dropped": offered - F.size("entities") - F.size("relations"), "failure": failure}).drop("_p")
 
 
+def payload_entities(df: DataFrame, payload: str = "payload") -> DataFrame:
+    """Adds `entities` of an answer that is a list of entities, an object that has them, or one entity; null for
+    anything else."""
+    whole = F.regexp_extract(payload, r"(\[\s*\{[\s\S]*\}\s*,?\s*\])", 1)
+    listed = F.from_json(F.when(whole != "", F.regexp_replace(whole, r",\s*([}\]])", "$1")), f"array<{schema.ENTITY}>")
+    held = F.from_json(text.repair_json(payload), PAYLOAD)["entities"]
+    one = F.from_json(text.repair_json(payload), schema.ENTITY)
+    single = F.when(one["type"].isNotNull(), F.array(one))
+    return df.withColumn("entities", valid_entities(F.coalesce(listed, held, single)))
+
+
 def extract(chunks: DataFrame, extractor: Callable[[Column], Column] | None = None) -> DataFrame:
     """chunks (text) with entities. The default finds numbers with units; an extractor maps a text column to an array
     of entities and may be a UDF that asks a model."""

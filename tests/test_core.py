@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from hyperloom import schema
 from hyperloom.engine import Engine
 from hyperloom.functions import text, vectors
-from hyperloom.operators import chunks, counterfactual, entities, evaluate, gaps, graph, ingest, search
+from hyperloom.operators import browse, chunks, counterfactual, entities, evaluate, gaps, graph, ingest, search
 from hyperloom.policy import Session
 from hyperloom.sources import readers
 from hyperloom.sources.seed import seed
@@ -263,3 +263,35 @@ def test_engine(spark, tmp_path):
         guest.gaps(["Material"])
     with pytest.raises(PermissionError):
         Engine(spark, store, Session("x", "")).statistics()
+
+
+def test_listing(spark):
+    rows = seed(spark)
+    assert {r.id for r in browse.corpus_page(rows, True).collect()} == {"EXP-CU-01"}
+    assert {r.id for r in browse.corpus_page(rows, words=" exp-ni ").collect()} == {"EXP-NI-01", "EXP-NI-02", "EXP-NI-03"}
+    assert browse.corpus_page(rows, geography="RU", year=2017).count() == 2
+    some = rows.select("id", F.when(F.col("id") == "EXP-NI-01", F.lit(None)).otherwise(F.col("year")).alias("year"), "geography")
+    assert [r.value for r in browse.options(some).orderBy("kind", "pos").collect()] == ["Global", "RU", "2023", "2017"]
+    assert browse.options(some.limit(0)).count() == 0
+
+
+def test_hits_of_documents(spark):
+    hits = spark.createDataFrame([("a", ["x"]), ("b", ["y", "z"]), ("c", []), ("d", None)], "id string, evidence array<string>")
+    assert {r.id for r in browse.citing(hits, ["z"]).collect()} == {"b", "c", "d"}
+    assert {r.id for r in browse.citing(hits.where("id in ('a', 'b')"), ["q"]).collect()} == {"a", "b"}
+    assert browse.citing(hits.limit(0), ["q"]).count() == 0
+
+
+def test_titles(spark):
+    pages = spark.createDataFrame([(["", "short", "Review of all the works", "_____ long ruled line", "Leaching of nickel ore"], "f.docx"), ([], "plan.v2.docx"), (None, "x")], "p array<string>, f string")
+    got = [r[0] for r in pages.select(browse.document_title(F.col("p"), F.col("f"), ["review"])).collect()]
+    assert got == ["Leaching of nickel ore", "plan.v2", "x"]
+
+
+def test_payload_shapes_and_reports(spark):
+    answers = spark.createDataFrame([('x [{"type":"material","value":"a"},] y',), ('{"type":"Process","value":"b"}',), ("",), (None,)], "payload string")
+    assert [r.entities and [tuple(e) for e in r.entities] for r in ingest.payload_entities(answers).collect()] == [[("Material", "a")], [("Process", "b")], None, None]
+    outcomes = spark.createDataFrame([("a", "empty", 2, None), (None, "ok", None, 1), (None, "moderation", 1, 1)], "failure_class string, status string, dropped_entities int, dropped_relations int")
+    assert {tuple(r) for r in ingest.validation_summary(outcomes).collect()} == {("a", 1, 1, 2, 0), (None, 2, 1, 1, 2)}
+    run = evaluate.run_rollup(spark.createDataFrame([], "judge_pass boolean, e2e_ms double, vector_ms double, graph_ms double")).first()
+    assert (run.questions, run.success_rate, run.mean_e2e_ms) == (0, 0.0, None)

@@ -259,6 +259,8 @@ def test_engine(spark, tmp_path):
     assert admin.audit_logs().count() >= 3
     guest = Engine(spark, store, Session("guy", "External Partner"))
     assert [r.id for r in guest.experiments().collect()] == ["EXP-CU-01"]
+    assert guest.browse(geography="RU").count() == 0 and [r.id for r in admin.browse(words="kola", year=2023).collect()] == ["EXP-NI-01", "EXP-NI-02", "EXP-NI-03"]
+    assert guest.options().count() == 2
     with pytest.raises(PermissionError):
         guest.gaps(["Material"])
     with pytest.raises(PermissionError):

@@ -65,10 +65,9 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[
             begin = end
 
 
-def word_bounds(at: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(begins, ends) of all words, in bytes; a word ends with its text at the latest."""
-    n = len(data)
-    inside = ~IS_SPACE[data]
+def run_bounds(at: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(begins, ends) of all runs of bytes that are inside; a run ends with its text at the latest."""
+    n = len(inside)
     first = np.zeros(n + 1, bool)
     first[at] = True
     begins = inside.copy()
@@ -78,6 +77,11 @@ def word_bounds(at: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return np.flatnonzero(begins), np.flatnonzero(ends) + 1
 
 
+def word_bounds(at: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(begins, ends) of all words, in bytes."""
+    return run_bounds(at, ~IS_SPACE[data])
+
+
 def word_hashes(data: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Of the words data[begins[i]:ends[i]], none of them empty."""
     total = np.zeros(len(data) + 1, U64)

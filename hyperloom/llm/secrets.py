@@ -69,10 +69,7 @@ def random_spans(text: str, taken: list[tuple[int, int, int]], tokens, known: fr
 def has_runs(texts: pa.Array) -> np.ndarray:
     """Whether each text has a run of SHORTEST_RUN key characters or a credential name; others have no span."""
     at, data = k.buffers(texts)
-    inside = np.zeros(len(data) + 2, np.int8)
-    inside[1:-1] = KEY_BYTE[data]
-    step = np.diff(inside)
-    begins, ends = np.flatnonzero(step == 1), np.flatnonzero(step == -1)
+    begins, ends = k.run_bounds(at, KEY_BYTE[data])
     flags = np.zeros(len(texts), bool)
     flags[np.searchsorted(at, begins[ends - begins >= SHORTEST_RUN], side="right") - 1] = True
     low = k.LOWER[data].tobytes()

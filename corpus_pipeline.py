@@ -1,7 +1,8 @@
 """From raw documents to sharded training data, in five stages.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame of what it keeps, with the columns of docs; the
-last one returns each document's place. Nulls and empty texts: a text without a letter has no language and goes
+last one writes the shards, to the folder that the setting spark.hyperloom.shards then names, and returns each
+document's place. Nulls and empty texts: a text without a letter has no language and goes
 in the first stage, so later stages see texts with letters; ids and sources may be null. An empty table passes
 through as an empty one. Extra columns pass through all stages but the last.
 """
@@ -44,8 +45,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Gives every row its shard and its slot there."""
-    return sharding.place(docs, SHARDS, sharding.by_source(SHARDS))[0]
+    """Writes every row to its shard's files and gives its shard and its slot there."""
+    return sharding.reshard(docs, SHARDS, sharding.by_source(SHARDS))
 
 
 STAGES = [

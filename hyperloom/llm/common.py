@@ -28,13 +28,22 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def written(df: DataFrame) -> DataFrame:
+def written(df: DataFrame, compression: str = "snappy") -> DataFrame:
     """The same, as Parquet: smaller, and later reads take the columns they need."""
     path = f"{shared_folder(df.sparkSession)}/hyperloom-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     return df.sparkSession.read.parquet(path)
 
 
+#: Number of a row, the only key that tells apart rows of one id, equal rows and rows without an id.
+ROW = "_row"
+
+
+def numbered(df: DataFrame) -> DataFrame:
+    """The rows with a number each, written with it, so that it stays the same however often they are read."""
+    return written(df.withColumn(ROW, F.monotonically_increasing_id()), "zstd")
+
+
 def remainder(doc_id: Column, n: int) -> Column:
     """crc32 of the id as text, modulo n; a null id counts as an empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % F.lit(n)

@@ -8,21 +8,24 @@ the cuts fall among small documents and the shards' sizes come out nearly equal.
 Only sums of blocks of documents reach the driver, at most SIZE_CLASSES * MOST_PARTS for each shard.
 
 Defined results: a null text has no bytes and the checksum of an empty text; a null source is one more source;
-repeated rows are placed one by one. Other columns pass through `rewrite` untouched.
+repeated rows are placed and written one by one. Other columns pass through `rewrite` untouched.
 """
 
 from __future__ import annotations
 
 import heapq
+import uuid
 from collections import defaultdict
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from hyperloom.llm.common import cut, table
+from hyperloom.llm.common import ROW, cut, numbered, shared_folder, table
 
 #: Rows of a block that one task orders, and the most parts of a size class.
 PART_ROWS, MOST_PARTS, SIZE_CLASSES = 2000, 1024, 64
+#: Setting that names the folder of the shards written last.
+WRITTEN_TO = "spark.hyperloom.shards"
 
 
 def text_bytes(text: Column) -> Column:
@@ -76,10 +79,12 @@ def min_cost_flow(have: list[int], room: list[int], cost: dict[tuple[int, int],
 def place(docs: DataFrame, shards: int, old_shard: Column, room: list[int] | None = None) -> tuple[DataFrame, dict[tuple[int, int], int]]:
     """(doc_id, size, text_crc32, old_shard, shard, slot) for every row, and the flow in bytes.
 
-    `room` are the new capacities in bytes; by default the shards share all bytes evenly.
+    `room` are the new capacities in bytes; by default the shards share all bytes evenly. Rows that are numbered keep
+    their number.
     """
     spark = docs.sparkSession
-    light = cut(docs.select("doc_id", text_bytes(F.col("text")).alias("size"), F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"), old_shard.cast("int").alias("old_shard")))
+    number = [ROW] if ROW in docs.columns else []
+    light = cut(docs.select(*number, "doc_id", text_bytes(F.col("text")).alias("size"), F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"), old_shard.cast("int").alias("old_shard")))
     parts = max(1, min(light.count() // PART_ROWS, MOST_PARTS))
     falling = (F.lit(SIZE_CLASSES) - F.floor(F.log2("size"))).cast("int")
     light = light.withColumns({"falling": falling, "part": F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(parts)).cast("int")})
@@ -100,7 +105,7 @@ def place(docs: DataFrame, shards: int, old_shard: Column, room: list[int] | Non
                 target = F.when(middle >= F.lit(end), F.lit(j)).otherwise(target) if end else F.lit(j)
                 end += flow[i, j]
         cuts = F.when(F.col("old_shard") == i, target).otherwise(cuts)
-    order = Window.partitionBy(*block).orderBy(F.col("size").desc(), "doc_id", "text_crc32")
+    order = Window.partitionBy(*block).orderBy(F.col("size").desc(), "doc_id", "text_crc32", *number)
     placed = (
         light.withColumn("before", F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size"))
         .withColumn("row", F.row_number().over(order))
@@ -111,7 +116,7 @@ def place(docs: DataFrame, shards: int, old_shard: Column, room: list[int] | Non
     pieces["base"] = pieces.groupby("shard").rows.cumsum() - pieces.rows - pieces["first"]
     bases = spark.createDataFrame([tuple(int(x) for x in r) for r in pieces[["shard", *block, "base"]].itertuples(index=False)], "shard int, old_shard int, falling int, part int, base long")
     out = placed.join(F.broadcast(bases), ["shard", *block]).withColumn("slot", (F.col("base") + F.col("row")).cast("long"))
-    return out.select("doc_id", "size", "text_crc32", "old_shard", "shard", "slot"), flow
+    return out.select(*number, "doc_id", "size", "text_crc32", "old_shard", "shard", "slot"), flow
 
 
 def affected(flow: dict[tuple[int, int], int]) -> list[int]:
@@ -119,11 +124,30 @@ def affected(flow: dict[tuple[int, int], int]) -> list[int]:
     return sorted({x for (i, j) in flow if i != j for x in (i, j)})
 
 
-def rewrite(docs: DataFrame, placed: DataFrame, flow: dict[tuple[int, int], int], folder: str) -> None:
-    """Write the affected shards' documents to folder/new_shard=N; docs must have unique doc_ids."""
-    shards = placed.where(F.col("shard").isin(affected(flow))).select("doc_id", F.col("shard").alias("new_shard"), F.floor(F.col("slot") / 100_000).alias("_part"))
-    rows = docs.join(shards, "doc_id").repartition("new_shard", "_part").drop("_part")
-    rows.write.option("partitionOverwriteMode", "dynamic").partitionBy("new_shard").mode("overwrite").parquet(folder)
+def rewrite(docs: DataFrame, placed: DataFrame, flow: dict[tuple[int, int], int], folder: str, whole: bool = False) -> None:
+    """Write the affected shards' documents, or all shards' (`whole`), to folder/new_shard=N, each row once.
+
+    Numbered rows are joined by their number; others need doc_ids that are unique and not null.
+    """
+    key = ROW if ROW in docs.columns and ROW in placed.columns else "doc_id"
+    if key != ROW and docs.groupBy(key).count().where("count > 1 or doc_id is null").limit(1).count():
+        raise ValueError("doc_ids repeat or are null: number the rows before they are placed")
+    shards = (placed if whole else placed.where(F.col("shard").isin(affected(flow)))).select(key, F.col("shard").alias("new_shard"))
+    # Rows are dealt by their number, evenly; a deal by shard would put all of a large shard's texts in a few tasks.
+    rows = docs.join(shards.hint("shuffle_hash"), key).drop(ROW)
+    rows.write.option("compression", "zstd").option("partitionOverwriteMode", "dynamic").partitionBy("new_shard").mode("overwrite").parquet(folder)
+
+
+def reshard(docs: DataFrame, shards: int, old_shard: Column, room: list[int] | None = None) -> DataFrame:
+    """What `place` says of every row, after the documents were written to a new folder in the shared one, all shards
+    of them, as no old file is there. The session's setting WRITTEN_TO names the folder."""
+    rows = numbered(docs)
+    placed, flow = place(rows, shards, old_shard, room)
+    placed = cut(placed)
+    folder = f"{shared_folder(docs.sparkSession)}/hyperloom-shards-{uuid.uuid4().hex}"
+    rewrite(rows, placed, flow, folder, whole=True)
+    docs.sparkSession.conf.set(WRITTEN_TO, folder)
+    return placed.drop(ROW)
 
 
 def by_source(shards: int) -> Column:
@@ -132,5 +156,5 @@ def by_source(shards: int) -> Column:
 
 
 def op3_flow_reshard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    placed, _ = place(table(spark, sf_dir, "documents"), 8, by_source(8))
+    placed = reshard(table(spark, sf_dir, "documents"), 8, by_source(8))
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "old_shard")

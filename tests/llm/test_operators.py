@@ -133,6 +133,31 @@ def test_sharding(edge, edge_rows, empty, tmp_path, spark):
     assert back == {r.doc_id: r["shard"] for r in placed.collect() if r["shard"] in sharding.affected(flow)}
 
 
+def test_every_row_is_written_once(spark, edge, edge_rows):
+    """Rows without an id, of one id with several texts, and equal rows, each to the shard it is placed in."""
+    more = [(None, f"no id {i}", "en", "abc"[i % 3]) for i in range(20)] + [(50, f"text {i}", None, "b") for i in range(8)] + [(51, "same", "en", "a")] * 9
+    docs = make(spark, [*edge_rows, *more])
+    placed = sharding.reshard(docs, 4, sharding.by_source(4)).collect()
+    back = spark.read.parquet(spark.conf.get(sharding.WRITTEN_TO))
+    assert sorted(back.columns) == sorted([*docs.columns, "new_shard"])
+    rows = back.collect()
+    plain = lambda r: str([r[c] for c in docs.columns])
+    assert Counter(map(plain, rows)) == Counter(map(plain, docs.collect()))
+    key = lambda i, t, shard: (i, zlib.crc32((t or "").encode()), shard)
+    assert Counter(key(r.doc_id, r.text, r.new_shard) for r in rows) == Counter((r.doc_id, r.text_crc32, r.shard) for r in placed)
+    bare, flow = sharding.place(docs, 4, sharding.by_source(4))
+    with pytest.raises(ValueError):
+        sharding.rewrite(docs, bare, flow, "unused")
+
+
+def test_shard_stage_writes_repeats(spark, edge, tmp_path):
+    twice = edge.unionByName(edge)
+    placed = corpus_pipeline.shard(spark, twice, str(tmp_path))
+    back = spark.read.parquet(spark.conf.get("spark.hyperloom.shards"))
+    per = lambda df, shard: {r[0]: r[1] for r in df.groupBy(shard).count().collect()}
+    assert per(back, "new_shard") == per(placed, "shard") and back.count() == twice.count()
+
+
 # --- 4 ---------------------------------------------------------------------------------------------------------------
 
 

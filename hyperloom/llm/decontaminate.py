@@ -2,9 +2,11 @@
 
 Test items are cut into seeds: from each of their words on, the shortest run of SHORTEST to LONGEST words that is
 rare, that is, expected less than RARE times in the corpus if its words came independently. Rarity goes by the
-words' counts, not by the run's own, so a passage that has leaked a thousand times still has seeds. Training
+words' counts, not by the run's own, so a passage that has leaked a thousand times still has seeds. A short item
+without a rare run has itself as its seed. Training
 passages that share a seed with an item are aligned with it word by word (Smith-Waterman), which scores edited,
-cut and paraphrased copies too. Case, of any script, and punctuation at the ends of words make no difference.
+cut and paraphrased copies too. A document has an item from half of a perfect score on, or, as half of a long item is
+much, from the score of PASSAGE words in a row on. Case, of any script, and punctuation at the ends of words make no difference.
 
 The items are taken in blocks of at most BLOCK_BYTES of text, which bounds what is broadcast; there is one pass
 over the documents for each block.
@@ -35,6 +37,8 @@ BLOCK_BYTES = 4_000_000
 MATCH, MISMATCH, GAP = 1.0, -0.5, -0.5
 #: Alignment score, as a share of a perfect one, from which a document has an item.
 THRESHOLD = 0.5
+#: Alignment score in words from which a document has an item, however long that is; chance gives 5 or 6.
+PASSAGE = 13.0
 IS_PUNCTUATION = np.array([chr(b) in string.punctuation for b in range(256)])
 
 
@@ -116,18 +120,20 @@ def _vocabulary_counts(docs: DataFrame, vocabulary: np.ndarray) -> tuple[np.ndar
 
 def _seeds(words: np.ndarray, at: np.ndarray, vocabulary: np.ndarray, counts: np.ndarray, total: int) -> dict[int, Seeds]:
     """A run from each place of each item: the shortest rare one, or the one of LONGEST words. Near the item's end
-    there may be none; the runs before cover these words."""
+    there may be none; the runs before cover these words. An item that would get none at all is one run itself."""
     share = np.log(np.maximum(counts, 1)[np.searchsorted(vocabulary, words)] / max(total, 1))
     sums = np.concatenate([[0], np.cumsum(share)])
     last = np.repeat(at[1:], np.diff(at))
     item = np.repeat(np.arange(len(at) - 1), np.diff(at))
     place = np.arange(len(words))
-    open_, out = np.ones(len(words), bool), {}
+    open_, seeded, out = np.ones(len(words), bool), np.zeros(len(at) - 1, bool), {}
     for n in range(SHORTEST, LONGEST + 1):
         fits = open_ & (place + n <= last)
         here = place[fits]
-        rare = here[np.log(max(total, 1)) + sums[here + n] - sums[here] < np.log(RARE)] if n < LONGEST else here
-        open_[rare] = False
+        rare = np.log(max(total, 1)) + sums[here + n] - sums[here] < np.log(RARE)
+        whole = (np.diff(at)[item[here]] == n) & ~seeded[item[here]]
+        rare = here[rare | whole] if n < LONGEST else here
+        open_[rare], seeded[item[rare]] = False, True
         if not len(rare):
             continue
         hashes = k.mix(sum(words[rare + j] * k.COEFFICIENTS[j] for j in range(n)))
@@ -166,7 +172,7 @@ def _hits(texts: pa.Array, words_of_items: np.ndarray, at_items: np.ndarray, see
         pad = max(4, len(item) // 4)
         low, high = max(0, int(every[a, 2]) - pad), min(int(at[row + 1] - at[row]), int(every[b - 1, 2]) + len(item) + pad)
         score, begin, end = align(item, words[at[row] + low : at[row] + high])
-        if score >= threshold and ((row, i) not in best or score > best[row, i].score):
+        if (score >= threshold or score * len(item) >= PASSAGE - 1e-9) and ((row, i) not in best or score > best[row, i].score):
             best[row, i] = Hit(row, i, score, low + begin, low + end)
     yield from best.values()
 

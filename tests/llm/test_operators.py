@@ -262,6 +262,22 @@ def test_decontamination(spark, edge, empty, monkeypatch):
     assert decontaminate.leaks(empty, bench).count() == 0 and decontaminate.leaks(docs, bench.limit(0)).count() == 0
 
 
+def test_passages_of_long_items_and_common_short_items(spark):
+    rng = np.random.default_rng(17)
+    vocabulary = [f"v{i}" for i in range(3000)]
+    prose = lambda n: list(rng.choice(vocabulary, n))
+    items = [prose(500), prose(59), ["to", "be", "or", "not"]]
+    common = [(100 + i, "be not or to " * 50, "en", "s") for i in range(20)]  # the short item's runs are all to be expected
+    rows = [(i, " ".join(prose(200)), "en", "s") for i in range(20)]
+    for i, passage in ((30, items[0][130:370]), (31, items[1][20:49]), (32, items[0][-13:]), (33, items[0][40:46]), (34, items[2]), (35, items[1][:13])):
+        rows.append((i, " ".join(prose(80) + passage + prose(80)), "en", "s"))
+    bench = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(items)], "item_id long, text string")
+    docs = make(spark, rows + common)
+    want = {(30, 0), (31, 1), (32, 0), (34, 2), (35, 1)}
+    assert {(r.doc_id, r.item_id) for r in decontaminate.leaks(docs, bench).collect()} == want
+    assert {r.doc_id for r in decontaminate.decontaminated(docs, bench).collect()} == {r[0] for r in rows + common} - {i for i, _ in want}
+
+
 # --- 6 ---------------------------------------------------------------------------------------------------------------
 
 

@@ -32,6 +32,9 @@ NAMES = (b"password", b"passwd", b"secret", b"token", b"api_key", b"apikey")
 LEAST = {"assign": 12, "access": 18, "hex": 16}
 #: Characters per token below which a run is random; words and names have more.
 RATIO = 2.0
+#: Letters of one word at most; a longer run of letters is judged by its ratio. No invented word of the clean texts
+#: has 20 letters and a ratio below RATIO, most random strings of 20 letters have.
+LONGEST_WORD = 19
 #: Lengths of common digests in hexadecimal.
 DIGESTS = (32, 40, 56, 64, 96, 128)
 KEY_BYTE = np.array([chr(b) in "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-" for b in range(256)])
@@ -51,6 +54,8 @@ def ordinary(run: str) -> bool:
     if len(run) in DIGESTS and re.fullmatch(r"[0-9a-fA-F]+", run) or re.fullmatch(r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}", run):
         return True
     parts = [p for p in re.split(r"[+/_=-]+", run) if p]
+    if any(len(p) > LONGEST_WORD and p.isalpha() for p in parts):
+        return False
     return all(re.fullmatch(r"[A-Za-z]?[a-z]*|[A-Z]+|[0-9]+|[a-z]+[0-9]{1,4}", p) for p in parts)
 
 

@@ -13,11 +13,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hyperloom.llm import decontaminate, language, mixing, neardup, sharding
-from hyperloom.llm.common import cut, table, written
+from hyperloom.llm.common import ROW, cut, numbered, table, written
 
 #: Language scores below this say nothing: the texts are rejected.
 LEAST_LANGUAGE_SCORE = 0.3
-#: Ids of dropped documents that are broadcast at most (8 bytes each); beyond it, they are joined by a shuffle.
+#: Numbers of dropped documents that are broadcast at most (8 bytes each); beyond it, they are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 SHARDS = 8
 
@@ -28,10 +28,15 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document, the one of the smallest id, of each group with five-word shingles alike by 0.8."""
-    found = neardup.near_duplicates(docs, shingle=5, percent=80)
-    dropped = cut(found.where("not kept and doc_id is not null").select("doc_id").distinct())
-    return docs.join(F.broadcast(dropped) if dropped.count() <= BROADCAST_IDS else dropped, "doc_id", "left_anti").select(*docs.columns)
+    """Keeps one document, the one of the smallest id, of each group with five-word shingles alike by 0.8. Rows are
+    compared by a number of their own, so those that share an id, or have none, are told apart; no id comes last."""
+    rows = numbered(docs)
+    found = neardup.near_duplicates(rows.select(F.col(ROW).alias("doc_id"), "text"), shingle=5, percent=80)
+    members = cut(found.select(F.col("doc_id").alias(ROW), "component_id").join(rows.select(ROW, "doc_id"), ROW))
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", ROW))
+    kept = members.groupBy("component_id").agg(first[ROW].alias(ROW)).select(ROW)
+    dropped = cut(members.join(kept, ROW, "left_anti").select(ROW))
+    return rows.join(F.broadcast(dropped) if dropped.count() <= BROADCAST_IDS else dropped, ROW, "left_anti").select(*docs.columns)
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -446,3 +446,13 @@ def test_pipeline(spark, edge, edge_rows, empty, tmp_path):
         assert placed.count() == kept.count() and (name == "none") == (kept.count() == 0)
         ids = {r.doc_id for r in placed.collect()}
         assert not ids & {1, 2, 3, 5, 6, 7, edge_rows[15][0]}
+
+
+def test_one_document_of_each_group_without_ids(spark, tmp_path):
+    rng = np.random.default_rng(18)
+    prose = lambda: " ".join(rng.choice([f"v{i}" for i in range(500)], 80))
+    a, b, c, d, e = (prose() for _ in range(5))
+    near = a.rsplit(" ", 1)[0] + " other"
+    rows = [(7, a, "x", "s"), (7, a, "x", "s"), (7, c, "x", "s"), (3, near, "x", "s"), (None, a, "x", "s"), (None, b, "x", "s"), (None, b, "x", "s"), (None, d, "x", "s"), (9, e, "x", "s"), (9, e, "x", "s")]
+    kept = corpus_pipeline.drop_near_duplicates(spark, make(spark, rows), str(tmp_path))
+    assert sorted((str(r.doc_id), r.text) for r in kept.collect()) == sorted([("3", near), ("7", c), ("None", b), ("None", d), ("9", e)])

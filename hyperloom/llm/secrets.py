@@ -32,9 +32,9 @@ NAMES = (b"password", b"passwd", b"secret", b"token", b"api_key", b"apikey")
 LEAST = {"assign": 12, "access": 18, "hex": 16}
 #: Characters per token below which a run is random; words and names have more.
 RATIO = 2.0
-#: Letters of one word at most; a longer run of letters is judged by its ratio. No invented word of the clean texts
-#: has 20 letters and a ratio below RATIO, most random strings of 20 letters have.
-LONGEST_WORD = 19
+#: A run of words and numbers with more letters in one word than this is random below a ratio of its own, which no
+#: invented word of the clean texts has (the least of 1034 is 1.75) and about 70 % of random strings of letters have.
+LONGEST_WORD, LETTERS_RATIO = 19, 1.75
 #: Lengths of common digests in hexadecimal.
 DIGESTS = (32, 40, 56, 64, 96, 128)
 KEY_BYTE = np.array([chr(b) in "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-" for b in range(256)])
@@ -49,14 +49,15 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
-def ordinary(run: str) -> bool:
-    """Digests, UUIDs, numbers and names made of words: no secrets, whatever their ratio."""
+def least_ratio(run: str) -> float:
+    """Characters per token that a run has at least if it is no secret: none for digests, UUIDs, numbers and names made
+    of words, whatever their ratio."""
     if len(run) in DIGESTS and re.fullmatch(r"[0-9a-fA-F]+", run) or re.fullmatch(r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}", run):
-        return True
+        return 0.0
     parts = [p for p in re.split(r"[+/_=-]+", run) if p]
-    if any(len(p) > LONGEST_WORD and p.isalpha() for p in parts):
-        return False
-    return all(re.fullmatch(r"[A-Za-z]?[a-z]*|[A-Z]+|[0-9]+|[a-z]+[0-9]{1,4}", p) for p in parts)
+    if not all(re.fullmatch(r"[A-Za-z]?[a-z]*|[A-Z]+|[0-9]+|[a-z]+[0-9]{1,4}", p) for p in parts):
+        return RATIO
+    return LETTERS_RATIO if any(len(p) > LONGEST_WORD and p.isalpha() for p in parts) else 0.0
 
 
 def random_spans(text: str, taken: list[tuple[int, int, int]], tokens, known: frozenset[str] = frozenset()) -> list[tuple[int, int, int]]:
@@ -64,9 +65,10 @@ def random_spans(text: str, taken: list[tuple[int, int, int]], tokens, known: fr
     out = []
     for m in RUN.finditer(text):
         run = m[0]
-        if run in known or ordinary(run) or any(a < m.end() and m.start() < b for a, _, b in taken):
+        least = least_ratio(run)
+        if run in known or not least or any(a < m.end() and m.start() < b for a, _, b in taken):
             continue
-        if len(run) < RATIO * tokens(run):
+        if len(run) < least * tokens(run):
             out.append((m.start(), 3, m.end()))
     return out
 

@@ -14,10 +14,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared folder, spark.checkpoint.dir; only where that is unset (tests, one machine) a
-    temporary folder is set."""
+    """The cluster's shared folder, spark.checkpoint.dir. Where it is unset, a temporary folder serves a session on one
+    machine; on a cluster that is an error, as each machine would write to its own disk."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named and not spark.sparkContext.getCheckpointDir():
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="hyperloom-"))
     return named or spark.sparkContext.getCheckpointDir()
 
@@ -35,6 +37,13 @@ def written(df: DataFrame, compression: str = "snappy") -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def discard(spark: SparkSession, path: str | None) -> None:
+    """Remove a folder that `written` made, when nothing will read it any more."""
+    if path:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 #: Number of a row, the only key that tells apart rows of one id, equal rows and rows without an id.
 ROW = "_row"
 

@@ -297,10 +297,9 @@ def test_scores(edge, edge_rows, empty, monkeypatch):
     for a, b in zip(sorted(want, key=key), sorted(([r.doc_id, r.n_tokens, r.n_known, r.base_score, r.held_out, r.train_tokens] for r in whole), key=key)):
         assert a[:3] == tuple(b[:3]) and a[3] == pytest.approx(b[3]) and b[4] == held(b[0]) and b[5] == n
     monkeypatch.setattr(scoring, "HEAD_WORDS", 10)  # most words by the shuffle, the filter in parts: the same scores
-    parts = scoring.score(edge, train, most_bytes=3000).collect()
+    parts = scoring.score(edge.repartition(3), train, most_bytes=40_000).collect()
     rounded = lambda rows: sorted((str(r.doc_id), r.n_tokens, round(r.score, 6), round(r.base_score, 6)) for r in rows)
     assert rounded(parts) == rounded(whole)
-    assert rounded(scoring.score(edge, train, most_bytes=400).collect()) == rounded(whole)  # the words' filter in parts too
     assert scoring.score(empty, train).count() == 0
     untaught = scoring.score(edge, F.lit(False)).collect()
     assert len(untaught) == len(edge_rows) and all(r.n_known == 0 and r.train_tokens == 0 for r in untaught)
@@ -310,17 +309,75 @@ def test_levels_are_never_too_low():
     hashes = kernels.random_words(5000, 1)
     counts = np.arange(1, 5001)
     levels = scoring.level(counts)
-    size = int(levels.sum()) * scoring.BITS_PER_ENTRY // 64 * 64
-    marks = np.zeros(size, bool)
-    ids = hashes & np.uint64((1 << scoring.PAIR_BITS) - 1)
-    for lvl in range(1, levels.max() + 1):
-        for p in scoring._positions(ids[levels >= lvl], lvl, np.uint64(size)):
-            marks[p] = True
-    own = scoring.Filter([(s, size, np.packbits(marks, bitorder="little").tobytes()) for s in range(2)], 1)
-    got = own.levels(hashes, ids)
+    size, marks = scoring.marks_of(scoring._ids(hashes, 1), levels)
+    own = scoring.Filter([(s, size, marks) for s in range(2)], 1)
+    got = own.levels(hashes)
     assert (got >= levels).all() and (got == levels).mean() > 0.9
     other = kernels.random_words(5000, 2)
-    assert (own.levels(other, other & np.uint64((1 << scoring.PAIR_BITS) - 1)) > 0).mean() < 0.06
+    assert (own.levels(other) > 0).mean() < 0.06
+    half = scoring.Filter([(1, size, marks)], 1)
+    assert (half.levels(hashes) == np.where(hashes >> np.uint64(63) == 1, got, 0)).all() and not scoring.Filter([], 1).levels(hashes).any()
+
+
+def brute_score(rows, train):
+    """log10 probabilities by dictionaries: the levels' counts, discounts from all n-grams, weights from all training rows."""
+    grams = []
+    for _, t, *_ in rows:
+        w = ["<", "<", *words(t), ">"]
+        grams.append([(tuple(w[j : j + 1]), tuple(w[j - 1 : j + 1]), tuple(w[j - 2 : j + 1])) for j in range(2, len(w))])
+    taught = [g for (i, *_), g in zip(rows, grams) if train(i)]
+    counts = [Counter(x[o] for g in taught for x in g) for o in range(3)]
+    lvl = lambda n: 1 + math.floor(math.log2(n)) if n else 0
+    stands = lambda n: (3 * 2 ** (lvl(n) - 1) - 1) / 2 if n else 0
+    discount = [sum(n == 1 for n in c.values()) / max(1, sum(n == 1 for n in c.values()) + 2 * sum(n == 2 for n in c.values())) for c in counts]
+
+    def context(o, x, first):
+        n = len(taught) if first else counts[o - 1][x[o][:-1]]
+        return lvl(n), n if first else stands(n)
+
+    kept = [defaultdict(list) for _ in range(3)]
+    for g in taught:
+        for j, x in enumerate(g):
+            for o in (1, 2):
+                kept[o][context(o, x, j == 0)[0]].append(1 / max(1, stands(counts[o][x[o]])))
+    out = []
+    for g in grams:
+        total = 0.0
+        for j, x in enumerate(g):
+            p = (stands(counts[0][x[0]]) + 1) / (sum(counts[0].values()) + len(counts[0]) + 1)
+            for o in (1, 2):
+                level, n = context(o, x, j == 0)
+                own = kept[o][level]
+                free = 1.0 if level == 0 else discount[o] * (sum(own) / len(own) if own else 1.0)
+                p = min(1.0, max(stands(counts[o][x[o]]) - discount[o], 0) / max(n, 1) + free * p)
+            total += math.log10(p)
+        out.append(total)
+    return out
+
+
+def test_scores_equal_a_plain_model(edge, edge_rows, monkeypatch):
+    monkeypatch.setattr(scoring, "BITS_PER_ENTRY", 400)  # next to no false positives
+    held = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 7 == 2
+    want = sorted((str(i), round(s, 6)) for (i, *_), s in zip(edge_rows, brute_score(edge_rows, lambda i: not held(i))))
+    got = scoring.score(edge, remainder(F.col("doc_id"), 7) != 2).collect()
+    assert sorted((str(r.doc_id), round(r.score, 6)) for r in got) == want
+
+
+def test_higher_orders_foretell_better(spark):
+    """On held-out texts of a language with word order, the model beats the counts of single words, and probabilities
+    over all words that follow come to about one."""
+    rng = np.random.default_rng(19)
+    follows = {w: [f"v{int(x)}" for x in rng.integers(0, 200, 6)] for w in [f"v{i}" for i in range(200)]}
+    rows = []
+    for i in range(400):
+        text = ["v0"]
+        for _ in range(60):
+            text.append(str(rng.choice(follows[text[-1]])))
+        rows.append((i, " ".join(text), None, None))
+    got = scoring.score(make(spark, rows), remainder(F.col("doc_id"), 7) != 2).collect()
+    mean = lambda held, c: np.mean([r[c] / r.n_tokens for r in got if r.held_out == held])
+    assert mean(True, "score") > mean(True, "base_score") + 1 and mean(False, "score") >= mean(True, "score")
+    assert 10 ** mean(True, "score") > 0.1
 
 
 # --- 7 ---------------------------------------------------------------------------------------------------------------

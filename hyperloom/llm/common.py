@@ -64,6 +64,18 @@ def share(key: Column, salt: str) -> Column:
     return F.conv(digits, 16, 10).cast("double") / F.lit(float(1 << 52))
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Each name with as many underscores before it as it takes to clash with no column of df."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 WORD = r"[^\x20\x09-\x0D]+"
 
 

@@ -1,8 +1,10 @@
 """Secret scans by token efficiency: operator 9.
 
 Three patterns give base spans: assignments to credential names, access keys, and long hexadecimal runs. The
-method adds random strings: a run of key characters that a vocabulary made from ordinary text encodes badly, so
-that it has few characters per token. Known digests, numbers, words and names made of words are left out first.
+method adds random strings: a run of key characters that a vocabulary made from ordinary text of many languages
+encodes badly, so that it has few characters per token. Known digests, UUIDs, numbers and names made of short words are
+left out first. A long word is asked for its ratio like any other run, with a bound of its own, as invented and
+compound words come near it.
 
 Defined results: a null or empty text has no span; texts of any length are scanned whole; repeated rows are
 scanned one by one; offsets are code points with the end exclusive. Other columns are ignored.
@@ -21,7 +23,7 @@ from pyspark.sql import functions as F
 
 from hyperloom.llm import kernels as k
 from hyperloom.llm.common import table
-from hyperloom.llm.lengths import PIECES, VOCABULARY, read_vocabulary
+from hyperloom.llm.lengths import PIECES, read_vocabulary
 
 KINDS = ("assign", "access", "hex", "random")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -30,11 +32,14 @@ HEX = re.compile(r"[0-9a-f]+")
 RUN = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
 NAMES = (b"password", b"passwd", b"secret", b"token", b"api_key", b"apikey")
 LEAST = {"assign": 12, "access": 18, "hex": 16}
+#: The vocabulary; of the public ones it parts random strings and words best.
+VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 #: Characters per token below which a run is random; words and names have more.
 RATIO = 2.0
-#: A run of words and numbers with more letters in one word than this is random below a ratio of its own, which no
-#: invented word of the clean texts has (the least of 1034 is 1.75) and about 70 % of random strings of letters have.
-LONGEST_WORD, LETTERS_RATIO = 19, 1.75
+#: In runs of words and numbers, the length from which a word is asked for its ratio, and the ratio below which it is
+#: random up to LONGEST_WORD letters. In the given tables no invented word of that length has less (1 % have under 2),
+#: and no longer one under RATIO.
+ASKED_WORD, LONGEST_WORD, WORD_RATIO = 16, 19, 1.77
 #: Lengths of common digests in hexadecimal.
 DIGESTS = (32, 40, 56, 64, 96, 128)
 KEY_BYTE = np.array([chr(b) in "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-" for b in range(256)])
@@ -57,7 +62,8 @@ def least_ratio(run: str) -> float:
     parts = [p for p in re.split(r"[+/_=-]+", run) if p]
     if not all(re.fullmatch(r"[A-Za-z]?[a-z]*|[A-Z]+|[0-9]+|[a-z]+[0-9]{1,4}", p) for p in parts):
         return RATIO
-    return LETTERS_RATIO if any(len(p) > LONGEST_WORD and p.isalpha() for p in parts) else 0.0
+    longest = max((len(x) for x in re.findall("[A-Za-z]+", run)), default=0)
+    return 0.0 if longest < ASKED_WORD else WORD_RATIO if longest <= LONGEST_WORD else RATIO
 
 
 def random_spans(text: str, taken: list[tuple[int, int, int]], tokens, known: frozenset[str] = frozenset()) -> list[tuple[int, int, int]]:

@@ -2,7 +2,8 @@
 
 The network reads windows of WINDOW bytes: an embedding of each byte, filters of several widths, the largest
 response of each filter in the window, and a softmax over the languages. It is trained in numpy on a bounded
-sample of labelled texts; a text's prediction averages the windows that cover it whole, by their bytes.
+sample of labelled texts; a text's prediction averages the windows that cover it whole, by their bytes. The sample takes at most about FIT_DOCS
+documents of each language, however many languages there are.
 
 Defined results: a null text, or one without a letter, is `und` with score 0. Rows with a null lang, or without a
 letter, teach nothing. If there is nothing to learn from, every text is `und`. Repeated rows and ids get equal
@@ -24,8 +25,8 @@ from hyperloom.llm.common import remainder, share, table
 
 UNDETERMINED = "und"
 WINDOW, EMBEDDING, WIDTHS, FILTERS = 256, 8, (2, 3, 4), 16
-#: Bounds of the fitting sample: documents of a language, windows of a document, languages (the most frequent ones).
-FIT_DOCS, FIT_WINDOWS, MOST_LANGUAGES = 800, 3, 200
+#: Bounds of the fitting sample: documents of a language, windows of a document.
+FIT_DOCS, FIT_WINDOWS = 800, 3
 EPOCHS, BATCH, RATE = 8, 128, 4e-3
 #: Windows that go through the network at a time.
 TOGETHER = 64
@@ -106,16 +107,19 @@ def has_letter(text: Column) -> Column:
 def learn(docs: DataFrame, train: Column) -> tuple[Network | None, list[str]]:
     """The network and its languages, from rows of docs where `train` holds."""
     taught = docs.where(train & F.col("lang").isNotNull() & has_letter(F.col("text")))
-    counts = taught.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()
-    names = sorted(r[0] for r in counts)
-    if not names:
+    counts = {r[0]: r[1] for r in taught.groupBy("lang").count().collect()}  # a row for each language
+    if not counts:
         return None, []
-    part = F.lit(None).cast("double")
-    for name, n in counts:
-        part = F.when(F.col("lang") == name, F.lit(min(1.0, FIT_DOCS / n))).otherwise(part)
-    pieces = F.array(*(F.substring(F.col("text"), (F.floor(share(F.col("doc_id"), f"window {j}") * F.greatest(F.length("text") - WINDOW + 1, F.lit(1))) + 1).cast("int"), F.lit(WINDOW)) for j in range(FIT_WINDOWS)))
-    sample = taught.where(share(F.col("doc_id"), "fit") < part).select("lang", F.explode(F.array_distinct(pieces)).alias("piece")).toArrow()
+    # Rows are drawn by their id and text, so that rows without an id, or of one id, are drawn one by one.
+    drawn = share(F.concat_ws("|", F.col("doc_id").cast("string"), F.md5(F.col("text").cast("binary"))), "fit")
+    part = F.element_at(F.create_map(*(F.lit(x) for name, n in sorted(counts.items()) for x in (name, min(1.0, FIT_DOCS / n)))), F.col("lang"))
+    place = lambda j: share(F.md5(F.col("text").cast("binary")), f"window {j}")
+    pieces = F.array(*(F.substring(F.col("text"), (F.floor(place(j) * F.greatest(F.length("text") - WINDOW + 1, F.lit(1))) + 1).cast("int"), F.lit(WINDOW)) for j in range(FIT_WINDOWS)))
+    sample = taught.where(drawn < part).select("lang", F.explode(F.array_distinct(pieces)).alias("piece")).distinct().toArrow()
     rows = sorted(zip(sample["lang"].to_pylist(), sample["piece"].to_pylist()))
+    if not rows:
+        return None, []
+    names = sorted({r[0] for r in rows})
     labels = np.searchsorted(np.array(names), [r[0] for r in rows])
     return fit(np.stack([_window(r[1].encode()) for r in rows]), labels, len(names)), names
 

@@ -3,6 +3,7 @@
 import hashlib
 import itertools
 import math
+import random
 import unicodedata
 import zlib
 from collections import Counter, defaultdict
@@ -67,13 +68,42 @@ def test_mixing(edge, edge_rows, empty):
         taken[r.source] += r["size"] * r.copies
     for s in order:
         largest = max(len(words(t)) for _, t, _, x in edge_rows if x == s)
-        assert abs(taken[s] - want[s]) <= largest
+        assert abs(taken[s] - want[s]) <= 1.25 * largest + 1
     assert sorted(map(str, got)) == sorted(map(str, mixing.mix(edge).collect()))
     emitted = mixing.emit(edge)
     assert emitted.columns == edge.columns and emitted.count() == sum(r.copies for r in got)
     assert mixing.mix(empty).count() == mixing.emit(empty).count() == 0
 
 
+def test_copies_come_by_chance(spark):
+    """Over many sources of one document, the mean of the copies is the rate; a large source comes near its target."""
+    docs = make(spark, [(i, f"one two three {i}", None, f"s{i:04}") for i in range(600)])
+    by = defaultdict(list)
+    for r in mixing.mix(docs).collect():
+        by[round(r.target / r.source_size, 6)].append(r.copies)
+    assert {k: len(v) for k, v in by.items()} == {2.0: 200, round(5 / 3, 6): 200, round(5 / 6, 6): 200}
+    assert all(abs(np.mean(v) - rate) < 4 * math.sqrt(0.25 / 200) for rate, v in by.items()) and {0, 1} == set(by[round(5 / 6, 6)])
+    rng = np.random.default_rng(20)
+    many = [(i if i % 2 else None, " ".join(f"w{i}x{j}" for j in range(int(rng.integers(1, 40)))), None, "abcd"[i % 4]) for i in range(3000)]
+    taken, target, each = Counter(), {}, defaultdict(list)
+    for r in mixing.mix(make(spark, many)).collect():
+        taken[r.source] += r["size"] * r.copies
+        target[r.source] = r.target
+        each[r.source].append(r.copies)
+    assert all(abs(taken[s] - t) < 0.02 * t for s, t in target.items()) and all(max(v) - min(v) <= 1 for v in each.values())
+
+
+def test_emitted_columns_keep_their_names(spark, edge, monkeypatch):
+    names = ["_rate", "_source", "_copies", "_copy", "source_", "stratum_", "whole_", "below_", "number_", "copy_", "stratum", "number", "below", "whole", "n", "few_source"]
+    docs = edge.select("*", *(F.lit(i).alias(c) for i, c in enumerate(names)))
+    got = mixing.emit(docs)
+    assert got.columns == docs.columns
+    rows = got.collect()
+    assert rows and all([r[c] for c in names] == list(range(len(names))) for r in rows)
+    monkeypatch.setattr(mixing, "BROADCAST_ROWS", 0)  # all joins by shuffles: the same rows
+    assert Counter(map(str, mixing.emit(docs).collect())) == Counter(map(str, rows))
+
+
 # --- 2 ---------------------------------------------------------------------------------------------------------------
 
 
@@ -278,6 +308,50 @@ def test_passages_of_long_items_and_common_short_items(spark):
     assert {r.doc_id for r in decontaminate.decontaminated(docs, bench).collect()} == {r[0] for r in rows + common} - {i for i, _ in want}
 
 
+def test_many_alignments_at_once():
+    rng = np.random.default_rng(21)
+    items = [rng.integers(0, 6, int(n)).astype(np.uint64) for n in rng.integers(1, 12, 40)]
+    passages = [rng.integers(0, 6, int(n)).astype(np.uint64) for n in rng.integers(1, 20, 40)]
+    scores, begins, ends = decontaminate.align_many(items, passages)
+    for i, (a, b) in enumerate(zip(items, passages)):
+        table = np.zeros((len(a) + 1, len(b) + 1))
+        for x, y in itertools.product(range(1, len(a) + 1), range(1, len(b) + 1)):
+            step = decontaminate.MATCH if a[x - 1] == b[y - 1] else decontaminate.MISMATCH
+            table[x, y] = max(0, table[x - 1, y - 1] + step, table[x - 1, y] + decontaminate.GAP, table[x, y - 1] + decontaminate.GAP)
+        assert scores[i] == table.max() and 0 <= begins[i] <= ends[i] <= len(b)
+        inside = decontaminate.align(a, b[begins[i] : ends[i]])[0] if ends[i] > begins[i] else 0.0
+        assert inside == pytest.approx(scores[i] / len(a))
+
+
+def zipf(rng, vocabulary, n):
+    """Words by falling frequency, as in prose."""
+    return [vocabulary[min(len(vocabulary) - 1, int(len(vocabulary) ** x) - 1)] for x in rng.random(n)]
+
+
+@pytest.mark.parametrize(("share", "least"), [(0.1, 0.98), (0.2, 0.98), (0.3, 0.95), (0.4, 0.8)])
+def test_edited_copies(spark, share, least):
+    """Recall by the share of an item's words that are replaced; other documents are left alone."""
+    rng = np.random.default_rng(int(share * 100))
+    vocabulary = [f"v{i}" for i in range(20_000)]
+    items = [zipf(rng, vocabulary, int(rng.integers(14, 60))) for _ in range(80)]
+    rows = [(i, " ".join(zipf(rng, vocabulary, 250)), "en", "s") for i in range(400)]
+    for i, item in enumerate(items):
+        copy = list(item)
+        for p in rng.choice(len(item), round(share * len(item)), replace=False):
+            copy[p] = zipf(rng, vocabulary, 1)[0]
+        rows.append((1000 + i, " ".join(zipf(rng, vocabulary, 90) + copy + zipf(rng, vocabulary, 90)), "en", "s"))
+    bench = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(items)], "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontaminate.leaks(make(spark, rows), bench).collect()}
+    want = {(1000 + i, i) for i in range(len(items))}
+    assert len(got & want) >= least * len(want) and len(got - want) <= 1
+
+
+def test_items_of_one_and_two_words(spark):
+    bench = spark.createDataFrame([(1, "Solo"), (2, "two words"), (3, "..."), (4, " ")], "item_id long, text string")
+    rows = [(1, "a solo, b", "x", "s"), (2, "two of words", "x", "s"), (3, "say TWO words.", "x", "s"), (4, "nothing here", "x", "s"), (5, "", "x", "s")]
+    assert {(r.doc_id, r.item_id) for r in decontaminate.leaks(make(spark, rows), bench).collect()} == {(1, 1), (3, 2)}
+
+
 # --- 6 ---------------------------------------------------------------------------------------------------------------
 
 
@@ -448,6 +522,41 @@ def test_secrets_of_letters_alone(spark):
     assert [(s.kind, text[s.start : s.end]) for s in secrets.scan(make(spark, [(1, text, None, None)])).first().spans] == [("random", x) for x in keys]
 
 
+KEYS = {
+    "lower": ("abcdefghijklmnopqrstuvwxyz", 0.7),
+    "upper": ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", 0.95),
+    "letters": ("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", 0.98),
+    "base32": ("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 0.98),
+    "base36": ("abcdefghijklmnopqrstuvwxyz0123456789", 0.98),
+    "base58": ("123456789ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnopqrstuvwxyz", 0.98),
+    "base64": ("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/", 0.98),
+    "url": ("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789_-", 0.98),
+}
+
+
+def test_planted_keys_by_alphabet(spark):
+    """Recall of random strings of 16 to 40 characters, and no alarm for words, names, digests and numbers."""
+    rng = random.Random(22)
+    rows, kinds = [], {}
+    for name, (alphabet, _) in KEYS.items():
+        for _ in range(250):
+            kinds[len(rows)] = name
+            rows.append((len(rows), f"the value {''.join(rng.choice(alphabet) for _ in range(rng.choice((16, 20, 24, 32, 40))))} was seen", None, None))
+    plain = """internationalisation counterrevolutionaries electroencephalography Donaudampfschifffahrtsgesellschaft anticonstitutionnellement
+        electrohydrodynamique otorrinolaringologia some_long_name_of_words another-hyphenated-name-here /usr/share/dictionary/words
+        getUserNameFromRequestHeader 20240131235959123 550e8400-e29b-41d4-a716-446655440000 1234567890123456 ------------------ ================""".split()
+    plain += [hashlib.sha1(b"x").hexdigest().upper(), hashlib.md5(b"x").hexdigest().upper()]
+    rows += [(10_000 + i, f"see {x} there", None, None) for i, x in enumerate(plain)]
+    found = defaultdict(list)
+    for r in secrets.scan(make(spark, rows)).collect():
+        hit = any(x.kind == "random" for x in r.spans)
+        if r.doc_id >= 10_000:
+            assert not hit, plain[r.doc_id - 10_000]
+        else:
+            found[kinds[r.doc_id]].append(hit or any(x.kind == "hex" for x in r.spans))
+    assert {k: round(float(np.mean(v)), 2) for k, v in found.items() if np.mean(v) < KEYS[k][1]} == {}
+
+
 # --- 10 --------------------------------------------------------------------------------------------------------------
 
 

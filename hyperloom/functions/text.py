@@ -104,7 +104,7 @@ def position_in_range(n: Column) -> Column:
     """Where a parsed numeric property lies in its range, 0 to 1; inequalities stand for the middle of their half."""
     r = property_range(n["name"], n["unit"])
     number = F.when(n["op"].isin("<", "≤"), (r["low"] + n["number"]) / 2).when(n["op"].isin(">", "≥"), (n["number"] + r["high"]) / 2).otherwise(n["number"])
-    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), (number - r["low"]) / (r["high"] - r["low"])))
+    return F.when(n.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), (number - r["low"]) / (r["high"] - r["low"]))))  # nulls are no numbers, which greatest and least skip
 
 
 def property_position(value: Column | str) -> Column:
@@ -128,12 +128,14 @@ def normalize_code(code: Column | str) -> Column:
     return F.when(clean.rlike(CODE), F.concat_ws("-", F.upper(part(1)), number, part(3))).otherwise(F.upper(clean))
 
 
+# What tells code from text.
 CODE_FENCE = r"(?m)\A\s*```"
 CODE_KEYWORD = r"(?im)(?:^|\n)\s*(?:import\s+\w+|from\s+\w+\s+import|def\s+\w+\s*\(|class\s+\w+\s*[:\(]|function\s+\w+\s*\(|console\.log|#!/usr/bin|package\s+\w+)"
 CODE_MARK = r"[{};=<>]|::|->|=>"
 
 
 def is_code_like(text: Column | str, monospace: Column | bool = False) -> Column:
+    """A fence, a keyword in monospace, two keywords on two lines, or a keyword among much punctuation."""
     body = strip(F.coalesce(col(text), F.lit("")))
     mono = F.lit(monospace) if isinstance(monospace, bool) else monospace
     lines = F.size(F.filter(F.split(body, r"\r?\n"), lambda x: strip(x) != ""))
@@ -192,6 +194,7 @@ def guess_geography(text: Column | str, filename: Column | str | None = None, ru
     return F.when(a > b, "RU").when(b > a, "Global").when(both.rlike("[а-я]"), "RU").otherwise("Global")
 
 
+# Fixed value: what makes a text sensitive.
 SENSITIVE = rf"(?iu){NOT_AFTER}(U|Pu|UF6|уран|плутоний|plutonium|uranium){NOT_BEFORE}"
 
 
@@ -245,6 +248,7 @@ def entity_role(kind: Column | str, value: Column | str, materials: list[str] =
     )
 
 
+# Numbers with units.
 UNITS = r"(?:мг/л|мг/дм³|г/л|%|МПа|HB)"
 ENRICHMENT = [
     rf"(?iu){NOT_AFTER}(\d+[-–]\d+\s*°C|\d+\s*°C|\d+\s*К){NOT_BEFORE}",
@@ -338,6 +342,7 @@ def raw_noise(id_: Column | str) -> Column:
     return F.startswith(up, F.lit("EXP-RAW")) | F.array_contains(F.slice(F.split(up, "-"), 1, 2), "RAW")
 
 
+# What is redacted.
 SECRET_PATTERNS = [r"sk-[A-Za-z0-9]{20,}", r"(?i)api[_-]?key", r"(?i)Bearer\s+[A-Za-z0-9._-]+"]
 
 
@@ -394,6 +399,7 @@ def preview(text: Column | str, longest: int = 240) -> Column:
     return F.when(F.length(flat) > longest, F.concat(F.left(flat, F.lit(longest)), F.lit("..."))).otherwise(flat)
 
 
+# Fixed value: how a model refuses.
 REFUSALS = r"(?iu)(content[_ ]filter|moderation|не могу обсуждать|i can't discuss|cannot assist)"
 
 

@@ -10,15 +10,15 @@ from __future__ import annotations
 
 import hashlib
 import zlib
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 FULL = 10_000
-_TIES: dict[int, np.ndarray] = {}
+_TIES: dict[tuple[str, int], np.ndarray] = {}
 
 # --- words: in the JVM -------------------------------------------------------------------------------------------
 
@@ -46,6 +46,12 @@ def similarity_words(a: Column, b: Column, dim: int = 256) -> Column:
     return 1.0 - 2.0 * apart / dim
 
 
+def permute_words(v: Column) -> Column:
+    """Cyclic shift by one position: what stood at i stands at i + 1."""
+    before = lambda i: F.element_at(v, F.when(i == 0, F.lit(-1)).otherwise(i))
+    return F.transform(v, lambda x, i: F.call_function("shiftleft", x, F.lit(1)).bitwiseOR(F.call_function("shiftrightunsigned", before(i), F.lit(63))))
+
+
 # --- packed: numpy -----------------------------------------------------------------------------------------------
 
 
@@ -57,6 +63,11 @@ def generate(key: str, dim: int = FULL) -> np.ndarray:
     return _rng(key).integers(0, 2, dim, dtype=np.int8) * 2 - 1
 
 
+def digest_vector(key: str, dim: int = FULL) -> np.ndarray:
+    """`word_vector` in numpy: the same positions."""
+    return np.array([1 if ord(hashlib.md5(f"{key}|{i}".encode()).hexdigest()[0]) % 2 else -1 for i in range(dim)], np.int8)
+
+
 def bind(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return a * b
 
@@ -65,11 +76,11 @@ def permute(v: np.ndarray, n: int = 1) -> np.ndarray:
     return np.roll(v, n)
 
 
-def tie(owner: str, dim: int = FULL) -> np.ndarray:
+def tie(owner: str, dim: int = FULL, make: Callable[[str, int], np.ndarray] = generate) -> np.ndarray:
     """What breaks an owner's ties: one fixed vector, rolled by a checksum of the owner's name."""
-    if dim not in _TIES:
-        _TIES[dim] = generate("tie", dim)
-    return np.roll(_TIES[dim], zlib.crc32(owner.encode()) % dim)
+    if (make.__name__, dim) not in _TIES:
+        _TIES[make.__name__, dim] = make("tie", dim)
+    return np.roll(_TIES[make.__name__, dim], zlib.crc32(owner.encode()) % dim)
 
 
 def bundle(vectors: list[np.ndarray], weights: list[float] | None = None, owner: str = "") -> np.ndarray:
@@ -127,8 +138,8 @@ def project(dense: np.ndarray, matrix: np.ndarray) -> np.ndarray:
 class Codebook:
     """Vectors by key, made once in a task and kept up to a bounded number."""
 
-    def __init__(self, dim: int = FULL, semantic: bool = True, most: int = 4096):
-        self.dim, self.semantic, self.most, self.kept, self.matrix = dim, semantic, most, {}, None
+    def __init__(self, dim: int = FULL, semantic: bool = True, most: int = 4096, make: Callable[[str, int], np.ndarray] = generate):
+        self.dim, self.semantic, self.most, self.make, self.kept, self.matrix = dim, semantic, most, make, {}, None
 
     def __call__(self, key: str) -> np.ndarray:
         if key not in self.kept:
@@ -139,7 +150,7 @@ class Codebook:
                 self.matrix = projection(dim=self.dim) if self.matrix is None else self.matrix
                 self.kept[key] = project(trigram_embedding(value), self.matrix)
             else:
-                self.kept[key] = generate(key, self.dim)
+                self.kept[key] = self.make(key, self.dim)
         return self.kept[key]
 
 
@@ -155,6 +166,86 @@ def similarity_to(query: np.ndarray):
     return run
 
 
+#: Keys whose sums a task holds before it hands them on.
+HELD_KEYS = 256
+
+
+def bundled(rows: DataFrame, dim: int = FULL, weight: str | None = None) -> DataFrame:
+    """key, hv, vectors: for each key the bundle of its packed vectors (key, hv, and a whole weight), ties by the key's name.
+
+    Tasks add up what they have of a key before the shuffle, so a key of any size is a few sums for the last step."""
+    zero = np.zeros(dim, np.int64)
+
+    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[str, list] = {}
+
+        def flush() -> pd.DataFrame:
+            out = pd.DataFrame([(k, s.tobytes(), n) for k, (s, n) in held.items()], columns=["key", "sum", "n"])
+            held.clear()
+            return out
+
+        for batch in batches:
+            times = batch["weight"].to_numpy() if weight else np.ones(len(batch), np.int64)
+            for key, hv, w in zip(batch["key"], batch["hv"], times):
+                own = held.setdefault(key, [zero.copy(), 0])
+                own[0] += int(w) * unpack(hv, dim)
+                own[1] += 1
+                if len(held) >= HELD_KEYS:
+                    yield flush()
+        yield flush()
+
+    def whole(group: pd.DataFrame) -> pd.DataFrame:
+        total = np.sum([np.frombuffer(s, np.int64) for s in group["sum"]], axis=0)
+        key = group["key"].iloc[0]
+        return pd.DataFrame({"key": [key], "hv": [pack(np.where(total == 0, tie(key, dim), total))], "vectors": [int(group["n"].sum())]})
+
+    columns = ["key", "hv"] + ([F.col(weight).alias("weight")] if weight else [])
+    sums = rows.select(*columns).mapInPandas(partial, "key string, sum binary, n long")
+    return sums.groupBy("key").applyInPandas(whole, "key string, hv binary, vectors long")
+
+
+def packed_vectors(dim: int = FULL, make: Callable[[str, int], np.ndarray] = generate):
+    """A pandas UDF: keys to packed vectors."""
+
+    @F.pandas_udf("binary")
+    def run(keys: pd.Series) -> pd.Series:
+        known = {k: pack(make(k, dim)) for k in keys.unique()}
+        return keys.map(known)
+
+    return run
+
+
+def migrated(codebook: DataFrame) -> DataFrame:
+    """key, hv of a codebook (ord, key, hv) under normalised keys; of several that become one, the first counts."""
+    from hyperloom.functions import text
+
+    return codebook.groupBy(text.normalize_key("key").alias("key")).agg(F.min_by("hv", "ord").alias("hv"))
+
+
+def trigram_udf(dim: int = 384):
+    """A pandas UDF: texts to their trigram embeddings, equal texts once."""
+
+    @F.pandas_udf("array<float>")
+    def run(texts: pd.Series) -> pd.Series:
+        known = {t: trigram_embedding(t or "", dim) for t in texts.unique()}
+        return texts.map(known)
+
+    return run
+
+
+def embedded(texts: DataFrame, cache: DataFrame, embed=None) -> DataFrame:
+    """text, embedding, cached for the distinct normalised texts: from the cache (text, embedding) where it has them, else
+    made by `embed`, a function from a column to a column (trigrams by default)."""
+    from hyperloom.functions import text as t
+
+    wanted = texts.select(t.normalize_value("text").alias("text")).where("text <> ''").distinct()
+    known = cache.select(t.normalize_value("text").alias("text"), "embedding").dropDuplicates(["text"])
+    own = wanted.join(known.withColumn("cached", F.lit(True)), "text", "left")
+    old = own.where("cached").select("text", "embedding", "cached")
+    new = own.where("cached is null").select("text", (embed or trigram_udf())(F.col("text")).alias("embedding"), F.lit(False).alias("cached"))
+    return old.unionByName(new)
+
+
 def cosine(a: Column, b: Column) -> Column:
     """Of two arrays; 0 where one has no length, an error where their sizes differ."""
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q), F.lit(0.0), lambda acc, v: acc + v)

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hyperloom.functions import text
 
 SOFT, HARD, USEFUL, VERSION = 1800, 2400, 40, "cn_v1"
-CHUNK = "doc_id long, index int, text string, section string, section_path array<string>, content_type string, chunk_version string, source_block int, table_part int"
 
 
 def blocks_of_text(docs: DataFrame) -> DataFrame:
@@ -77,53 +78,88 @@ def split_table(header: list[list[str]], body: list[list[str]], soft: int = SOFT
     return ["\n".join(head + p) for p in parts if p]
 
 
+BLOCK = "struct<pos:int,kind:string,level:int,body:string,rows:array<array<string>>>"
+
+
+def structured(blocks: Column) -> Column:
+    """Raw blocks of a document file (kind paragraph or table, style, monospace, body, rows) as BLOCKs: code, headings by
+    style or number, text and tables."""
+
+    def one(b: Column, i: Column) -> Column:
+        level = text.heading_level(b["style"], b["body"])
+        kind = F.when(b["kind"] == "table", "table").when(text.is_code_like(b["body"], b["monospace"]), "code").when(level.isNotNull(), "heading").otherwise("text")
+        return F.struct(i.alias("pos"), kind.alias("kind"), F.when(kind == "heading", level).alias("level"), b["body"].alias("body"), b["rows"].alias("rows"))
+
+    return F.transform(blocks, one)
+
+
+def assembled(blocks: list[dict], soft: int, hard: int) -> list[tuple]:
+    """The chunks of one document's blocks in order: (text, section path, kind, block, table part)."""
+    out, path, levels, held, held_from = [], [], [], [], 0
+
+    def put(body: str, kind: str, block: int, part: int | None = None) -> None:
+        head = "\n".join(path)
+        out.append((body if not path or body.startswith(head) else f"{head}\n\n{body}", list(path), kind, block, part))
+
+    def flush() -> None:
+        size, piece = 0, []
+        for line in [*held, None]:
+            if line is None or (piece and size + len(line) + 1 > soft):
+                body = "\n".join(piece)
+                if len(body) >= USEFUL:
+                    put(body, "text", held_from)
+                size, piece = 0, []
+            if line is not None:
+                piece.append(line)
+                size += len(line) + 1
+        held.clear()
+
+    for b in blocks:
+        if b["kind"] == "heading":
+            flush()
+            level = b["level"] or 1
+            while levels and levels[-1] >= level:
+                levels.pop()
+                path.pop()
+            levels.append(level)
+            path.append(b["body"])
+        elif b["kind"] == "table":
+            flush()
+            rows = [list(r) for r in b["rows"]]
+            for i, part in enumerate(split_table(rows[:1], rows[1:], soft, hard) if len(rows) > 1 else split_table([], rows, soft, hard)):
+                put(part, "table", b["pos"], i + 1)
+        elif b["kind"] != "code":
+            held_from = held_from if held else b["pos"]
+            held.append(b["body"])
+    flush()
+    return out
+
+
+def chunks_of(docs: DataFrame, soft: int = SOFT, hard: int = HARD) -> DataFrame:
+    """Chunks of documents (doc_id, blocks array of BLOCK): code is skipped; a heading ends what is gathered; text is
+    packed and kept from USEFUL characters on, after its section path; tables are split. A document is one row, so
+    nothing is shuffled."""
+    part = "struct<text:string,section_path:array<string>,content_type:string,source_block:int,table_part:int>"
+    names = ("text", "section_path", "content_type", "source_block", "table_part")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = pa.list_(pa.struct([("text", pa.string()), ("section_path", pa.list_(pa.string())), ("content_type", pa.string()), ("source_block", pa.int32()), ("table_part", pa.int32())]))
+        for batch in batches:
+            made = [[dict(zip(names, c)) for c in assembled(blocks or [], soft, hard)] for blocks in batch.column("blocks").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(made, kind)], ["doc_id", "parts"])
+
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("blocks").cast(f"array<{BLOCK}>")).mapInArrow(run, f"doc_id long, parts array<{part}>")
+    rows = rows.select("doc_id", F.posexplode("parts").alias("index", "p"))
+    return rows.select("doc_id", "index", "p.text", text.section_label("p.section_path").alias("section"), "p.section_path", "p.content_type", F.lit(VERSION).alias("chunk_version"), "p.source_block", "p.table_part")
+
+
 def chunks(blocks: DataFrame, soft: int = SOFT, hard: int = HARD) -> DataFrame:
-    """Chunks of blocks (doc_id, pos, kind heading/text/table/code, level, body, rows array<array<string>>).
-
-    Code is skipped; a heading ends what is gathered; text is packed and kept from USEFUL characters on, after its
-    section path; tables are split. One group is one document."""
-
-    def assemble(pdf: pd.DataFrame) -> pd.DataFrame:
-        out, path, levels, held, held_from = [], [], [], [], 0
-
-        def put(body: str, kind: str, block: int, part: int | None = None) -> None:
-            head = "\n".join(path)
-            whole = body if not path or body.startswith(head) else f"{head}\n\n{body}"
-            out.append((pdf["doc_id"].iloc[0], len(out), whole, path[-1] if path else "Введение", list(path), kind, VERSION, block, part))
-
-        def flush() -> None:
-            size, piece = 0, []
-            for line in [*held, None]:
-                if line is None or (piece and size + len(line) + 1 > soft):
-                    body = "\n".join(piece)
-                    if len(body) >= USEFUL:
-                        put(body, "text", held_from)
-                    size, piece = 0, []
-                if line is not None:
-                    piece.append(line)
-                    size += len(line) + 1
-            held.clear()
-
-        for pos, kind, level, body, rows in pdf.sort_values("pos")[["pos", "kind", "level", "body", "rows"]].itertuples(index=False):
-            if kind == "code":
-                continue
-            if kind == "heading":
-                flush()
-                level = int(level) if level == level and level is not None else 1
-                while levels and levels[-1] >= level:
-                    levels.pop()
-                    path.pop()
-                levels.append(level)
-                path.append(body)
-            elif kind == "table":
-                flush()
-                rows = [list(r) for r in rows]
-                for i, part in enumerate(split_table(rows[:1], rows[1:], soft, hard) if len(rows) > 1 else split_table([], rows, soft, hard)):
-                    put(part, "table", pos, i + 1)
-            else:
-                held_from = held_from if held else pos
-                held.append(body)
-        flush()
-        return pd.DataFrame(out, columns=[c.split()[0] for c in CHUNK.split(", ")])
-
-    return blocks.groupBy("doc_id").applyInPandas(assemble, CHUNK)
+    """The same of blocks that are rows (doc_id, pos, kind, level, body, rows)."""
+    own = F.array_sort(F.collect_list(F.struct(F.col("pos").cast("int").alias("pos"), "kind", F.col("level").cast("int").alias("level"), "body", "rows")))
+    return chunks_of(blocks.groupBy("doc_id").agg(own.alias("blocks")), soft, hard)
+
+
+def blocks_in_rows(docs: DataFrame) -> DataFrame:
+    """doc_id, blocks of plain texts: lines that hold bars are tables of one row, others text; blank lines are none."""
+    line = lambda body, i: F.struct(i.alias("pos"), F.when(F.contains(body, F.lit("|")), "table").otherwise("text").alias("kind"), F.lit(None).cast("int").alias("level"), body.alias("body"), F.when(F.contains(body, F.lit("|")), F.array(F.split(body, r"\s*\|\s*"))).alias("rows"))
+    return docs.select("doc_id", F.filter(F.transform(F.split("text", "\n"), line), lambda b: text.strip(b["body"]) != "").alias("blocks"))

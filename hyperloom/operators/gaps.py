@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hyperloom import schema
-from hyperloom.functions import text
+from hyperloom.functions import text, vectors
 from hyperloom.operators.entities import entities
 
 # Parts of a geography that make it domestic.
@@ -19,23 +22,33 @@ def is_domestic(geography: Column, words: list[str] = DOMESTIC) -> Column:
     return F.coalesce(geography.isNotNull() & (text.hits(F.lower(geography), words) > 0), F.lit(False))
 
 
-def combination_counts(experiments: DataFrame, dimensions: list[str], domestic: Column) -> DataFrame:
-    """d0, d1, ..., experiments, domestic: how often a combination of values occurs among inputs and processes. An
-    experiment counts once for each of its value occurrences, and only if it has every dimension."""
+def combinations(experiments: DataFrame, dimensions: list[str], domestic: Column) -> DataFrame:
+    """d0, d1, ... (arrays), n, home: each combination of the dimensions' values among inputs and processes with how many
+    experiments have it. Axes and counts both come from this table, so the experiments are read and shuffled once."""
     every = F.concat("input_entities", "process_entities")
     values = lambda d: F.transform(F.filter(every, lambda e: e["type"] == d), lambda e: e["value"])
-    rows = experiments.select(domestic.alias("domestic"), *(values(d).alias(f"d{i}") for i, d in enumerate(dimensions)))
-    for i in range(len(dimensions)):
-        rows = rows.withColumn(f"d{i}", F.explode(f"d{i}"))
-    return rows.groupBy(*(f"d{i}" for i in range(len(dimensions)))).agg(F.count("*").alias("experiments"), F.count_if("domestic").alias("domestic"))
-
-
-def grid(experiments: DataFrame, dimensions: list[str], cap: int | None = None) -> DataFrame:
-    """All combinations of each dimension's most frequent values (ties by value). Its size is bounded by the caps,
-    at most 10 000 rows or so whatever the data's size."""
-    most = cap or schema.DIMENSION_CAPS.get(len(dimensions), schema.DIMENSION_CAP_REST)
-    counted = entities(experiments, ("input", "process")).where(F.col("type").isin(dimensions)).groupBy("type", "value").agg(F.count("*").alias("n"))
-    axes = [counted.where(F.col("type") == d).orderBy(F.desc("n"), "value").limit(most).select(F.col("value").alias(f"d{i}")) for i, d in enumerate(dimensions)]
+    names = [f"d{i}" for i in range(len(dimensions))]
+    rows = experiments.select(domestic.alias("domestic"), *(values(d).alias(n) for n, d in zip(names, dimensions)))
+    return rows.groupBy(*names).agg(F.count("*").alias("n"), F.count_if("domestic").alias("home"))
+
+
+def combination_counts(combined: DataFrame, dimensions: int) -> DataFrame:
+    """d0, d1, ..., experiments, domestic: how often a combination of values occurs. An experiment counts once for each of
+    its value occurrences, and only if it has every dimension."""
+    names = [f"d{i}" for i in range(dimensions)]
+    for name in names:
+        combined = combined.withColumn(name, F.explode(name))
+    return combined.groupBy(*names).agg(F.sum("n").alias("experiments"), F.sum("home").alias("domestic"))
+
+
+def grid(combined: DataFrame, dimensions: int, cap: int | None = None) -> DataFrame:
+    """All combinations of each dimension's most frequent values (ties by value). The caps bound its size whatever the
+    data's: 500 rows for one dimension, 10 000 for two, 8 000 for three, and 10 to the power of more."""
+    most = cap or schema.DIMENSION_CAPS.get(dimensions, schema.DIMENSION_CAP_REST)
+    axes = []
+    for i in range(dimensions):
+        counted = combined.select(F.explode(f"d{i}").alias(f"d{i}"), "n").groupBy(f"d{i}").agg(F.sum("n").alias("n"))
+        axes.append(counted.orderBy(F.desc("n"), f"d{i}").limit(most).select(f"d{i}"))
     return reduce(lambda a, b: a.crossJoin(b), axes)
 
 
@@ -56,9 +69,37 @@ def prioritized(gaps: DataFrame, dimensions: int, most: int = 100) -> DataFrame:
 
 def analyze(experiments: DataFrame, dimensions: list[str], least: int = 3, cap: int | None = None, domestic: Column | None = None, cells: DataFrame | None = None) -> DataFrame:
     """All gaps. `cells` (d0, d1, ...) asks for these combinations and no others."""
-    domestic = is_domestic(F.col("geography")) if domestic is None else domestic
-    counts = combination_counts(experiments, dimensions, domestic)
-    return classify(grid(experiments, dimensions, cap) if cells is None else cells, counts, len(dimensions), least)
+    combined = combinations(experiments, dimensions, is_domestic(F.col("geography")) if domestic is None else domestic)
+    n = len(dimensions)
+    return classify(grid(combined, n, cap) if cells is None else cells, combination_counts(combined, n), n, least)
+
+
+def neighbours(experiments: DataFrame, encoded: DataFrame, cells: DataFrame, dimensions: list[str], dim: int, semantic: bool = True, most: int = 5) -> DataFrame:
+    """cell, rank, id, similarity, value: for each of a few gaps (d0, d1, ...; at most a hundred or so) its nearest
+    experiments with a row for each of their outputs. Fillers come from the codebook, never from numbers' places.
+
+    The cells' vectors go to the tasks together; a task hands on its own nearest of each cell."""
+    rows = cells.select(*(f"d{i}" for i in range(len(dimensions)))).collect()
+    names = ["/".join(r) for r in rows]
+    book = vectors.Codebook(dim, semantic)
+    packed = [vectors.pack(vectors.bundle([vectors.bind(book(f"Role:{d}"), book(f"{d}:{' '.join(v.lower().split())}")) for d, v in zip(dimensions, r)], owner="query")) for r in rows]
+    if not rows:
+        return experiments.select(F.lit("").alias("cell"), F.lit(0).alias("rank"), "id", F.lit(0.0).alias("similarity"), F.lit("").alias("value")).limit(0)
+    wanted = np.frombuffer(b"".join(packed), np.uint8).reshape(len(rows), -1)
+
+    def near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            own = np.frombuffer(b"".join(batch["hv"]), np.uint8).reshape(len(batch), -1)
+            for name, q in zip(names, wanted):
+                s = 1 - 2 * np.bitwise_count(own ^ q).sum(1, dtype=np.int64) / dim
+                first = np.lexsort((batch["id"].to_numpy(), -s))[:most]
+                yield pd.DataFrame({"cell": name, "id": batch["id"].to_numpy()[first], "similarity": s[first]})
+
+    best = encoded.select("id", "hv").mapInPandas(near, "cell string, id string, similarity double")
+    rank = F.row_number().over(Window.partitionBy("cell").orderBy(F.desc("similarity"), "id"))
+    ranked = best.withColumn("rank", rank).where(F.col("rank") <= most)
+    outputs = experiments.select("id", F.explode("output_entities").alias("o")).select("id", F.col("o.value").alias("value"))
+    return F.broadcast(ranked).join(outputs, "id").select("cell", "rank", "id", "similarity", "value")  # a few rows for each cell
 
 
 def extrapolate(neighbours: DataFrame) -> DataFrame:

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -39,6 +41,19 @@ def sanitize(query: DataFrame, least: int = 3) -> DataFrame:
     return query.withColumn("key", key).where(F.length(text.normalize_value("value")) >= least).withColumn("n", F.row_number().over(first)).where("n = 1").drop("n")
 
 
+def parse(question: str, known: DataFrame) -> DataFrame:
+    """type, value: the entities that a question names, from known values (type, value), number patterns and a small
+    vocabulary; the first of each key, longer values first."""
+    spark = known.sparkSession
+    low = F.lower(F.lit(question))
+    values = known.where(F.col("type").isin(schema.ENTITY_TYPES)).select("type", text.normalize_value("value").alias("value")).distinct()
+    found = values.where(text.matches_value(text.normalize_value(F.lit(question)), F.col("value"))).withColumn("source", F.lit(0))
+    numbers = spark.range(1).select(F.explode(text.query_properties(F.lit(question))).alias("value")).select(F.lit("Property").alias("type"), "value", F.lit(1).alias("source"))
+    words = spark.createDataFrame(text.VOCABULARY, "term string, type string, value string").where(text.contains_term(low, F.col("term"))).select("type", "value", F.lit(2).alias("source"))
+    every = found.unionByName(numbers).unionByName(words).withColumn("pos", F.col("source") * 10_000 - F.length("value"))
+    return sanitize(every).select("type", "value")
+
+
 # --- three-part vectors in the JVM ---------------------------------------------------------------------------------
 
 
@@ -70,14 +85,32 @@ BROADCAST_COMBINATIONS = 1_000_000
 
 def search_triples(rows: DataFrame, material: str, process: str, facility: str, f: schema.SearchFilter, dim: int = 256) -> DataFrame:
     """rows with their similarity to the query. Filters apply before anything else. The combinations are found by one
-    pass over three columns and kept; if they are few, as usual, the rows themselves aren't shuffled."""
+    pass over three columns; if the values' numbers allow only few, as usual, the rows themselves aren't shuffled."""
     kept = metadata_filter(rows, f)
     query = kept.sparkSession.range(1).select(query_vector(material, process, facility, dim).alias("q"))
-    scored = encode_triples(kept, dim).crossJoin(F.broadcast(query)).select("material", "process", "facility", vectors.similarity_words(F.col("hv"), F.col("q"), dim).alias("similarity")).cache()
-    few = scored.count() <= BROADCAST_COMBINATIONS
+    scored = encode_triples(kept, dim).crossJoin(F.broadcast(query)).select("material", "process", "facility", vectors.similarity_words(F.col("hv"), F.col("q"), dim).alias("similarity"))
+    most = kept.agg(*(F.approx_count_distinct(c) for c in ("material", "process", "facility"))).first()
+    few = 1.2 * most[0] * most[1] * most[2] <= BROADCAST_COMBINATIONS
     return kept.join(F.broadcast(scored) if few else scored, ["material", "process", "facility"])
 
 
+def top_hits(rows: DataFrame, questions: DataFrame, k: int, f: schema.SearchFilter = schema.SearchFilter(), dim: int = 256) -> DataFrame:
+    """question, rank, hits and the rows' columns with their similarity: the k best rows of each of a few questions
+    (question, material, process, facility), ties by id; `hits` is the number of all rows that pass the filter.
+
+    Rows of one combination are alike, so a combination that k others are ahead of has no row among the best. Only
+    rows of the combinations left are ranked."""
+    kept = metadata_filter(rows, f)
+    hv = vectors.majority_words(*(role_filler(x, F.col(x.lower()), dim) for x in ("Material", "Process", "Facility"))).alias("q")
+    asked = F.broadcast(questions.select("question", hv))
+    scored = encode_triples(kept, dim).crossJoin(asked).select("question", "material", "process", "facility", vectors.similarity_words(F.col("hv"), F.col("q"), dim).alias("similarity"))
+    ahead = F.rank().over(Window.partitionBy("question").orderBy(F.desc("similarity")))
+    best = scored.withColumn("ahead", ahead).where(F.col("ahead") <= k).drop("ahead")
+    rank = F.row_number().over(Window.partitionBy("question").orderBy(F.desc("similarity"), "id"))
+    found = kept.join(best, ["material", "process", "facility"]).withColumn("rank", rank).where(F.col("rank") <= k)
+    return found.crossJoin(F.broadcast(kept.agg(F.count("*").alias("hits"))))
+
+
 def top_k(scored: DataFrame, k: int, score: str = "similarity", tie: str = "id", skip: int = 0) -> DataFrame:
     out = scored.orderBy(F.desc(score), tie)
     return (out.offset(skip) if skip else out).limit(k)
@@ -86,63 +119,76 @@ def top_k(scored: DataFrame, k: int, score: str = "similarity", tie: str = "id",
 # --- full-dimension encoding ---------------------------------------------------------------------------------------
 
 
-def encode_experiments(experiments: DataFrame, dim: int = vectors.FULL, semantic: bool = True, tasks: int | None = None) -> DataFrame:
-    """id and the packed vector of each experiment: its role-filler bindings (Material and Process weigh 2) and its
-    relations, permute(source) * type * target, whose endpoints resolve to the first entity of that value. Entities
-    are columns of the row, so nothing is shuffled; `tasks` deals rows of few input files out to so many."""
+def _fillers(experiments: DataFrame) -> DataFrame:
+    """id, parts, weights: what an experiment's vector is bundled from, as texts that say how to make each part, so that
+    equal parts are made once. Relations' endpoints resolve to the first entity of that value."""
+    sep, inner = F.lit("\u0001"), F.lit("\u0002")
+
     def placed(e: Column) -> Column:
         number = F.when(e["type"] == "Property", text.numeric_property(e["value"]))
-        key = text.entity_key(e["type"], e["value"])
-        return text.bound(number, lambda n: F.struct(e["type"].alias("type"), e["value"].alias("value"), key.alias("key"), F.lower(n["name"]).alias("base"), text.position_in_range(n).alias("position")))
 
-    def run(batches):
-        # Experiments share what breaks their ties, so that it doesn't set like ones apart.
-        book, bound, even = vectors.Codebook(dim, semantic), {}, vectors.tie("experiments", dim)
-
-        def filler(e: dict):
-            if e["position"] is not None:
-                return vectors.blend(book(f"NumericBase:{e['base']}:min"), book(f"NumericBase:{e['base']}:max"), e["position"])
-            return book(e["key"])
+        def filler(n: Column) -> Column:
+            at = text.position_in_range(n)
+            return F.when(at.isNotNull(), F.concat(F.lit("N"), inner, F.lower(n["name"]), inner, at.cast("string"))).otherwise(F.concat(F.lit("E"), inner, text.entity_key(e["type"], e["value"])))
 
-        def kept(key: tuple, make):
-            """Bindings come again and again; a bounded number of them is kept."""
-            if key not in bound:
-                if len(bound) >= book.most:
-                    bound.clear()
-                bound[key] = make()
-            return bound[key]
+        made = text.bound(number, filler)
+        return F.struct(F.lower(text.strip(e["value"])).alias("v"), made.alias("f"), F.concat(F.lit("B"), sep, e["type"], sep, made).alias("part"), F.greatest(F.lit(1), *(F.when(e["type"] == t, w) for t, w in schema.BUNDLE_WEIGHTS.items())).alias("w"))
 
-        def relation(kind: str, a: dict, b: dict):
-            return vectors.bind(vectors.bind(vectors.permute(filler(a)), book(f"RelationType:{kind}")), filler(b))
+    own = experiments.select("id", "relations", F.transform(F.concat("input_entities", "process_entities", "output_entities"), placed).alias("own"))
+    end = lambda value: F.get(F.filter("own", lambda e: e["v"] == F.lower(text.strip(value)))["f"], F.lit(0))
+    related = F.transform(F.coalesce("relations", F.array().cast(f"array<{schema.RELATION}>")), lambda r: F.concat(F.lit("R"), sep, r["type"], sep, end(r["source"]), sep, end(r["target"])))
+    related = F.filter(related, lambda x: x.isNotNull())
+    weights = F.concat(F.transform("own", lambda e: e["w"]), F.transform(related, lambda x: F.lit(1)))
+    return own.select("id", F.concat(F.transform("own", lambda e: e["part"]), related).alias("parts"), weights.alias("weights"))
 
-        for rows in batches:
-            out = []
-            for id_, every, relations in zip(rows["id"], rows["every"], rows["relations"]):
-                total, first, n = np.zeros(dim, np.int16), {}, 0
-                for e in every:
-                    part = kept((e["type"], e["key"], e["position"]), lambda e=e: vectors.bind(book(f"Role:{e['type']}"), filler(e)))
-                    for _ in range(schema.BUNDLE_WEIGHTS.get(e["type"], 1)):
-                        total += part
-                    n += 1
-                    first.setdefault(e["value"].strip().lower(), e)
-                for r in relations if relations is not None else ():
-                    a, b = first.get(r["source"].strip().lower()), first.get(r["target"].strip().lower())
-                    if a is not None and b is not None:
-                        total += kept((r["type"], a["key"], a["position"], b["key"], b["position"]), lambda r=r, a=a, b=b: relation(r["type"], a, b))
-                        n += 1
-                if not n:
-                    total += vectors.generate(f"empty|{id_}", dim)
-                out.append(vectors.pack(np.where(total == 0, even, total)))
-            yield pd.DataFrame({"id": rows["id"], "hv": out})
 
-    every = F.concat("input_entities", "process_entities", "output_entities")
-    rows = experiments.select("id", F.transform(every, placed).alias("every"), "relations")
-    return (rows.repartition(tasks, "id") if tasks else rows).mapInPandas(run, "id string, hv binary")
+def encode_experiments(experiments: DataFrame, dim: int = vectors.FULL, semantic: bool = True, tasks: int | None = None, against: np.ndarray | None = None, make=vectors.generate) -> DataFrame:
+    """id and the packed vector hv of each experiment: its role-filler bindings (Material and Process weigh 2) and its
+    relations, permute(source) * type * target. With a query's vector `against`, id and similarity instead, and no vector
+    leaves its task. Entities are columns of the row, so nothing is shuffled; `tasks` deals rows of few files out."""
+    query = None if against is None else np.frombuffer(vectors.pack(against), np.uint8)
 
-
-def encode_query(query: list[tuple[str, str]], dim: int = vectors.FULL, semantic: bool = True, positions: dict | None = None):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # Experiments share what breaks their ties, so that it doesn't set like ones apart.
+        book, parts, even = vectors.Codebook(dim, semantic, make=make), {}, vectors.tie("experiments", dim, make)
+
+        def filler(code: str) -> np.ndarray:
+            kind, _, rest = code.partition("\u0002")
+            if kind == "E":
+                return book(rest)
+            base, _, at = rest.rpartition("\u0002")
+            return vectors.blend(book(f"NumericBase:{base}:min"), book(f"NumericBase:{base}:max"), float(at))
+
+        def made(part: str) -> np.ndarray:
+            kind, first, *rest = part.split("\u0001")
+            if kind == "B":
+                return vectors.bind(book(f"Role:{first}"), filler(rest[0]))
+            return vectors.bind(vectors.bind(vectors.permute(filler(rest[0])), book(f"RelationType:{first}")), filler(rest[1]))
+
+        for batch in batches:
+            out = []
+            for id_, own, weights in zip(batch.column("id").to_pylist(), batch.column("parts").to_pylist(), batch.column("weights").to_pylist()):
+                total = np.zeros(dim, np.int8 if sum(weights) < 128 else np.int32)
+                for part, w in zip(own, weights):
+                    if part not in parts:
+                        if len(parts) >= book.most:  # a bounded number is kept
+                            parts.clear()
+                        parts[part] = made(part)
+                    for _ in range(w):
+                        np.add(total, parts[part], out=total)
+                if not own:
+                    total = make(f"empty|{id_}", dim)
+                hv = np.packbits((total > 0) | ((total == 0) & (even > 0)))
+                out.append(hv.tobytes() if query is None else 1 - 2 * int(np.bitwise_count(hv ^ query).sum(dtype=np.int64)) / dim)
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(out, pa.binary() if query is None else pa.float64())], ["id", "hv" if query is None else "similarity"])
+
+    rows = _fillers(experiments)
+    return (rows.repartition(tasks, "id") if tasks else rows).mapInArrow(run, "id string, hv binary" if query is None else "id string, similarity double")
+
+
+def encode_query(query: list[tuple[str, str]], dim: int = vectors.FULL, semantic: bool = True, positions: dict | None = None, make=vectors.generate):
     """The unweighted bundle of a few query entities, on the driver; positions: {value: (base, position)}."""
-    book = vectors.Codebook(dim, semantic)
+    book = vectors.Codebook(dim, semantic, make=make)
     parts = []
     for kind, value in query:
         if positions and value in positions:
@@ -154,12 +200,17 @@ def encode_query(query: list[tuple[str, str]], dim: int = vectors.FULL, semantic
     return vectors.bundle(parts, owner="query")
 
 
+def query_hv(query: DataFrame, dim: int = vectors.FULL, semantic: bool = True, make=vectors.generate) -> np.ndarray | None:
+    """The vector of a question's few entities (type, value); None if there are none."""
+    rows = query.select("type", "value", F.lower(text.numeric_property("value")["name"]).alias("base"), F.when(F.col("type") == "Property", text.property_position("value")).alias("position")).collect()
+    return encode_query([(r.type, r.value) for r in rows], dim, semantic, {r.value: (r.base, r.position) for r in rows if r.position is not None}, make) if rows else None
+
+
 def search(encoded: DataFrame, experiments: DataFrame, query: DataFrame, limit: int = 5, f: schema.SearchFilter = schema.SearchFilter(), dim: int = vectors.FULL, semantic: bool = True) -> DataFrame:
     """The experiments most similar to the query entities (type, value); none without query entities."""
-    rows = query.select("type", "value", F.lower(text.numeric_property("value")["name"]).alias("base"), F.when(F.col("type") == "Property", text.property_position("value")).alias("position")).collect()
-    if not rows:
+    hv = query_hv(query, dim, semantic)
+    if hv is None:
         return experiments.limit(0).withColumn("similarity", F.lit(0.0))
-    hv = encode_query([(r.type, r.value) for r in rows], dim, semantic, {r.value: (r.base, r.position) for r in rows if r.position is not None})
     hits = metadata_filter(experiments, f).join(encoded, "id").withColumn("similarity", vectors.similarity_to(hv)("hv")).drop("hv")
     return top_k(hits, limit)
 
@@ -213,22 +264,27 @@ def entity_overlap(query_keys: Column, keys: Column) -> Column:
     return F.when(F.size(query_keys) > 0, F.size(F.array_intersect(query_keys, keys)) / F.size(F.array_distinct(query_keys))).otherwise(0.0)
 
 
-def scope_signals(query: DataFrame, generic: list[str] = schema.GENERIC_VALUES) -> DataFrame:
-    """One row about the query entities (type, value)."""
+def scope_signals(query: DataFrame, generic: list[str] = schema.GENERIC_VALUES, *keys: str) -> DataFrame:
+    """One row about the query entities (type, value), or one for each question if its columns are named."""
     domain, n = F.col("type").isin(schema.DOMAIN_TYPES), F.count("*")
     value = text.normalize_value("value")
     zero = lambda c: F.coalesce(c, F.lit(0.0))
-    return query.agg(n.alias("n"), F.count_if(domain).alias("domain"), zero(F.count_if(domain) / n).alias("domain_ratio"), F.count_if(value.isin(generic)).alias("generic"), zero(F.count_if(value.isin(generic)) / n).alias("generic_ratio"), zero(F.avg(F.length(value))).alias("mean_length"))
+    return query.groupBy(*keys).agg(
+        n.alias("n"), F.count_if(domain).alias("domain"), zero(F.count_if(domain) / F.nullif(n, F.lit(0))).alias("domain_ratio"), F.count_if(value.isin(generic)).alias("generic"),
+        zero(F.count_if(value.isin(generic)) / F.nullif(n, F.lit(0))).alias("generic_ratio"), zero(F.avg(F.length(value))).alias("mean_length"),
+    )
 
 
-def confidence_signals(ranked: DataFrame) -> DataFrame:
-    """One row about hits (rank from 1, id, similarity, overlap), of which the first five count."""
+def confidence_signals(ranked: DataFrame, *keys: str) -> DataFrame:
+    """One row about hits (rank from 1, id, similarity, overlap), or one for each question; the first five count. `hits`
+    is the number of all hits if ranked has it, else of those given."""
     top = F.col("rank") <= 5
     at = lambda r: F.max(F.when(F.col("rank") == r, F.col("similarity")))
     zero = lambda c: F.coalesce(c, F.lit(0.0))
-    return ranked.agg(
+    hits = F.coalesce(F.max("hits"), F.lit(0)) if "hits" in ranked.columns else F.count("*")
+    return ranked.groupBy(*keys).agg(
         zero(at(1)).alias("top1"), zero(F.avg(F.when(top, F.col("similarity")))).alias("top5_mean"), zero(at(1) - F.coalesce(at(2), at(1))).alias("margin"),
-        zero(F.max(F.when(top, F.col("overlap")))).alias("overlap"), F.count_distinct(F.when(top, text.source_family("id"))).alias("families"), F.count("*").alias("hits"),
+        zero(F.max(F.when(top, F.col("overlap")))).alias("overlap"), F.count_distinct(F.when(top, text.source_family("id"))).alias("families"), hits.alias("hits"),
     )
 
 
@@ -273,24 +329,48 @@ def hybrid(similarity: Column, entity: Column, metric: Column, graph: Column, so
     return w.similarity * similarity + w.entity * entity + w.metric * metric + w.graph * graph + w.source * source - w.raw * raw.cast("double")
 
 
-def rerank(hits: DataFrame, query: list[tuple[str, str]], graph: DataFrame | None = None) -> DataFrame:
+def query_keys(query: DataFrame, *keys: str) -> DataFrame:
+    """For each question its entities' keys and the names of its properties, as arrays; a question has a few entities."""
+    key = text.normalize_value(F.concat("type", F.lit(":"), "value"))
+    name = F.when(F.col("type") == "Property", text.normalize_value(F.substring_index("value", ":", 1)))
+    return query.groupBy(*keys).agg(F.collect_set(key).alias("query_keys"), F.collect_set(name).alias("query_names"))
+
+
+def own_keys() -> Column:
+    every = F.concat("input_entities", "process_entities", "output_entities")
+    return F.transform(every, lambda e: text.normalize_value(F.concat(e["type"], F.lit(":"), e["value"])))
+
+
+def rerank(hits: DataFrame, query: list[tuple[str, str]] | DataFrame, graph: DataFrame | None = None, *keys: str) -> DataFrame:
     """hits (an experiment's columns, rank, similarity) by hybrid score. Raw similarity stays as it is; `graph` has
-    (id, has_path, has_evidence, has_role)."""
-    keys = F.array(*(F.lit(" ".join(f"{t}:{v}".lower().split())) for t, v in query)) if query else F.array().cast("array<string>")
-    names = sorted({" ".join(v.split(":", 1)[0].lower().split()) for t, v in query if t == "Property"})
+    (id, has_path, has_evidence, has_role). The query's entities (type, value) are a list, or a table of a few questions
+    with the columns that name them (keys), which hits have too."""
+    if not isinstance(query, DataFrame):
+        query = hits.sparkSession.createDataFrame(query, "type string, value string")
+    asked = F.broadcast(query_keys(query, *keys))
+    out = hits.join(asked, list(keys)) if keys else hits.crossJoin(asked)
     every = F.concat("input_entities", "process_entities", "output_entities")
-    own_keys = F.transform(every, lambda e: text.normalize_value(F.concat(e["type"], F.lit(":"), e["value"])))
     own_names = F.transform(F.filter(every, lambda e: e["type"] == "Property"), lambda e: text.normalize_value(F.substring_index(e["value"], ":", 1)))
-    metric = F.size(F.array_intersect(F.array(*map(F.lit, names)), own_names)) / len(names) if names else F.lit(0.0)
+    metric = F.when(F.size("query_names") > 0, F.size(F.array_intersect("query_names", own_names)) / F.size("query_names")).otherwise(0.0)
     if graph is not None:
-        hits = hits.join(graph, "id", "left")
+        out = out.join(graph, "id", "left")
     support = graph_support(F.coalesce("has_path", F.lit(False)), F.coalesce("has_evidence", F.lit(False)), F.coalesce("has_role", F.lit(False))) if graph is not None else F.lit(0.0)
-    parts = {"entity_overlap": entity_overlap(keys, own_keys), "metric_overlap": metric, "graph_support": support, "source_quality": source_quality(F.col("source_type"), F.col("confidence"), F.col("evidence")), "raw_penalty": text.raw_noise("id").cast("double")}
-    out = hits.withColumns(parts)
+    parts = {"entity_overlap": entity_overlap(F.col("query_keys"), own_keys()), "metric_overlap": metric, "graph_support": support, "source_quality": source_quality(F.col("source_type"), F.col("confidence"), F.col("evidence")), "raw_penalty": text.raw_noise("id").cast("double")}
+    out = out.withColumns(parts).drop("query_keys", "query_names")
     return out.withColumn("hybrid", hybrid(F.col("similarity"), *(F.col(c) for c in parts))).orderBy(F.desc("hybrid"), "rank")
 
 
-def pool_and_tail(ranked: DataFrame, pool: int = 20, skip: int = 0, limit: int = 5) -> DataFrame:
+def graph_flags(graph_edges: DataFrame, ids: DataFrame) -> DataFrame:
+    """id, has_path, has_evidence, has_role of experiments (id): what kinds of edges leave each."""
+    own = graph_edges.join(ids.select("id").distinct(), graph_edges["source"] == ids["id"], "left_semi")
+    return own.groupBy(F.col("source").alias("id")).agg(F.lit(True).alias("has_path"), F.bool_or(F.col("type") == "EVIDENCE_FROM").alias("has_evidence"), F.bool_or(F.col("type").startswith("HAS_")).alias("has_role"))
+
+
+#: Hits that are reranked at least.
+POOL = 20
+
+
+def pool_and_tail(ranked: DataFrame, pool: int = POOL, skip: int = 0, limit: int = 5) -> DataFrame:
     """ranked (rank, similarity, hybrid): the pool by hybrid score, then the tail, which keeps its raw score."""
     size = max(pool, skip + limit)
     inside = F.col("rank") <= size

@@ -13,6 +13,8 @@ ALLOWED = {
     "graph": ROLES,
     "counterfactuals": ("Administrator", "Analyst", "Researcher"),
     "gaps": ("Administrator", "Analyst", "Researcher"),
+    "reason": ("Administrator", "Analyst"),
+    "enrich_gap": ("Administrator", "Analyst"),
     "ingest": ("Administrator", "Researcher"),
     "audit_logs": ("Administrator",),
 }

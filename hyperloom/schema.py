@@ -40,6 +40,7 @@ DIMENSION_CAPS = {1: 500, 2: 100, 3: 20}
 DIMENSION_CAP_REST = 10
 
 
+# The gate's thresholds and the rerank's weights.
 @dataclass(frozen=True)
 class GateThresholds:
     low: float = 0.08

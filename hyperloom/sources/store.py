@@ -39,7 +39,8 @@ class Store:
         return self.save(name, new if old is None else upsert(old, new, key))
 
     def append_audit(self, username: str, role: str, action: str, details: str) -> None:
-        entry = self.spark.range(1).select(F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSS").alias("timestamp"), F.lit(username).alias("username"), F.lit(role).alias("role"), F.lit(action).alias("action"), F.lit(details).alias("details"))
+        now = F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss.SSS")  # UTC
+        entry = self.spark.range(1).select(now.alias("timestamp"), F.lit(username).alias("username"), F.lit(role).alias("role"), F.lit(action).alias("action"), F.lit(details).alias("details"))
         entry.coalesce(1).write.mode("append").json(f"{self.root}/audit")
 
     def audit(self) -> DataFrame:
@@ -48,5 +49,33 @@ class Store:
 
         return read_audit(self.spark, f"{self.root}/audit").dropDuplicates(["timestamp", "action"]).orderBy(F.desc("timestamp"))
 
+    def append_entries(self, entries: DataFrame) -> None:
+        """Many audit entries (timestamp, username, role, action, details) at once."""
+        entries.select("timestamp", "username", "role", "action", "details").write.mode("append").json(f"{self.root}/audit")
+
     def report(self, name: str, df: DataFrame) -> None:
+        """A report's few rows as one JSON file."""
         df.coalesce(1).write.mode("overwrite").json(f"{self.root}/reports/{name}")
+
+    def read_report(self, name: str) -> DataFrame:
+        return self.spark.read.json(f"{self.root}/reports/{name}")
+
+    def run_report(self, run: str, summary: DataFrame, failures: DataFrame) -> str:
+        """A run's summary and the questions it lists, as JSON, and both as a text to read, whose path is returned."""
+        self.report(f"{run}/summary", summary)
+        self.report(f"{run}/failures", failures)
+        names = self.spark.createDataFrame([(c,) for c in sorted(summary.columns)], "name string")
+        values = summary.select(F.explode(F.map_from_arrays(F.array(*map(F.lit, summary.columns)), F.array(*(F.coalesce(F.col(c).cast("string"), F.lit("-")) for c in summary.columns)))).alias("name", "value"))
+        head = self.spark.createDataFrame([(0, f"# Run {run}"), (1, ""), (2, "## Metrics"), (4, ""), (5, "## Failed or skipped")], "part int, line string")
+        metrics = names.join(values, "name").select(F.lit(3).alias("part"), F.concat(F.lit("- **"), "name", F.lit(":** "), "value").alias("line"))
+        listed = failures.select(F.lit(6).alias("part"), F.concat(F.lit("- `"), "id", F.lit("` "), "status", F.lit(": "), "reason").alias("line"))
+        path = f"{self.root}/reports/{run}/summary.md"
+        head.unionByName(metrics).unionByName(listed).orderBy("part", "line").coalesce(1).select("line").write.mode("overwrite").text(path)
+        return path
+
+    def save_layers(self, run: str, layers: DataFrame) -> None:
+        """What each layer of a run gave, one folder for each stage."""
+        layers.write.mode("overwrite").partitionBy("stage").parquet(f"{self.root}/layers/{run}")
+
+    def load_layers(self, run: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.root}/layers/{run}")

@@ -21,13 +21,13 @@ MOST_ATTEMPTS, BATCH, STALE_SECONDS = 5, 50, 300
 def state(log: DataFrame, most: int = MOST_ATTEMPTS) -> DataFrame:
     """event_id, status, attempts, created_at, updated_at of a log (event_id, seq, at, kind).
 
-    kind: enqueued, published, acked, failed, requeued. Attempts are the failures since the last requeue; a failure
-    that makes them `most` leaves a dead letter, another one waits again."""
+    kind: enqueued, published, acked, failed, consume_failed, requeued. Attempts are the failures since the last requeue;
+    a failure that makes them `most` leaves a dead letter, another one waits again or, if a consumer's, stays published."""
     by = Window.partitionBy("event_id").orderBy("seq")
     later = by.rowsBetween(1, Window.unboundedFollowing)
     rows = log.withColumn("requeues", F.coalesce(F.count_if(F.col("kind") == "requeued").over(later), F.lit(0)))
-    folded = rows.groupBy("event_id").agg(F.count_if((F.col("kind") == "failed") & (F.col("requeues") == 0)).alias("attempts"), F.max_by("kind", "seq").alias("kind"), F.min("at").alias("created_at"), F.max("at").alias("updated_at"))
-    status = F.when(F.col("kind").isin("enqueued", "requeued"), "pending").when(F.col("kind").isin("published", "acked"), F.col("kind")).when(F.col("attempts") >= most, "dead_letter").otherwise("pending")
+    folded = rows.groupBy("event_id").agg(F.count_if(F.col("kind").isin("failed", "consume_failed") & (F.col("requeues") == 0)).alias("attempts"), F.max_by("kind", "seq").alias("kind"), F.min("at").alias("created_at"), F.max("at").alias("updated_at"))
+    status = F.when(F.col("kind").isin("enqueued", "requeued"), "pending").when(F.col("kind").isin("published", "acked"), F.col("kind")).when(F.col("attempts") >= most, "dead_letter").when(F.col("kind") == "consume_failed", "published").otherwise("pending")
     return folded.select("event_id", status.alias("status"), "attempts", "created_at", "updated_at")
 
 
@@ -111,9 +111,9 @@ def attempts(stream: DataFrame, most: int = MOST_ATTEMPTS) -> DataFrame:
     def step(key: tuple, batches: Iterator[pd.DataFrame], kept: GroupState) -> Iterator[pd.DataFrame]:
         status, n = kept.get if kept.exists else ("pending", 0)
         for kind in pd.concat(list(batches)).sort_values("seq")["kind"]:
-            if kind == "failed":
+            if kind in ("failed", "consume_failed"):
                 n += 1
-                status = "dead_letter" if n >= most else "pending"
+                status = "dead_letter" if n >= most else "pending" if kind == "failed" else "published"
             elif kind == "requeued":
                 status, n = "pending", 0
             else:

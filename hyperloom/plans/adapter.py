@@ -52,15 +52,20 @@ def _entity(kind: str, value: Column) -> Column:
     return F.struct(F.lit(kind).alias("type"), value.alias("value"))
 
 
-def experiments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The hyperedges themselves, in the model's columns."""
+def as_experiments(rows: DataFrame, *keep: str) -> DataFrame:
+    """Rows of `lines` in the model's columns, with some columns kept beside them."""
     text = lambda name: F.concat(F.lit(f"{name}: "), F.col(name).cast("string"))
     relation = lambda s, kind, t: F.struct(F.col(s).alias("source"), F.lit(kind).alias("type"), F.col(t).alias("target"))
-    return spread(lines(spark, sf_dir), table(spark, sf_dir, "lineitem")).select(
-        "id", F.lit(0).cast("long").alias("ord"), F.col("id").alias("name"),
+    return rows.select(
+        *keep, "id", F.lit(0).cast("long").alias("ord"), F.col("id").alias("name"),
         F.array(_entity("Material", F.col("material")), _entity("Facility", F.col("facility")), _entity("Property", text("quantity")), _entity("Property", text("discount"))).alias("input_entities"),
         F.array(_entity("Process", F.col("process")), _entity("Equipment", F.concat(F.lit("band "), F.floor(F.col("size") / 10).cast("string")))).alias("process_entities"),
         F.array(_entity("Property", text("price")), _entity("Property", text("tax"))).alias("output_entities"),
         F.array(relation("process", "uses_material", "material"), relation("process", "located_at", "facility")).alias("relations"),
         F.array("evidence").alias("evidence"), "confidence", "year", "geography", "source_type", "is_sensitive",
     )
+
+
+def experiments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The hyperedges themselves, in the model's columns."""
+    return as_experiments(spread(lines(spark, sf_dir), table(spark, sf_dir, "lineitem")))

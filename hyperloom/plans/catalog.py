@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from hyperloom.plans import browse, documents, experiments, stream
+from hyperloom.plans import browse, documents, experiments, functions, retrieval, storage, stream, sync
 from hyperloom.plans.registry import ORACLE_SQL, QUERIES
 
 FLAGSHIP = "vsa_search_filtered"
 
-__all__ = ["FLAGSHIP", "ORACLE_SQL", "QUERIES", "browse", "documents", "experiments", "stream"]
+__all__ = ["FLAGSHIP", "ORACLE_SQL", "QUERIES", "browse", "documents", "experiments", "functions", "retrieval", "storage", "stream", "sync"]

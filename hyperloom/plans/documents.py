@@ -118,7 +118,18 @@ def text_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunks.blocks_of_text(table(spark, sf_dir, "documents")).groupBy("kind").agg(F.count("*").alias("blocks"), F.sum(F.length("body")).alias("chars"))
 
 
-@query()
+_HTML_PATHS = ", ".join(f"last_value(CASE WHEN level = {i} THEN pos END IGNORE NULLS) OVER w AS p{i}, last_value(CASE WHEN level = {i} THEN body END IGNORE NULLS) OVER w AS b{i}" for i in range(1, 7))
+_HTML_PARTS = ", ".join(f"CASE WHEN p{i} > greatest(-1, {', '.join(f'coalesce(p{j}, -1)' for j in range(1, i)) or -1}) THEN b{i} END" for i in range(1, 7))
+
+
+@query(rf"""WITH c AS (SELECT page_id, regexp_replace(html, '(?is)<(script|style)\b.*?</(script|style)>|<!--.*?-->', '', 'g') AS c FROM pages),
+ s AS (SELECT page_id, string_split(regexp_replace(c, '(?i)(</?(?:h[1-6]|p|li|ul|article|div|body)\b)', chr(1) || '\1', 'g'), chr(1)) AS s FROM c),
+ f AS (SELECT page_id, list_filter(s[:-2], lambda x: regexp_matches(x, '(?i)^<(?:h[1-6]|p|li)\b[^>]*>')) AS f FROM s),
+ r AS (SELECT page_id, unnest(f) AS raw, unnest(range(len(f))) AS pos FROM f),
+ b AS (SELECT page_id, CAST(pos AS INT) AS pos, lower(regexp_extract(raw, '<(\w+)', 1)) AS tag, trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(raw, '<[^>]*>', ' ', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&nbsp;', ' '), '&amp;', '&'), '\s+', ' ', 'g')) AS body FROM r),
+ k AS (SELECT page_id, pos, CASE WHEN tag LIKE 'h%' THEN 'heading' WHEN tag = 'li' THEN 'item' ELSE 'text' END AS kind, TRY_CAST(nullif(regexp_extract(tag, 'h(\d)', 1), '') AS INT) AS level, body FROM b WHERE body <> ''),
+ p AS (SELECT *, {_HTML_PATHS} FROM k WINDOW w AS (PARTITION BY page_id ORDER BY pos ROWS UNBOUNDED PRECEDING))
+ SELECT page_id, pos, kind, body, array_to_string(list_filter([{_HTML_PARTS}], lambda x: x IS NOT NULL), ' / ') AS section FROM p""")
 def page_text_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunks.section_paths(chunks.blocks_of_html(table(spark, sf_dir, "pages")), "page_id").select("page_id", "pos", "kind", "body", F.array_join("section_path", " / ").alias("section"))
 
@@ -138,18 +149,44 @@ def _pack_ends(rows: DataFrame) -> DataFrame:
     return per.groupBy("doc_id").agg((F.max("p") + 1).cast("long").alias("parts"), F.max("used").cast("long").alias("longest_end"))
 
 
-@query()
+@query(r"""WITH RECURSIVE l AS (SELECT doc_id, pos, body, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS i FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS body, unnest(range(len(string_split(text, chr(10))))) AS pos FROM documents)
+  WHERE regexp_replace(body, '^\s+|\s+$', '', 'g') <> ''),
+ r(doc_id, i, pos, body, is_table, piece, used, start) AS (SELECT doc_id, i, pos, body, contains(body, '|'), 0, length(body) + 1, pos FROM l WHERE i = 1
+  UNION ALL SELECT r.doc_id, l.i, l.pos, l.body, contains(l.body, '|'), CASE WHEN contains(l.body, '|') OR r.is_table OR used + length(l.body) + 1 > 1800 THEN piece + 1 ELSE piece END,
+   CASE WHEN contains(l.body, '|') OR r.is_table OR used + length(l.body) + 1 > 1800 THEN length(l.body) + 1 ELSE used + length(l.body) + 1 END, CASE WHEN contains(l.body, '|') OR r.is_table THEN l.pos ELSE start END
+  FROM r JOIN l ON l.doc_id = r.doc_id AND l.i = r.i + 1),
+ c AS (SELECT doc_id, piece, any_value(is_table) AS is_table, min(start) AS start, CASE WHEN any_value(is_table) THEN '| ' || array_to_string(list_transform(string_split_regex(any_value(body), '\s*\|\s*'), lambda x: trim(regexp_replace(x, '\s+', ' ', 'g'))), ' | ') || ' |' ELSE string_agg(body, chr(10) ORDER BY i) END AS t FROM r GROUP BY doc_id, piece)
+ SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY piece) - 1 AS INT) AS index, 'Введение' AS section, CASE WHEN is_table THEN 'table' ELSE 'text' END AS content_type, CAST(start AS INT) AS source_block, CASE WHEN is_table THEN 1 END AS table_part, sha256(t) AS digest FROM c WHERE is_table OR length(t) >= 40""")
 def document_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    blocks = chunks.blocks_of_text(table(spark, sf_dir, "documents"))
-    rows = blocks.select("doc_id", "pos", "kind", F.lit(None).cast("int").alias("level"), "body", F.when(F.col("kind") == "table", F.array(F.split("body", r"\s*\|\s*"))).alias("rows"))
-    return chunks.chunks(rows).select("doc_id", "index", "section", "content_type", "source_block", "table_part", F.sha2(F.col("text").cast("binary"), 256).alias("digest"))
+    made = chunks.chunks_of(chunks.blocks_in_rows(table(spark, sf_dir, "documents")))
+    return made.select("doc_id", "index", "section", "content_type", "source_block", "table_part", F.sha2(F.col("text").cast("binary"), 256).alias("digest"))
+
 
+@query("""SELECT CAST(event_id AS VARCHAR) AS path, CASE WHEN user_id % 4 = 0 THEN 'text' WHEN user_id % 4 = 1 THEN 'heading' WHEN user_id % 4 = 2 THEN 'code' ELSE 'table' END AS kind, CAST(CASE user_id % 4 WHEN 1 THEN 2 END AS INT) AS level FROM events""")
+def document_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw blocks of files as code, headings, text and tables."""
+    u = F.col("user_id") % 4
+    body = F.when(u == 2, "import os").otherwise(F.col("event_type"))
+    raw = F.struct(F.when(u == 3, "table").otherwise("paragraph").alias("kind"), F.when(u == 1, "Heading 2").otherwise("Normal").alias("style"), (u == 2).alias("monospace"), body.alias("body"), F.when(u == 3, F.array(F.array(body))).alias("rows"))
+    rows = table(spark, sf_dir, "events").select(F.col("event_id").cast("string").alias("path"), F.array(raw).alias("raw"))
+    return rows.select("path", F.explode(chunks.structured(F.col("raw"))).alias("b")).select("path", "b.kind", "b.level")
 
-@query(r"""WITH v AS (SELECT DISTINCT lower(string_split_regex(text, '\s+')[1] || ' ' || string_split_regex(text, '\s+')[2]) AS value FROM benchmark WHERE len(string_split_regex(text, '\s+')) > 1),
- d AS (SELECT doc_id, ' ' || lower(regexp_replace(regexp_replace(text, '^\s+|\s+$', '', 'g'), '\s+', ' ', 'g')) || ' ' AS t FROM documents) SELECT doc_id, value FROM d JOIN v ON contains(t, ' ' || value || ' ')""")
+
+@query(r"""WITH v AS (SELECT DISTINCT lower(w) AS value FROM (SELECT unnest(regexp_split_to_array(text, '\s+')) AS w FROM benchmark) WHERE length(w) >= 6),
+ d AS (SELECT doc_id, list_distinct(string_split(lower(regexp_replace(regexp_replace(text, '^\s+|\s+$', '', 'g'), '\s+', ' ', 'g')), ' ')) AS w FROM documents) SELECT doc_id, value FROM (SELECT doc_id, unnest(w) AS value FROM d) JOIN v USING (value)""")
 def vocab_text_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The longer words of all benchmark items, looked for in all documents."""
+    values = table(spark, sf_dir, "benchmark").select(F.explode(F.split("text", r"\s+")).alias("value")).where(F.length("value") >= 6)
+    return ingest.match_vocabulary(table(spark, sf_dir, "documents"), values, "doc_id", "text")
+
+
+@query(r"""WITH v AS (SELECT DISTINCT lower(a || ' ' || b) AS value FROM (SELECT w[i] AS a, w[i + 1] AS b FROM (SELECT w, unnest(range(1, len(w))) AS i FROM (SELECT regexp_split_to_array(text, '\s+') AS w FROM benchmark))) WHERE length(a) >= 4 AND length(b) >= 4),
+ d AS (SELECT doc_id, string_split(lower(regexp_replace(regexp_replace(text, '^\s+|\s+$', '', 'g'), '\s+', ' ', 'g')), ' ') AS w FROM documents), p AS (SELECT DISTINCT doc_id, w[i] || ' ' || w[i + 1] AS value FROM (SELECT doc_id, w, unnest(range(1, len(w))) AS i FROM d)) SELECT doc_id, value FROM p JOIN v USING (value)""")
+def phrase_text_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same for pairs of neighbouring words."""
     words = F.split("text", r"\s+")
-    values = table(spark, sf_dir, "benchmark").where(F.size(words) > 1).select(F.concat_ws(" ", words[0], words[1]).alias("value"))
+    pairs = F.transform(F.sequence(F.lit(1), F.size(words) - 1), lambda i: F.struct(F.element_at(words, i).alias("a"), F.element_at(words, i + 1).alias("b")))
+    values = table(spark, sf_dir, "benchmark").where(F.size(words) > 1).select(F.explode(pairs).alias("p")).where("length(p.a) >= 4 and length(p.b) >= 4").select(F.concat_ws(" ", "p.a", "p.b").alias("value"))
     return ingest.match_vocabulary(table(spark, sf_dir, "documents"), values, "doc_id", "text")
 
 
@@ -185,10 +222,62 @@ def answer_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def ingest_experiments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents read without a model: numbers with units are what they say."""
     docs = table(spark, sf_dir, "documents")
     own = docs.select(F.format_string("EXP-%s-%s-%02d", text.slug("source"), F.lit("cn_v1"), F.col("doc_id")).alias("id"), F.col("source").alias("filename"), "text", text.document_year("source", "text").alias("year"), F.array("lang").alias("experts"))
     known = table(spark, sf_dir, "labels").where("toxic = 1").join(docs.select("doc_id", "source"), "doc_id").select(F.format_string("EXP-%s-%s-%02d", text.slug("source"), F.lit("cn_v1"), F.col("doc_id")).alias("id"))
-    made = ingest.process_chunks(own, known)
-    return made.select("id", "geography", "year", "is_sensitive", "status", F.size("input_entities").alias("inputs"), F.size("output_entities").alias("outputs"))
+    made = ingest.experiments_of(ingest.process_chunks(own, known))
+    return made.select("id", "geography", "year", "is_sensitive", F.size("input_entities").alias("inputs"), F.size("output_entities").alias("outputs"))
+
 
+_REASON = r"""CASE WHEN length(b) < 50 THEN 'too_short' WHEN regexp_full_match(k, '[\d.,\s\-–—]+') THEN 'slide_number' WHEN len(regexp_extract_all(k, '[A-Za-zА-Яа-яЁё0-9]{2,}')) < 4 THEN 'too_few_tokens'
+ WHEN length(k) < 180 AND NOT regexp_matches(k, '(?i)(pH|°C|ore|anode|slag|nickel|copper|filter|furnace|cathode|leaching|smelting|electrolyte|electrowinning)') AND NOT regexp_matches(k, '(?i)\d+([.,]\d+)?\s*(°C|К|мг/л|г/л|%|МПа|HB|А/м)') THEN 'low_domain_signal' END"""
 
+
+@query(rf"""WITH b AS (SELECT doc_id, lang, source, text, regexp_replace(text, '^\s+|\s+$', '', 'g') AS b FROM documents), l AS (SELECT *, list_filter(list_transform(string_split_regex(b, '\r?\n'), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: length(x) > 2) AS l FROM b),
+ k AS (SELECT *, CASE WHEN len(l) > 0 THEN array_to_string(l, chr(10)) ELSE b END AS k FROM l), r AS (SELECT *, {_REASON} AS low FROM k),
+ s AS (SELECT r.*, t.doc_id IS NOT NULL AS known FROM r LEFT JOIN (SELECT doc_id FROM labels WHERE toxic = 1) t USING (doc_id)),
+ o AS (SELECT *, CASE WHEN known THEN 'skipped' WHEN low IS NOT NULL THEN 'empty' WHEN doc_id % 7 = 0 THEN 'moderation' WHEN doc_id % 7 IN (1, 2) THEN 'validation_failed' WHEN doc_id % 7 = 3 THEN 'empty' ELSE 'ok' END AS status FROM s)
+ SELECT doc_id, status, CASE WHEN known THEN NULL WHEN low IS NOT NULL THEN low WHEN status = 'empty' THEN 'weak_domain_evidence' END AS reason,
+ CASE WHEN status = 'empty' THEN 'empty' WHEN status = 'validation_failed' THEN CASE WHEN doc_id % 7 = 1 THEN 'parse_error' ELSE 'tolerant_drop_all' END END AS failure_class,
+ CASE WHEN status = 'ok' THEN 3 END AS inputs, CASE WHEN status = 'ok' THEN 2 END AS processes, CASE WHEN status = 'ok' THEN 1 END AS outputs, CASE WHEN status = 'ok' THEN 1 END AS relations, CASE WHEN status = 'ok' THEN regexp_matches(text, '(?i)(^|[^\pL\pN_])(U|Pu|UF6|уран|плутоний|plutonium|uranium)($|[^\pL\pN_])') END AS is_sensitive FROM o""")
+def ingest_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as chunks that a model has read: answers with entities and relations, refusals, broken ones, ones of which
+    nothing is left, and ones without a domain's entity. Numbers with units in the texts count as entities too, so those
+    are taken out of the numbers shown."""
+    docs = table(spark, sf_dir, "documents")
+    own = docs.select(F.col("doc_id").cast("string").alias("id"), F.concat("source", F.lit(".docx")).alias("filename"), F.concat_ws("\u0001", F.col("doc_id").cast("string"), "source", "lang", "text").alias("tagged"), "text", F.lit(2024).alias("year"), F.array("lang").alias("experts"))
+    known = table(spark, sf_dir, "labels").where("toxic = 1").select(F.col("doc_id").cast("string").alias("id"))
+    entity = lambda kind, v: F.concat(F.lit('{"type":"' + kind + '","value":"'), v, F.lit('"}'))
+    k = F.crc32(F.col("text").cast("binary")) * 0 + F.col("year") * 0 + F.col("id").cast("long") % 7
+    several = F.concat(F.lit('Found: {"entities":['), entity("material", F.col("id")), F.lit(","), entity("Facility", F.lit("plant")), F.lit(","), entity("Process", F.lit("leaching")), F.lit(","), entity("Property", F.lit("выход по току 95")), F.lit(","), entity("Ghost", F.lit("x")),
+                       F.lit('],"relations":[{"source":"leaching","type":"uses","target":"plant"},{"source":"a","type":"nonsense","target":"b"},],}'))
+    answer = F.when(k == 0, "I can't discuss this").when(k == 1, "no idea").when(k == 2, '{"entities":[{"type":"Ghost","value":"x"}]}').when(k == 3, '{"entities":[{"type":"Publication","value":"x"}]}').otherwise(several)
+    made = ingest.process_chunks(own.drop("tagged"), known, lambda body: F.when(body.isNotNull(), answer))
+    ok = F.col("status") == "ok"
+    count = lambda c: F.when(ok, F.size(F.filter(c, lambda e: (e["type"] != "Property") | e["value"].startswith("выход")))).alias(c.split("_")[0] + ("es" if c.startswith("process") else "s"))
+    return made.select(F.col("id").cast("long").alias("doc_id"), "status", "reason", "failure_class", *map(count, ("input_entities", "process_entities", "output_entities")), F.when(ok, F.size("relations")).alias("relations"), F.when(ok, F.col("is_sensitive")).alias("is_sensitive"))
+
+
+@query("""WITH p AS (SELECT event_id, user_id % 6 AS kind FROM events)
+ SELECT event_id, CASE kind WHEN 0 THEN 1 WHEN 5 THEN 0 ELSE 0 END AS strict_entities, CASE kind WHEN 0 THEN NULL WHEN 4 THEN 'parse_error' WHEN 5 THEN NULL ELSE 'schema_error' END AS strict,
+ CASE kind WHEN 0 THEN NULL WHEN 1 THEN NULL WHEN 2 THEN 'tolerant_drop_all' WHEN 3 THEN 'schema_error' WHEN 4 THEN 'parse_error' ELSE 'tolerant_drop_all' END AS tolerant,
+ CASE kind WHEN 1 THEN 'unknown type Ghost|empty value|unknown relation nonsense' WHEN 2 THEN 'empty value' ELSE '' END AS reasons FROM p""")
+def strict_and_tolerant(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same answers under both kinds of validation."""
+    kind, payload = F.col("user_id") % 6, F.lit("nothing")
+    good = '{"entities":[{"type":"material","value":"a"}],"relations":[{"source":"a","type":"used with","target":"b"}]}'
+    mixed = '{"entities":[{"type":"Material","value":"a"},{"type":"Ghost","value":"b"},{"type":"Process","value":" "}],"relations":[{"source":"a","type":"nonsense","target":"b"}]}'
+    for i, text_ in enumerate((good, mixed, '{"entities":[{"type":"Material","value":""}]}', '{"entities":"a, b"}', "[1, 2]", '{"relations":[]}')):
+        payload = F.when(kind == i, text_).otherwise(payload)
+    rows = table(spark, sf_dir, "events").select("event_id", payload.alias("payload"))
+    strict = ingest.parse_payload(rows, strict=True).select("event_id", F.size("entities").alias("strict_entities"), F.col("failure").alias("strict"))
+    return strict.join(ingest.parse_payload(rows).select("event_id", F.col("failure").alias("tolerant"), F.array_join("reasons", "|").alias("reasons")), "event_id")
+
+
+@query("""WITH o AS (SELECT event_id, event_type FROM events WHERE event_type IN ('error', 'view', 'click') ORDER BY event_id LIMIT 20) SELECT event_id, CASE event_type WHEN 'error' THEN 'validation_failed' WHEN 'view' THEN 'moderation' ELSE 'empty' END AS status FROM o""")
+def failed_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first failed outcomes of a report."""
+    kind = F.col("event_type")
+    status = F.when(kind == "error", "validation_failed").when(kind == "view", "moderation").when(kind == "click", "empty").otherwise("ok")
+    return ingest.failed_samples(table(spark, sf_dir, "events").select("event_id", status.alias("status")), "event_id")

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import zlib
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from hyperloom import schema
-from hyperloom.functions import text, vectors
+from hyperloom.functions import vectors
 from hyperloom.operators import counterfactual, entities, evaluate, gaps, graph, search
-from hyperloom.plans.adapter import LINES_SQL, experiments, lines, table
+from hyperloom.plans.adapter import LINES_SQL, as_experiments, experiments, lines, table
 from hyperloom.plans.registry import query
 
 X = f"WITH {LINES_SQL}"
@@ -91,18 +93,44 @@ def vsa_similarity_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.groupBy(F.round("similarity", 6).alias("similarity")).agg(F.count("*").alias("experiments"))
 
 
-def _full_dimension(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every experiment encoded whole, at 10 000 positions, with its relations, and ranked against the anchor."""
+def _encoded_search(spark: SparkSession, sf_dir: str, dim: int, make) -> DataFrame:
+    """Every experiment encoded whole, with its relations, and compared with the anchor where it is encoded."""
     m, p, f = _anchor(spark, sf_dir)
-    rows = experiments(spark, sf_dir)
     wanted = spark.createDataFrame([("Material", m), ("Process", p), ("Facility", f)], "type string, value string")
-    hits = search.search(search.encode_experiments(rows, semantic=False, tasks=4 * spark.sparkContext.defaultParallelism), rows, wanted, 20, semantic=False)
-    return hits.select("id", "similarity")
+    rows = as_experiments(lines(spark, sf_dir))
+    scored = search.encode_experiments(rows, dim, False, 4 * spark.sparkContext.defaultParallelism, search.query_hv(wanted, dim, False, make), make)
+    return search.top_k(scored, 20)
 
 
 @query()
 def vsa_search_full(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _full_dimension(spark, sf_dir)
+    return _encoded_search(spark, sf_dir, vectors.FULL, vectors.generate)
+
+
+_SMALL = 64
+_TIE = zlib.crc32(b"experiments") % _SMALL
+_AT = lambda key, i="i": f"(CASE WHEN ascii(md5({key} || '|' || ({i}))) % 2 = 1 THEN 1 ELSE -1 END)"
+_FILLER = lambda kind, c: f"('{kind}:' || lower({c}))"
+_BOUND_AT = lambda kind, c: _AT(f"'Role:{kind}'") + " * " + _AT(_FILLER(kind, c))
+_NAMED = lambda name, c, kind: f"{name} AS (SELECT v, i, {_BOUND_AT(kind, 'v')} AS b, {_AT(_FILLER(kind, 'v'))} AS raw, {_AT(_FILLER(kind, 'v'), f'(i + {_SMALL - 1}) % {_SMALL}')} AS before FROM (SELECT DISTINCT {c} AS v FROM x), i)"
+_NUMBER = lambda name, c, base: f"""{name} AS (SELECT v, i, {_AT("'Role:Property'")} * (CASE WHEN i < CAST(floor(least(1e0, greatest(0e0, v / 1000e0)) * {_SMALL}) AS INT)
+ THEN {_AT(f"'NumericBase:{base}:max'")} ELSE {_AT(f"'NumericBase:{base}:min'")} END) AS b FROM (SELECT DISTINCT {c} AS v FROM x), i)"""
+_JOINED = lambda name, c: f"JOIN {name} ON {name}.v = {c} AND {name}.i = t.i"
+
+
+@query(f"""{X}, i AS (SELECT unnest(range({_SMALL})) AS i),
+a AS (SELECT (SELECT min(p_brand) FROM part) AS qm, (SELECT min(p_type) FROM part) AS qp, (SELECT min(n_name) FROM nation) AS qf),
+q AS (SELECT i, sign({_BOUND_AT("Material", "qm")} + {_BOUND_AT("Process", "qp")} + {_BOUND_AT("Facility", "qf")}) AS q FROM a, i),
+{_NAMED("m", "material", "Material")}, {_NAMED("p", "process", "Process")}, {_NAMED("f", "facility", "Facility")}, {_NAMED("e", "'band ' || CAST(floor(size / 10) AS INT)", "Equipment")},
+{_NUMBER("nq", "quantity", "quantity")}, {_NUMBER("nd", "discount", "discount")}, {_NUMBER("np", "least(price, 1000)", "price")}, {_NUMBER("nt", "tax", "tax")},
+t AS (SELECT i, {_AT("'tie'", f"(i - {_TIE} + {_SMALL}) % {_SMALL}")} AS tie, {_AT("'RelationType:uses_material'")} AS r1, {_AT("'RelationType:located_at'")} AS r2 FROM i),
+s AS (SELECT x.id, t.i, 2 * m.b + 2 * p.b + f.b + e.b + nq.b + nd.b + np.b + nt.b + p.before * r1 * m.raw + p.before * r2 * f.raw AS total, tie FROM x CROSS JOIN t
+ {_JOINED("m", "material")} {_JOINED("p", "process")} {_JOINED("f", "facility")} {_JOINED("e", "'band ' || CAST(floor(size / 10) AS INT)")}
+ {_JOINED("nq", "quantity")} {_JOINED("nd", "discount")} {_JOINED("np", "least(price, 1000)")} {_JOINED("nt", "tax")})
+SELECT id, sum(CASE WHEN total = 0 THEN tie ELSE sign(total) END * q) / {_SMALL}e0 AS similarity FROM s JOIN q USING (i) GROUP BY id ORDER BY similarity DESC, id LIMIT 20""")
+def vsa_search_encoded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same at a dimension that SQL can follow, with vectors by digests."""
+    return _encoded_search(spark, sf_dir, _SMALL, vectors.digest_vector)
 
 
 @query(f"""SELECT vec_id, label, round(s, 6) AS similarity FROM (SELECT b.vec_id, b.label,
@@ -128,76 +156,6 @@ def knn_label_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
     return votes.withColumn("r", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("votes"), "label"))).where("r = 1").select("query", "label", "votes")
 
 
-# --- gate and rerank -------------------------------------------------------------------------------------------------
-
-_HITS_SQL = """h AS (SELECT *, row_number() OVER (PARTITION BY material ORDER BY price DESC, id) AS rank, price / 10000000e0 AS similarity,
-  (CASE WHEN process = (SELECT min(p_type) FROM part) THEN 1 ELSE 0 END + CASE WHEN facility = (SELECT min(n_name) FROM nation) THEN 1 ELSE 0 END) / 2e0 AS overlap FROM x),
- s AS (SELECT material, max(CASE WHEN rank = 1 THEN similarity END) AS top1, avg(CASE WHEN rank <= 5 THEN similarity END) AS top5_mean,
-  max(CASE WHEN rank = 1 THEN similarity END) - coalesce(max(CASE WHEN rank = 2 THEN similarity END), max(CASE WHEN rank = 1 THEN similarity END)) AS margin,
-  max(CASE WHEN rank <= 5 THEN overlap END) AS overlap, count(DISTINCT CASE WHEN rank <= 5 THEN regexp_extract(id, '^([^-]*-[^-]*-[^-]*)', 1) END) AS families, count(*) AS hits FROM h GROUP BY material)"""
-
-
-def _hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each brand is a question: its hits ranked by price, with overlap in process and facility."""
-    _, process, facility = _anchor(spark, sf_dir)
-    overlap = ((F.col("process") == process).cast("int") + (F.col("facility") == facility).cast("int")) / 2
-    rank = F.row_number().over(Window.partitionBy("material").orderBy(F.desc("price"), "id"))
-    return lines(spark, sf_dir).withColumns({"rank": rank, "similarity": F.col("price") / F.lit(10000000.0), "overlap": overlap})
-
-
-def _signals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """confidence_signals of each brand: the running top five come from a window that keeps a rank's rows only."""
-    rows = _hits(spark, sf_dir)
-    at = lambda r: F.max(F.when(F.col("rank") == r, F.col("similarity")))
-    top = F.col("rank") <= 5
-    return rows.groupBy("material").agg(
-        at(1).alias("top1"), F.avg(F.when(top, F.col("similarity"))).alias("top5_mean"), (at(1) - F.coalesce(at(2), at(1))).alias("margin"),
-        F.max(F.when(top, F.col("overlap"))).alias("overlap"), F.count_distinct(F.when(top, text.source_family("id"))).alias("families"), F.count("*").alias("hits"),
-    )
-
-
-@query(f"{X}, {_HITS_SQL} SELECT material, round(top1, 6) AS top1, round(top5_mean, 6) AS top5_mean, round(margin, 6) AS margin, overlap, families, hits FROM s")
-def gate_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = lambda c: F.round(c, 6).alias(c)
-    return _signals(spark, sf_dir).select("material", r("top1"), r("top5_mean"), r("margin"), "overlap", "families", "hits")
-
-
-@query(f"""{X}, {_HITS_SQL}, g AS (SELECT *, len(material) % 3 AS generic, 3 AS n, CAST(right(material, 1) AS INT) % 4 AS domain_raw FROM s), d AS (SELECT *, least(domain_raw, 3) AS domain FROM g)
-SELECT material, CASE WHEN domain = 0 THEN 'weak_parse' WHEN 1 - domain / 3e0 >= 0.5 AND top1 < 0.12 THEN 'ood_scope' WHEN generic >= 1 AND domain / 3e0 <= 0.5 AND top1 < 0.15 THEN 'ood_scope'
- WHEN generic / 3e0 >= 0.5 AND overlap <= 0 THEN 'ood_scope' WHEN overlap <= 0 AND top1 < 0.25 THEN 'ood_scope' WHEN top1 < 0.08 THEN 'low_confidence'
- WHEN margin < 0.02 AND overlap < 0.05 AND top1 < 0.2 THEN 'low_confidence' WHEN families <= 1 AND top1 < 0.1 AND overlap < 0.2 AND hits >= 3 THEN 'low_confidence' ELSE '' END AS reason FROM d""")
-def gate_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = _signals(spark, sf_dir).withColumns({"n": F.lit(3), "generic": F.length("material") % 3, "domain": F.least(F.right("material", F.lit(1)).cast("int") % 4, F.lit(3)), "mean_length": F.lit(8.0)})
-    s = s.withColumns({"domain_ratio": F.col("domain") / 3, "generic_ratio": F.col("generic") / 3})
-    return search.gate(s).select("material", "reason")
-
-
-_RERANK_SQL = f"""{X}, {_HITS_SQL}, p AS (SELECT *, 0.72e0 * similarity + 0.12e0 * overlap + 0.05e0 * (CASE WHEN quantity % 2 = 0 THEN 1 ELSE 0 END)
-  + 0.05e0 * (CASE WHEN year % 2 = 0 THEN least(1e0, 0.5e0 + CASE WHEN source_type = 'A' THEN 0.3e0 ELSE 0 END + CASE WHEN source_type <> 'N' THEN 0.2e0 ELSE 0 END) ELSE 0 END)
-  + 0.03e0 * least(1e0, 0.3e0 + 0.4e0 * confidence + 0.05e0) - 0.15e0 * (CASE WHEN id LIKE '1%' THEN 1 ELSE 0 END) AS hybrid FROM h)"""
-
-
-def _reranked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = F.col
-    graph_part = search.graph_support(c("year") % 2 == 0, c("source_type") == "A", c("source_type") != "N")
-    source = search.source_quality(c("source_type"), c("confidence"), F.array("evidence"))
-    score = search.hybrid(c("similarity"), c("overlap"), (c("quantity") % 2 == 0).cast("double"), graph_part, source, c("id").startswith("1"))
-    return _hits(spark, sf_dir).withColumn("hybrid", score)
-
-
-@query(f"{_RERANK_SQL} SELECT material, id, round(hybrid, 9) AS hybrid, place FROM (SELECT *, row_number() OVER (PARTITION BY material ORDER BY round(hybrid, 9) DESC, rank) AS place FROM p WHERE rank <= 20) WHERE place <= 5")
-def hybrid_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    place = F.row_number().over(Window.partitionBy("material").orderBy(F.desc(F.round("hybrid", 9)), "rank"))
-    return _reranked(spark, sf_dir).where("rank <= 20").withColumn("place", place).where("place <= 5").select("material", "id", F.round("hybrid", 9).alias("hybrid"), F.col("place").cast("long").alias("place"))
-
-
-@query(f"{_RERANK_SQL} SELECT material, id, rank, CASE WHEN rank <= 20 THEN 0 ELSE 1 END AS segment, round(CASE WHEN rank <= 20 THEN hybrid ELSE similarity END, 9) AS shown FROM p WHERE rank <= 40")
-def pool_and_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _reranked(spark, sf_dir).where("rank <= 40")
-    inside = F.col("rank") <= 20
-    return rows.select("material", "id", F.col("rank").cast("long").alias("rank"), F.when(inside, 0).otherwise(1).alias("segment"), F.round(F.when(inside, F.col("hybrid")).otherwise(F.col("similarity")), 9).alias("shown"))
-
-
 @query(f"""{X}, d AS (SELECT facility, prop, count(DISTINCT v) - 1 AS c FROM (SELECT facility, 'tax' AS prop, tax AS v FROM x UNION ALL SELECT facility, 'discount', discount FROM x) GROUP BY ALL),
  c AS (SELECT facility, sum(c) AS c FROM d GROUP BY ALL), n AS (SELECT facility, 2 * count(*) AS hits, avg(confidence) AS m FROM x GROUP BY ALL)
  SELECT facility, hits, CAST(least(c, hits - 1) AS BIGINT) AS contradictions, round(greatest(0.15e0, least(1e0, m * (1 - least(c, hits - 1) / hits) + 0.08e0)), 6) AS ratio FROM n JOIN c USING (facility)""")
@@ -252,11 +210,11 @@ _DIMENSIONS = ["Material", "Facility", "Process"]
 
 
 def _gaps(spark: SparkSession, sf_dir: str, least: int) -> DataFrame:
-    rows = experiments(spark, sf_dir)
-    region = lines(spark, sf_dir).select("facility", "facility_region").distinct().where("facility_region = 'EUROPE'")
-    home = sorted(r[0] for r in region.collect())  # nations: a handful
+    europe = table(spark, sf_dir, "region").where("r_name = 'EUROPE'")
+    nations = table(spark, sf_dir, "nation").join(europe, F.col("n_regionkey") == F.col("r_regionkey"))
+    home = sorted(r[0] for r in nations.select("n_name").collect())  # a handful
     domestic = F.exists("input_entities", lambda e: (e["type"] == "Facility") & e["value"].isin(home))
-    return gaps.analyze(rows, _DIMENSIONS, least, 20, domestic)
+    return gaps.analyze(as_experiments(lines(spark, sf_dir)), _DIMENSIONS, least, 20, domestic)
 
 
 @query(f"{X}, {_GRID_SQL.format(cap=20, least=15)} SELECT gap_type, count(*) AS cells, CAST(sum(experiments) AS BIGINT) AS experiments FROM g WHERE gap_type IS NOT NULL GROUP BY 1")
@@ -305,13 +263,33 @@ def graph_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.summary(graph.edges(experiments(spark, sf_dir)))
 
 
-@query(f"""{XE}, ids AS (SELECT id FROM x WHERE quantity = 50), {_EDGES_SQL},
- s AS (SELECT DISTINCT a.source AS id, a.type, a.target AS anchor, b.target AS other FROM g a SEMI JOIN ids ON a.source = ids.id LEFT JOIN g b ON b.source = a.target AND b.type IN ('USES_MATERIAL', 'LOCATED_AT')),
- k AS (SELECT DISTINCT id, CASE WHEN type = 'EVIDENCE_FROM' THEN 'publication' ELSE 'entity' END AS kind, anchor AS node FROM s UNION SELECT DISTINCT id, 'second', other FROM s WHERE other IS NOT NULL)
+_HIT_IDS = _search_sql("true", "SELECT id FROM r ORDER BY similarity DESC, id LIMIT 20").removeprefix(f"{X}, ")
+
+
+@query(f"""{X}, ids AS (WITH {_HIT_IDS}), {ENTITIES_SQL},
+ e2 AS (SELECT * FROM e UNION ALL SELECT id, 'process', 8, 'Expert', expert FROM x),
+ g AS (SELECT id AS source, CASE role WHEN 'input' THEN 'HAS_INPUT' WHEN 'process' THEN 'HAS_PROCESS' ELSE 'HAS_OUTPUT' END AS type, {_KEY_SQL} AS target FROM e2
+  UNION SELECT 'Process:' || lower(process), 'USES_MATERIAL', 'Material:' || lower(material) FROM x UNION SELECT 'Process:' || lower(process), 'LOCATED_AT', 'Facility:' || lower(facility) FROM x
+  UNION SELECT 'Facility:' || lower(facility), 'VALIDATED_BY', 'Expert:' || lower(expert) FROM x UNION SELECT 'Material:' || lower(material), 'CONTRADICTS', 'Facility:' || lower(facility) FROM x WHERE tax = 8
+  UNION SELECT id, 'EVIDENCE_FROM', 'Publication:' || evidence FROM x),
+ own AS (SELECT g.source AS id, type, target FROM g SEMI JOIN ids ON g.source = ids.id),
+ semantic AS (SELECT * FROM g WHERE type NOT LIKE 'HAS_%' AND type <> 'EVIDENCE_FROM'),
+ k AS (SELECT id, 'publication' AS kind, target AS node FROM own WHERE type = 'EVIDENCE_FROM' UNION SELECT id, 'entity', target FROM own WHERE type LIKE 'HAS_%'
+  UNION SELECT id, 'expert', target FROM own WHERE type LIKE 'HAS_%' AND target LIKE 'Expert:%'
+  UNION SELECT id, 'second', s.target FROM own JOIN semantic s ON s.source = own.target WHERE own.type LIKE 'HAS_%'
+  UNION SELECT id, 'expert', s.target FROM own JOIN semantic s ON s.source = own.target WHERE own.type LIKE 'HAS_%' AND s.type = 'VALIDATED_BY'
+  UNION SELECT id, 'contradiction', CASE WHEN s.source = own.target THEN s.target ELSE s.source END FROM own JOIN semantic s ON s.type = 'CONTRADICTS' AND (s.source = own.target OR s.target = own.target) WHERE own.type LIKE 'HAS_%')
  SELECT id, kind, rank, node FROM (SELECT *, row_number() OVER (PARTITION BY id, kind ORDER BY node) AS rank FROM k) WHERE rank <= 10""")
 def graph_expand_2hop(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ids = lines(spark, sf_dir).where("quantity = 50").select("id")
-    return graph.expand(graph.edges(experiments(spark, sf_dir)), ids)
+    """The graph around a search's best hits, with experts and contradictions."""
+    rows = lines(spark, sf_dir)
+    hits = search.top_k(search.search_triples(rows, *_anchor(spark, sf_dir), schema.SearchFilter(), DIM), 20).select("id")
+    relation = lambda s, kind, t: F.struct(F.col(s).alias("source"), F.lit(kind).alias("type"), F.col(t).alias("target"))
+    every = as_experiments(rows, "material", "facility", "expert", "tax")
+    disputed = F.when(F.col("tax") == 8, F.array(relation("material", "contradicts", "facility"))).otherwise(F.array().cast(f"array<{schema.RELATION}>"))
+    person = F.struct(F.lit("Expert").alias("type"), F.col("expert").alias("value"))
+    every = every.withColumns({"relations": F.concat("relations", F.array(relation("facility", "validated_by", "expert")), disputed), "process_entities": F.concat("process_entities", F.array(person))})
+    return graph.expand(graph.edges(every), hits)
 
 
 @query(f"""{X} SELECT id, 7 + CASE WHEN 'quantity: ' || quantity = 'discount: ' || discount THEN 0 ELSE 1 END AS entities, 8 AS hyperedges, 2 AS relations, 1 AS evidence FROM x""")
@@ -337,3 +315,12 @@ def retrieval_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranked = docs.select(F.col("lang").alias("question"), F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n_chars"), "doc_id")).alias("rank"), F.col("doc_id").alias("id"))
     relevant = docs.join(table(spark, sf_dir, "labels").where("quality = 1"), "doc_id").select(F.col("lang").alias("question"), F.col("doc_id").alias("id"))
     return evaluate.retrieval_metrics(ranked, relevant, 20)
+
+
+@query(f"""WITH r AS (SELECT lang AS question, doc_id AS id, row_number() OVER (PARTITION BY lang ORDER BY n_chars DESC, doc_id) AS rank FROM documents),
+ w AS (SELECT DISTINCT lang AS question, doc_id AS id FROM documents JOIN labels USING (doc_id) WHERE quality = 1), h AS (SELECT r.* FROM r JOIN w USING (question, id)),
+ m AS (SELECT coalesce(found, 0) / 20 AS p, coalesce(found, 0) / wanted AS r, coalesce(1e0 / first, 0) AS f FROM (SELECT question, count(*) AS wanted FROM w GROUP BY 1) LEFT JOIN (SELECT question, count(*) FILTER (rank <= 20) AS found, min(rank) AS first FROM h GROUP BY 1) USING (question))
+ SELECT count(*) AS questions, round(avg(p), 9) AS precision_at_k, round(avg(r), 9) AS recall_at_k, round(avg(f), 9) AS reciprocal_rank FROM m""")
+def mean_retrieval_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    means = evaluate.mean_metrics(retrieval_metrics(spark, sf_dir))
+    return means.select("questions", *(F.round(c, 9).alias(c) for c in means.columns[1:]))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hyperloom.plans.adapter import table
@@ -93,10 +93,13 @@ def events_session(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- as streams -----------------------------------------------------------------------------------------------------------
 
 
-def _folder(spark: SparkSession) -> str:
-    """A new folder that the cluster shares; a temporary one on a single machine."""
+def shared_folder(spark: SparkSession, name: str = "stream") -> str:
+    """A new folder below the one that the cluster shares (spark.checkpoint.dir). Where that is unset, a temporary one
+    serves a session on one machine; on a cluster that is an error."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{shared}/stream-{uuid.uuid4().hex}" if shared else tempfile.mkdtemp(prefix="stream-")
+    if shared is None and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
+    return f"{shared}/{name}-{uuid.uuid4().hex}" if shared else f"{tempfile.mkdtemp(prefix='hyperloom-')}/{name}"
 
 
 def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -107,22 +110,16 @@ def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"SELECT CAST(epoch(time_bucket(INTERVAL 1 HOUR, ts)) AS BIGINT) AS start, event_type, count(*) AS events, {_CENTS} FROM events GROUP BY 1, 2")
 def stream_tumbling(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = windows.windowed(windows.timed(_stream(spark, sf_dir), "31 days"), "1 hour", None, "event_type").withColumn("start", F.unix_timestamp("start"))
-    return outbox.newest(outbox.run_to_end(counted, _folder(spark), "update"), ["start", "event_type"])
+    return outbox.newest(outbox.run_to_end(counted, shared_folder(spark), "update"), ["start", "event_type"])
 
 
 @query("SELECT CAST(user_id AS VARCHAR) AS event_id, count(*) AS n FROM (SELECT DISTINCT user_id FROM events) GROUP BY 1")
 def stream_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     once = outbox.deduplicated(_log(_stream(spark, sf_dir)).select("event_id", "at"), "at", "62 days")
-    return outbox.run_to_end(once, _folder(spark)).groupBy("event_id").agg(F.count("*").alias("n"))
+    return outbox.run_to_end(once, shared_folder(spark)).groupBy("event_id").agg(F.count("*").alias("n"))
 
 
 @query(f"{_STATE_SQL} SELECT event_id, status, attempts FROM s")
 def stream_outbox_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     states = outbox.attempts(_log(_stream(spark, sf_dir)).select("event_id", "seq", "kind"), most=2)
-    return outbox.newest(outbox.run_to_end(states, _folder(spark), "update"), ["event_id"])
-
-
-@query("SELECT user_id, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS r FROM events) WHERE r = 1")
-def snapshot_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    last = Window.partitionBy("user_id").orderBy(F.desc("event_id"))
-    return table(spark, sf_dir, "events").withColumn("r", F.row_number().over(last)).where("r = 1").select("user_id", "event_id", "value")
+    return outbox.newest(outbox.run_to_end(states, shared_folder(spark), "update"), ["event_id"])

@@ -236,6 +236,7 @@ def test_docx(spark, tmp_path):
     files = readers.in_order(readers.scan_directory(spark, str(tmp_path)), ["reviews"])
     got = {r.path.rsplit("/", 1)[1]: r for r in readers.parse_files(files).collect()}
     assert [(b.kind, b.level, b.body) for b in got["a.DOCX"].blocks] == [("heading", 2, "Title"), ("text", None, "Some text"), ("table", None, "")]
+    assert [r.error is None for r in readers.parse_files(files.limit(0)).collect()] == []
     assert got["bad.docx"].blocks is None and "BadZipFile" in got["bad.docx"].error
 
 

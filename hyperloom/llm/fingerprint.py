@@ -1,12 +1,15 @@
 """Canonical exact fingerprints: operator 10, with DataFrame functions only.
 
 A text's canonical form is its NFKC normalisation, case-folded, with every run of white space as one space and
-none at the ends. Its fingerprint is a 128-bit xxhash of that form in hexadecimal. Buckets of equal hash are
-compared byte by byte; where different forms share one (never seen), each gets its SHA-256 appended, so equal
-fingerprints always mean equal canonical forms. The likeness of two fingerprints is 1 if they are equal, else 0.
+none at the ends. Its fingerprint is a 128-bit xxhash of that form in hexadecimal. Hashes that come more than once
+have their forms compared byte by byte; where different forms share one (never seen), each gets its SHA-256 appended,
+so equal fingerprints always mean equal canonical forms. The likeness of two fingerprints is 1 if they are equal,
+else 0.
 
-Defined results: a null text is an empty text. A row without doc_id comes after all others; rows of one doc_id
-are ordered by text. Other columns are ignored.
+Texts are shuffled once, to bring each beside the next one. Hashes are made before that and carried along.
+
+Defined results: a null text is an empty text. A row without doc_id comes after all others; rows of one doc_id, or
+without one, are ordered by their texts' hashes, then by text. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -14,10 +17,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from hyperloom.llm.common import table
+from hyperloom.llm.common import cut, table
 
 #: Colliding hashes that are written into the plan at most; beyond it they are joined.
 LITERAL_HASHES = 1000
+#: Repeated hashes (32 bytes each) that are broadcast at most; beyond it they are joined by a shuffle.
+BROADCAST_HASHES = 1_000_000
 #: Rows of a block in which texts are ordered, and the most blocks.
 BLOCK_ROWS, MOST_BLOCKS = 500, 1 << 16
 
@@ -35,65 +40,97 @@ def wide_hash(form: Column) -> Column:
 
 
 def collided(docs: DataFrame) -> DataFrame:
-    """Hashes whose bucket holds different canonical forms. Equal forms are merged before the shuffle."""
-    forms = docs.select(canonical(F.coalesce("text", F.lit(""))).alias("form")).select("form", wide_hash(F.col("form")).alias("hash"))
-    return forms.distinct().groupBy("hash").agg(F.count("*").alias("forms")).where("forms > 1").select("hash")
+    """Hashes whose bucket holds different canonical forms. Hashes are counted first; only forms whose hash repeats are
+    shuffled, equal ones merged before."""
+    forms = docs.select(canonical(F.coalesce("text", F.lit(""))).alias("form")).withColumn("hash", wide_hash(F.col("form")))
+    repeated = cut(forms.groupBy("hash").agg(F.count("*").alias("rows")).where("rows > 1").select("hash"))
+    near = F.broadcast(repeated) if repeated.count() <= BROADCAST_HASHES else repeated
+    same = forms.join(near, "hash", "left_semi").select("form", "hash").distinct()
+    return same.groupBy("hash").agg(F.count("*").alias("forms")).where("forms > 1").select("hash")
+
+
+def block_bounds(keyed: DataFrame) -> DataFrame:
+    """One row that says how rows (at) go to blocks: bounds of ranges of about BLOCK_ROWS rows, and for each `at` that
+    more rows share than that, into how many parts they go. As data of a row, so that no plan holds thousands of
+    literals, and made once, as the bounds are approximate."""
+    rows = keyed.count()
+    ranges = max(1, min(rows // BLOCK_ROWS, MOST_BLOCKS))
+    limit = max(2 * BLOCK_ROWS, rows // MOST_BLOCKS)
+    hot = {r["at"]: -(-r["rows"] // limit) for r in keyed.groupBy("at").agg(F.count("*").alias("rows")).where(F.col("rows") > limit).collect()}
+    cuts = keyed.agg(F.percentile_approx("at", [i / ranges for i in range(1, ranges)] or [1.0], max(10_000, 10 * ranges))).first()[0] or []
+    bounds = sorted({*cuts, *hot} - {None}) or [0]
+    step = max(1, round(len(bounds) ** 0.5))
+    groups = [bounds[i : i + step] for i in range(0, len(bounds), step)]
+    return keyed.sparkSession.createDataFrame([([g[-1] for g in groups], [g + [g[-1]] * (step - len(g)) for g in groups], hot)], "coarse array<long>, fine array<array<long>>, hot map<long,int>")
+
+
+def in_blocks(keyed: DataFrame, bounds: DataFrame) -> DataFrame:
+    """keyed (at, order) with block. Later blocks hold smaller ats, and of one `at` with several larger orders."""
+    at, parts, step = F.col("at"), F.element_at("hot", F.col("at")), F.size(F.element_at("fine", 1))
+    below = F.least(F.size(F.filter("coarse", lambda x: x < at)), F.size("coarse") - 1)
+    range_ = below * step + F.size(F.filter(F.element_at("fine", below + 1), lambda x: x < at))
+    place = F.when(parts.isNotNull(), 2 * range_ + 1).otherwise(2 * range_)
+    part = F.coalesce(F.floor((F.col("order").cast("double") + 2.0**63) / 2.0**64 * parts).cast("int"), F.lit(0))
+    return keyed.crossJoin(F.broadcast(bounds)).withColumn("block", F.struct((-place).alias("range"), part.alias("part"))).drop("coarse", "fine", "hot")
 
 
 def with_next(docs: DataFrame) -> DataFrame:
-    """Each row's doc_id, text and next_text: the text of the next row by descending doc_id, after the last the first.
-
-    The ids are cut into ranges of about BLOCK_ROWS rows. A range's last row continues with the first of the
-    range below, so each range's largest id is also given to the range above it, and the largest of all to the
-    lowest range.
-    """
-    keyed = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("at"))
-    rows, top = keyed.agg(F.count("*"), F.max("at")).first()
-    blocks = max(1, min(rows // BLOCK_ROWS, MOST_BLOCKS))
-    cuts = keyed.agg(F.percentile_approx("at", [i / blocks for i in range(1, blocks)] or [1.0], max(10_000, 10 * blocks))).first()[0] or []
-    bounds = sorted({*cuts, top} - {None})
-    step = max(1, round(len(bounds) ** 0.5))
-    groups = [bounds[i : i + step] for i in range(0, len(bounds), step)] or [[0]]
-    coarse = F.array(*(F.lit(g[-1]) for g in groups))
-    fine = F.array(*(F.array(*(F.lit(x) for x in g + [g[-1]] * (step - len(g)))) for g in groups))
-    at = F.col("at")
-    below = F.least(F.size(F.filter(coarse, lambda x: x < at)), F.lit(len(groups) - 1))
-    block = below * step + F.size(F.filter(F.element_at(fine, below + 1), lambda x: x < at))
-    own = F.struct(block.alias("block"), F.lit(0).alias("guest"))
-    bound = F.element_at(F.element_at(fine, below + 1), F.least(block - below * step + 1, F.lit(step))) == at
-    above = F.struct(F.when(at == F.lit(top), F.lit(0)).otherwise(block + 1).alias("block"), F.lit(1).alias("guest"))
-    dealt = keyed.withColumn("to", F.explode(F.when(bound, F.array(own, above)).otherwise(F.array(own)))).select("doc_id", "text", "at", "to.*")
-    order = Window.partitionBy("block").orderBy("guest", F.col("at").desc(), "text")
-    return dealt.withColumn("next_text", F.lead("text").over(order)).where("guest = 0").select("doc_id", "text", "next_text")
-
-
-def fingerprints(rows: DataFrame, names: dict[str, str], clashes: DataFrame) -> DataFrame:
-    """Adds the fingerprint of each canonical form column: names is {form column: fingerprint column}."""
-    out = rows.withColumns({f"{new}_hash": wide_hash(F.col(form)) for form, new in names.items()})
+    """Each row's doc_id, text, hash, next_text and next_hash: of the next row by descending doc_id, after the last the
+    first. The last row of a block continues with the first of the block after it, which comes to it as a guest."""
+    text = F.coalesce("text", F.lit(""))
+    keyed = docs.select("doc_id", text.alias("text"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("at"), F.xxhash64(text).alias("order"))
+    bounds = block_bounds(keyed.select("at"))
+    firsts = in_blocks(keyed.select("at", "order"), bounds).groupBy("block").agg(F.min(F.struct((-F.col("at").cast("decimal(20,0)")).alias("down"), "order", "at")).alias("first")).select("block", "first.at", "first.order").orderBy("block").collect()
+    if not firsts:
+        return keyed.select("doc_id", "text", F.lit("").alias("hash"), F.col("text").alias("next_text"), F.lit("").alias("next_hash"))
+    before = [(r["at"], r["order"], firsts[i - 1]["block"]) for i, r in enumerate(firsts)]
+    heads = docs.sparkSession.createDataFrame(before, "at long, order long, block struct<range:int,part:int>")
+    guests = keyed.join(F.broadcast(heads), ["at", "order"]).groupBy("block").agg(F.min("text").alias("text"))
+    hashed = lambda df: df.withColumn("hash", wide_hash(canonical(F.col("text"))))
+    own = hashed(in_blocks(keyed, bounds)).select("doc_id", "text", "at", "order", "hash", "block", F.lit(0).alias("guest"))
+    none = lambda kind: F.lit(None).cast(kind)
+    kind = keyed.schema["doc_id"].dataType
+    guests = hashed(guests).select(none(kind).alias("doc_id"), "text", none("long").alias("at"), none("long").alias("order"), "hash", "block", F.lit(1).alias("guest"))
+    order = Window.partitionBy("block").orderBy("guest", F.col("at").desc(), "order", "text")
+    every = own.unionByName(guests).withColumns({"next_text": F.lead("text").over(order), "next_hash": F.lead("hash").over(order)})
+    return every.where("guest = 0").select("doc_id", "text", "hash", "next_text", "next_hash")
+
+
+def with_clash(rows: DataFrame, columns: list[str], clashes: DataFrame) -> DataFrame:
+    """Adds for each column of hashes whether it is among the clashes."""
     found = [r[0] for r in clashes.take(LITERAL_HASHES + 1)]
-    for form, new in names.items():
-        mark = F.lit(False)
+    for c in columns:
         if len(found) > LITERAL_HASHES:
-            out = out.join(clashes.select(F.col("hash").alias(f"{new}_hash"), F.lit(True).alias(f"{new}_clash")), f"{new}_hash", "left")
-            mark = F.coalesce(F.col(f"{new}_clash"), F.lit(False))
-        elif found:
-            mark = F.col(f"{new}_hash").isin(found)
-        for other, twin in names.items():  # a form that is compared with another of its row
-            if other != form:
-                mark = mark | ((F.col(f"{new}_hash") == F.col(f"{twin}_hash")) & (F.col(form) != F.col(other)))
-        out = out.withColumn(new, F.when(mark, F.concat(f"{new}_hash", F.lit("-"), F.sha2(F.col(form).cast("binary"), 256))).otherwise(F.col(f"{new}_hash")))
-    return out
+            rows = rows.join(clashes.select(F.col("hash").alias(c), F.lit(True).alias(f"_{c}")), c, "left").withColumn(f"{c}_clash", F.coalesce(f"_{c}", F.lit(False))).drop(f"_{c}")
+        else:
+            rows = rows.withColumn(f"{c}_clash", F.col(c).isin(found) if found else F.lit(False))
+    return rows
+
+
+def told_apart(hash_: Column, form: Column, clash: Column) -> Column:
+    return F.when(clash, F.concat(hash_, F.lit("-"), F.sha2(form.cast("binary"), 256))).otherwise(hash_)
+
+
+def fingerprints(docs: DataFrame) -> DataFrame:
+    """doc_id and fingerprint of every row of docs."""
+    form = canonical(F.coalesce("text", F.lit("")))
+    rows = with_clash(docs.select("doc_id", form.alias("form")).withColumn("hash", wide_hash(F.col("form"))), ["hash"], collided(docs))
+    return rows.select("doc_id", told_apart(F.col("hash"), F.col("form"), F.col("hash_clash")).alias("fingerprint"))
 
 
 def op10_canonical_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
+    c = F.col
     half = F.floor(F.length("text") / 2).cast("int")
-    edited = F.concat(F.expr("substring(text, 1, int(length(text) - floor(length(text) / 2)))"), F.substring(F.col("next_text"), F.lit(1), half))
-    rows = with_next(docs).withColumn("edited", edited)
-    rows = rows.select(
-        "doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
-        canonical(F.col("text")).alias("form"), canonical(F.col("edited")).alias("edited_form"), canonical(F.col("next_text")).alias("next_form"),
+    edited = F.concat(F.expr("substring(text, 1, int(length(text) - floor(length(text) / 2)))"), F.substring(c("next_text"), F.lit(1), half))
+    rows = with_next(docs).withColumn("edited", edited).withColumn("edited_form", canonical(c("edited"))).withColumn("edited_hash", wide_hash(c("edited_form")))
+    rows = with_clash(rows, ["hash", "edited_hash"], collided(docs))
+    form = canonical(c("text"))  # asked for only where hashes are equal or clash
+    alike = lambda other, other_form: F.when(c("hash") == other, form == other_form).otherwise(F.lit(False))
+    near_edited, near_next = alike(c("edited_hash"), c("edited_form")), alike(c("next_hash"), canonical(c("next_text")))
+    here = (c("hash") == c("edited_hash")) & ~near_edited  # a text and its edited form clash
+    return rows.select(
+        "doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2(c("edited").cast("binary"), 256).alias("edited_sha256"),
+        told_apart(c("hash"), form, c("hash_clash") | here).alias("fingerprint"), told_apart(c("edited_hash"), c("edited_form"), c("edited_hash_clash") | here).alias("edited_fingerprint"),
+        near_edited.cast("double").alias("near_edited"), near_next.cast("double").alias("near_next"),
     )
-    named = fingerprints(rows, {"form": "fingerprint", "edited_form": "edited_fingerprint", "next_form": "next_fingerprint"}, collided(docs))
-    alike = lambda other: (F.col("fingerprint") == F.col(other)).cast("double")
-    return named.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", alike("edited_fingerprint").alias("near_edited"), alike("next_fingerprint").alias("near_next"))

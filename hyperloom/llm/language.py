@@ -58,36 +58,46 @@ def probabilities(network: Network, windows: np.ndarray) -> np.ndarray:
     return out
 
 
+#: Which entries a filter has, by its width.
+SHAPE = np.concatenate([np.repeat(np.arange(max(WIDTHS)) < w, EMBEDDING)[:, None].repeat(FILTERS, 1) for w in WIDTHS], 1).astype(np.float32)
+
+
+def loss_and_gradients(net: Network, windows: np.ndarray, labels: np.ndarray, weight: np.ndarray) -> tuple[float, list[np.ndarray]]:
+    """The mean of the labels' weighted cross-entropies and its derivatives; only each filter's largest response passes
+    one back."""
+    wide = max(WIDTHS)
+    patches = _patches(net, windows)
+    b, n, d = patches.shape
+    z = (patches.reshape(b * n, d) @ net.filters).reshape(b, n, -1)
+    top = z.argmax(1)
+    raw = np.take_along_axis(z, top[:, None], 1)[:, 0] + net.offset
+    pooled = np.maximum(raw, 0)
+    y = pooled @ net.output + net.bias
+    y = np.exp(y - y.max(1, keepdims=True))
+    y /= y.sum(1, keepdims=True)
+    rows = np.arange(b)
+    loss = float(-(weight[labels] * np.log(np.maximum(y[rows, labels], 1e-30))).mean())
+    y[rows, labels] -= 1
+    y *= (weight[labels] / b)[:, None].astype(y.dtype)
+    back = (y @ net.output.T) * (raw > 0)
+    peak = patches[rows[:, None], top]  # b x filters x d
+    to_patch = back[:, :, None] * net.filters.T[None]
+    g_embedding = np.zeros_like(net.embedding)
+    for j in range(wide):
+        np.add.at(g_embedding, windows[rows[:, None], top + j], to_patch[:, :, j * EMBEDDING : (j + 1) * EMBEDDING])
+    return loss, [g_embedding, np.einsum("bf,bfd->df", back, peak) * SHAPE, back.sum(0), pooled.T @ y, y.sum(0)]
+
+
 def fit(windows: np.ndarray, labels: np.ndarray, classes: int, seed: int = 7) -> Network:
-    """Adam on the cross-entropy; only each filter's largest response passes a gradient back."""
+    """Adam on the cross-entropy."""
     rng = np.random.default_rng(seed)
-    wide = max(WIDTHS)
-    shape = np.concatenate([np.repeat(np.arange(wide) < w, EMBEDDING)[:, None].repeat(FILTERS, 1) for w in WIDTHS], 1).astype(np.float32)
     start = lambda *size, scale: (rng.standard_normal(size) * scale).astype(np.float32)
-    p = [start(256, EMBEDDING, scale=0.5), start(*shape.shape, scale=0.3) * shape, np.zeros(shape.shape[1], np.float32), start(shape.shape[1], classes, scale=0.2), np.zeros(classes, np.float32)]
+    p = [start(256, EMBEDDING, scale=0.5), start(*SHAPE.shape, scale=0.3) * SHAPE, np.zeros(SHAPE.shape[1], np.float32), start(SHAPE.shape[1], classes, scale=0.2), np.zeros(classes, np.float32)]
     first, second, t = [np.zeros_like(x) for x in p], [np.zeros_like(x) for x in p], 0
     weight = len(labels) / (classes * np.maximum(np.bincount(labels, minlength=classes), 1))
     for _ in range(EPOCHS):
         for rows in np.array_split(rng.permutation(len(labels)), max(1, len(labels) // BATCH)):
-            net, own = Network(*p), windows[rows]
-            patches = _patches(net, own)
-            b, n, d = patches.shape
-            z = (patches.reshape(b * n, d) @ net.filters).reshape(b, n, -1)
-            top = z.argmax(1)
-            raw = np.take_along_axis(z, top[:, None], 1)[:, 0] + net.offset
-            pooled = np.maximum(raw, 0)
-            y = pooled @ net.output + net.bias
-            y = np.exp(y - y.max(1, keepdims=True))
-            y /= y.sum(1, keepdims=True)
-            y[np.arange(b), labels[rows]] -= 1
-            y *= (weight[labels[rows]] / b)[:, None].astype(np.float32)
-            back = (y @ net.output.T) * (raw > 0)
-            peak = patches[np.arange(b)[:, None], top]  # b x filters x d
-            to_patch = back[:, :, None] * net.filters.T[None]
-            g_embedding = np.zeros_like(net.embedding)
-            for j in range(wide):
-                np.add.at(g_embedding, own[np.arange(b)[:, None], top + j], to_patch[:, :, j * EMBEDDING : (j + 1) * EMBEDDING])
-            grads = [g_embedding, np.einsum("bf,bfd->df", back, peak) * shape, back.sum(0), pooled.T @ y, y.sum(0)]
+            _, grads = loss_and_gradients(Network(*p), windows[rows], labels[rows], weight)
             t += 1
             for i, g in enumerate(grads):
                 first[i] = 0.9 * first[i] + 0.1 * g

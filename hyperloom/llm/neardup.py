@@ -33,6 +33,8 @@ SKETCH = 128
 BLOCK = 256
 #: Ids of candidate documents that are broadcast at most (8 bytes each); beyond it, they are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
+#: Pairs with one document that one task confirms; its set is handed to as many tasks as it has more.
+HUB = 2000
 
 
 def bands_for(threshold: float, rows: int = ROWS, miss: float = MISS) -> int:
@@ -94,10 +96,14 @@ def confirmed(docs: DataFrame, pairs: DataFrame, shingle: int, percent: int) ->
                 yes.append(100 * both >= percent * (len(x) + len(y) - both))
             yield batch.select(["a", "b"]).filter(pa.array(yes, pa.bool_()))
 
+    # A document of many pairs is a hub: its pairs are dealt to several tasks, and its set to each of them.
+    hubs = cut(pairs.groupBy("a").agg(F.ceil(F.count("*") / HUB).cast("int").alias("salts")).where("salts > 1"))
+    hubs = F.broadcast(hubs) if hubs.count() <= BROADCAST_IDS else hubs
+    dealt = pairs.join(hubs, "a", "left").withColumn("salt", F.coalesce(F.pmod(F.xxhash64("b"), F.col("salts")).cast("int"), F.lit(0)))
     sets = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ids, "doc_id", "left_semi").mapInArrow(full, "doc_id long, own binary")
     own_b = sets.select(F.col("doc_id").alias("b"), F.col("own").alias("own_b"))
-    own_a = sets.select(F.col("doc_id").alias("a"), F.col("own").alias("own_a"))
-    return pairs.join(own_b, "b").join(own_a, "a").select("a", "b", "own_a", "own_b").mapInArrow(compare, "a long, b long").distinct()
+    own_a = sets.select(F.col("doc_id").alias("a"), F.col("own").alias("own_a")).join(hubs, "a", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1))).drop("salts")
+    return dealt.drop("salts").join(own_b, "b").join(own_a, ["a", "salt"]).select("a", "b", "own_a", "own_b").mapInArrow(compare, "a long, b long").distinct()
 
 
 def _block_pairs(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
@@ -140,10 +146,12 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     """doc_id, n_shingles, component_id, kept for each row of docs (doc_id, text).
 
     1. Equal sets become one class, known by its smallest doc_id, so groups of copies are one row from here on.
-    2. Classes that share a band: each is first compared with one class, the smallest that it shares a band with.
+    2. Classes that share a band: each is first compared with one class, the most popular that it shares a band with,
+       that is, whose bands have most members. Of a text and its many edited copies, that is the one most like all.
     3. Buckets that still hold several components give their pairs of different components, in blocks of BLOCK
-       by BLOCK members; pairs that the sketches rule out (a lower bound of the sets' difference, so no link is
-       lost) are left out before any is confirmed.
+       by BLOCK members; the members of a bucket's largest component meet all others, but not each other. Pairs that
+       the sketches rule out (a lower bound of the sets' difference, so no link is lost) are left out before any is
+       confirmed.
     """
     signed = cut(signatures(docs, shingle, bands_for(percent / 100)))
     classes = cut(
@@ -152,20 +160,28 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
         .agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
     )
     banded = classes.select("rep", F.explode("bands").alias("key"))
-    shared = banded.groupBy("key").agg(F.min("rep").alias("first"), F.count("*").alias("members")).where("members > 1")
+    shared = banded.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
     members = cut(banded.join(shared, "key"))
-    stars = members.where("rep <> first").groupBy(F.col("rep").alias("b")).agg(F.min("first").alias("a")).select("a", "b")
+    popular = members.groupBy("rep").agg(F.sum("members").alias("popularity"))
+    ranked = members.join(popular, "rep").select("key", "rep", F.struct("popularity", (-F.col("rep")).alias("rep")).alias("place"))
+    hubs = ranked.groupBy("key").agg(F.max("place").alias("hub"))
+    stars = ranked.join(hubs, "key").where("rep <> -hub.rep").groupBy(F.col("rep").alias("b")).agg(F.max("hub").alias("hub")).select((-F.col("hub.rep")).alias("a"), "b")
     links = cut(confirmed(docs, stars, shingle, percent))
     found = components(links)
-    labelled = members.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("key", "members", "rep", F.coalesce("component", "rep").alias("comp"))
-    mixed = labelled.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("key")
-    parts = F.ceil(F.col("members") / BLOCK).cast("int")
+    labelled = members.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("comp"))
+    per = cut(labelled.groupBy("key", "comp").agg(F.count("*").alias("n")))
+    mixed = per.groupBy("key").agg(F.max_by("comp", F.struct("n", "comp")).alias("largest"), F.max("n").alias("inside"), F.sum("n").alias("members"), F.count("*").alias("comps")).where("comps > 1")
+    parts = lambda n: F.greatest(F.ceil(n / BLOCK), F.lit(1)).cast("int")
+    mixed = mixed.select("key", "largest", parts(F.col("inside")).alias("large_parts"), parts(F.col("members") - F.col("inside")).alias("rest_parts"))
+    # Parts of the largest component have even numbers, the others odd ones; only the others meet every part.
+    large = F.col("comp") == F.col("largest")
+    own = F.when(large, 2 * F.pmod(F.xxhash64("rep"), F.col("large_parts"))).otherwise(2 * F.pmod(F.xxhash64("rep"), F.col("rest_parts")) + 1).cast("int")
+    rest = F.transform(F.sequence(F.lit(0), F.col("rest_parts") - 1), lambda i: 2 * i + 1)
+    met = F.when(large, rest).otherwise(F.concat(rest, F.transform(F.sequence(F.lit(0), F.col("large_parts") - 1), lambda i: 2 * i)))
     placed = (
         labelled.join(mixed, "key")
         .join(classes.select("rep", "n_shingles", "sketch"), "rep")
-        .withColumn("parts", parts)
-        .withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
-        .withColumn("other", F.explode(F.expr("sequence(0, parts - 1)")))
+        .select("key", "rep", "comp", "n_shingles", "sketch", own.alias("part"), F.explode(met).alias("other"))
         .select("key", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "rep", "comp", "n_shingles", "sketch")
     )
     blocks = placed.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")

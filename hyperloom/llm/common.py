@@ -30,15 +30,19 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def written(df: DataFrame, compression: str = "snappy") -> DataFrame:
-    """The same, as Parquet: smaller, and later reads take the columns they need."""
+def written_to(df: DataFrame, compression: str = "snappy") -> tuple[DataFrame, str]:
+    """The same, as Parquet: smaller, and later reads take the columns they need. And its folder, for `discard`."""
     path = f"{shared_folder(df.sparkSession)}/hyperloom-{uuid.uuid4().hex}"
     df.write.option("compression", compression).parquet(path)
-    return df.sparkSession.read.parquet(path)
+    return df.sparkSession.read.parquet(path), path
+
+
+def written(df: DataFrame, compression: str = "snappy") -> DataFrame:
+    return written_to(df, compression)[0]
 
 
 def discard(spark: SparkSession, path: str | None) -> None:
-    """Remove a folder that `written` made, when nothing will read it any more."""
+    """Remove a folder that `written_to` made, when nothing will read it any more."""
     if path:
         place = spark._jvm.org.apache.hadoop.fs.Path(path)
         place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)

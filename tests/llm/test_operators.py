@@ -233,9 +233,12 @@ def test_near_duplicates(spark, edge, edge_rows, empty):
     assert neardup.near_duplicates(empty).count() == 0
 
 
-def test_blocks_split_a_bucket(spark, monkeypatch):
-    """A bucket of many sets that no star resolves is compared in blocks, none of its links is lost."""
+@pytest.mark.parametrize("hub", [1, 2000])
+def test_blocks_split_a_bucket(spark, monkeypatch, hub):
+    """A bucket of many sets that no star resolves is compared in blocks, none of its links is lost; a document of many
+    pairs is confirmed in several tasks."""
     monkeypatch.setattr(neardup, "BLOCK", 4)
+    monkeypatch.setattr(neardup, "HUB", hub)
     rng = np.random.default_rng(5)
     text = list(rng.choice([f"v{i}" for i in range(200)], 120))
     rows = []
@@ -565,31 +568,44 @@ def canonical(text):
     return " ".join(form.split())
 
 
-def test_fingerprints(spark, edge, edge_rows, empty, monkeypatch):
-    monkeypatch.setattr(fingerprint, "BLOCK_ROWS", 5)
-    forms = edge.select(F.coalesce("text", F.lit("")).alias("text")).withColumn("form", fingerprint.canonical(F.col("text")))
-    named = fingerprint.fingerprints(forms, {"form": "fingerprint"}, fingerprint.collided(edge)).collect()
+@pytest.mark.parametrize(("block", "most"), [(5, 1 << 16), (2, 4), (10_000, 1 << 16)])
+def test_fingerprints(spark, edge, edge_rows, empty, monkeypatch, block, most):
+    monkeypatch.setattr(fingerprint, "BLOCK_ROWS", block)
+    monkeypatch.setattr(fingerprint, "MOST_BLOCKS", most)
+    forms = edge.select(F.coalesce("text", F.lit("")).alias("text")).withColumn("form", fingerprint.canonical(F.col("text"))).collect()
+    assert all(r.form == canonical(r.text) for r in forms)
     by = defaultdict(set)
-    for r in named:
-        assert r.form == canonical(r.text)
-        by[r.form].add(r.fingerprint)
+    for r in edge.select("doc_id", "text").withColumn("hash", fingerprint.wide_hash(fingerprint.canonical(F.coalesce("text", F.lit(""))))).collect():
+        by[canonical(r.text)].add(r.hash)
     assert all(len(x) == 1 for x in by.values()) and len({min(x) for x in by.values()}) == len(by)
-    got = fingerprint.with_next(edge).collect()
-    order = sorted(edge_rows, key=lambda r: (r[0] is None, -(r[0] or 0), r[1] or ""))
-    want = Counter((a[0], a[1] or "", b[1] or "") for a, b in zip(order, order[1:] + order[:1]))
-    assert Counter((r.doc_id, r.text, r.next_text) for r in got) == want
-    assert fingerprint.with_next(empty).count() == 0
+    order = {r[0]: r[1] for r in edge.select(F.coalesce("text", F.lit("")).alias("text")).distinct().select("text", F.xxhash64("text")).collect()}
+    for docs, rows in ((edge, edge_rows), (edge.unionByName(nulls := make(spark, [(None, f"text {i}", None, None) for i in range(60)])), [*edge_rows, *((None, f"text {i}", None, None) for i in range(60))])):
+        order |= {r[0]: r[1] for r in nulls.select("text", F.xxhash64("text")).collect()} if docs is not edge else {}
+        got = fingerprint.with_next(docs).collect()
+        line = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), order[r[1] or ""], r[1] or ""))
+        want = Counter((a[0], a[1] or "", b[1] or "") for a, b in zip(line, line[1:] + line[:1]))
+        assert Counter((r.doc_id, r.text, r.next_text) for r in got) == want
+        assert all(r.hash in by[canonical(r.text)] or r.text.startswith("text ") for r in got) and {r.next_hash for r in got} == {r.hash for r in got}
+    assert fingerprint.with_next(empty).count() == 0 and fingerprint.fingerprints(empty).count() == 0
     one = fingerprint.with_next(make(spark, [(5, "alone", None, None)])).first()
-    assert one.next_text == "alone"
+    assert one.next_text == "alone" and one.next_hash == one.hash
+
+
+def test_ids_of_any_size_are_ordered(spark, monkeypatch):
+    monkeypatch.setattr(fingerprint, "BLOCK_ROWS", 3)
+    ids = [2**63 - 1 - i for i in range(20)] + [-(2**62) - i for i in range(20)] + [0, 1]
+    got = fingerprint.with_next(make(spark, [(i, f"t{i}", None, None) for i in ids])).collect()
+    line = sorted(ids, reverse=True)
+    assert {(r.doc_id, r.next_text) for r in got} == {(a, f"t{b}") for a, b in zip(line, line[1:] + line[:1])}
 
 
 def test_colliding_hashes_are_told_apart(spark, monkeypatch):
     monkeypatch.setattr(fingerprint, "wide_hash", lambda form: F.substring(form, 1, 1))
     docs = make(spark, [(1, "apple", None, None), (2, "Apple ", None, None), (3, "avocado", None, None), (4, "pear", None, None)])
-    for most in (1000, 0):
+    for most, shuffled in ((1000, 1_000_000), (0, 0)):
         monkeypatch.setattr(fingerprint, "LITERAL_HASHES", most)
-        rows = docs.select("doc_id", fingerprint.canonical(F.col("text")).alias("form"))
-        got = {r.doc_id: r.fingerprint for r in fingerprint.fingerprints(rows, {"form": "fingerprint"}, fingerprint.collided(docs)).collect()}
+        monkeypatch.setattr(fingerprint, "BROADCAST_HASHES", shuffled)
+        got = {r.doc_id: r.fingerprint for r in fingerprint.fingerprints(docs).collect()}
         assert got[1] == got[2] == "a-" + hashlib.sha256(b"apple").hexdigest() != got[3] and got[4] == "p"
 
 

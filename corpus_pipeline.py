@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hyperloom.llm import decontaminate, language, mixing, neardup, sharding
-from hyperloom.llm.common import ROW, cut, numbered, table, written
+from hyperloom.llm.common import ROW, cut, discard, numbered, table, written_to
 
 #: Language scores below this say nothing: the texts are rejected.
 LEAST_LANGUAGE_SCORE = 0.3
@@ -67,9 +67,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """The rows of the last stage; what a stage wrote is removed once the next one has written what it kept."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i + 1 < len(STAGES):
-            docs = written(docs)
+            docs, path = written_to(docs)
+            discard(spark, before)
+            before = path
     return docs

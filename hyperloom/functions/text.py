@@ -277,6 +277,24 @@ def repair_json(text: Column | str) -> Column:
     return F.regexp_replace(F.when(inner == "", clean).otherwise(inner), r",\s*([}\]])", "$1")
 
 
+def joined_content(parts: Column | str) -> Column:
+    """A model's answer that comes in parts (type, text): the texts of those that are text, in order."""
+    own = F.filter(col(parts), lambda p: F.coalesce(p["type"] == "text", F.lit(True)) & p["text"].isNotNull())
+    return F.array_join(F.transform(own, lambda p: p["text"]), "")
+
+
+def fenced(text: Column | str) -> Column:
+    """What stands in a model's first fence; null if there is none."""
+    return F.nullif(F.regexp_extract(col(text), r"```(?:json)?\s*([\s\S]*?)\s*```", 1), F.lit(""))
+
+
+def json_object(text: Column | str) -> Column:
+    """The first candidate of an answer that is a JSON object: its outermost braces, else what its fence holds."""
+    root = lambda c: F.get_json_object(repair_json(c), "$")
+    is_object = lambda c: F.when(root(c).startswith("{"), root(c))
+    return F.coalesce(is_object(text), is_object(fenced(text)))
+
+
 def relation_type(name: Column | str) -> Column:
     """One of RELATION_TYPES, null if it is none and no alias of one."""
     clean = F.translate(F.lower(strip(name)), " -", "__")

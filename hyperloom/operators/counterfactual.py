@@ -38,12 +38,18 @@ def pair_counts(experiments: DataFrame) -> DataFrame:
     return groups.groupBy(F.col("type").alias("parameter")).agg(F.sum(F.col("n") * F.col("n") - F.col("squares")).alias("pairs"))
 
 
+#: Inputs of a target that go to all tasks at most; beyond it, they are joined by a shuffle.
+BROADCAST_INPUTS = 10_000
+
+
 def for_target(experiments: DataFrame, target: str) -> DataFrame:
-    """The pairs of one experiment; none for an unknown id. Its few rows are broadcast, so the table is scanned once."""
+    """The pairs of one experiment; none for an unknown id. Its few rows go to all tasks."""
     one = leave_one_out(experiments.where(F.col("id") == target))
     others = leave_one_out(experiments.where(F.col("id") != target))
     mine = one.select("type", "rest", F.col("key").alias("own_key"), F.col("value").alias("from_value"))
-    return others.join(F.broadcast(mine), ["type", "rest"]).where("key <> own_key").select(F.lit(target).alias("id"), F.col("id").alias("other"), F.col("type").alias("parameter"), "from_value", F.col("value").alias("to_value"))
+    known = mine.limit(BROADCAST_INPUTS + 1).collect()
+    mine = F.broadcast(experiments.sparkSession.createDataFrame(known, mine.schema)) if len(known) <= BROADCAST_INPUTS else mine
+    return others.join(mine, ["type", "rest"]).where("key <> own_key").select(F.lit(target).alias("id"), F.col("id").alias("other"), F.col("type").alias("parameter"), "from_value", F.col("value").alias("to_value"))
 
 
 def outputs(experiments: DataFrame) -> DataFrame:

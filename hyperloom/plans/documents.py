@@ -281,3 +281,16 @@ def failed_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = F.col("event_type")
     status = F.when(kind == "error", "validation_failed").when(kind == "view", "moderation").when(kind == "click", "empty").otherwise("ok")
     return ingest.failed_samples(table(spark, sf_dir, "events").select("event_id", status.alias("status")), "event_id")
+
+
+@query("""SELECT event_id, CASE WHEN user_id % 4 < 3 THEN CAST(json_extract_string(props, '$.k') AS BIGINT) END AS k FROM events""")
+def model_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers in parts: plain, fenced, fenced with braces around, and none."""
+    k = F.col("user_id") % 4
+    part = lambda kind, said: F.struct(F.lit(kind).alias("type"), said.alias("text"))
+    half = F.length("props") - 3
+    cut = (F.substring("props", F.lit(1), half), F.substring(F.col("props"), half + 1, F.lit(99)))
+    whole = F.concat(F.lit("{see below}\n```json\n"), "props", F.lit("\n```\n{done}"))
+    parts = F.when(k == 0, F.array(part("text", cut[0]), part("image", F.lit("x")), part("text", cut[1]))).when(k == 1, F.array(part("text", F.concat(F.lit("```\n"), "props", F.lit("```"))))).when(k == 2, F.array(part("text", whole))).otherwise(F.array(part("text", F.lit("none"))))
+    rows = table(spark, sf_dir, "events").select("event_id", text.joined_content(parts).alias("answer"))
+    return rows.select("event_id", F.get_json_object(text.json_object("answer"), "$.k").cast("long").alias("k"))

@@ -83,7 +83,7 @@ def tie(owner: str, dim: int = FULL, make: Callable[[str, int], np.ndarray] = ge
     return np.roll(_TIES[make.__name__, dim], zlib.crc32(owner.encode()) % dim)
 
 
-def bundle(vectors: list[np.ndarray], weights: list[float] | None = None, owner: str = "") -> np.ndarray:
+def bundle(vectors: list[np.ndarray], weights: list[float] | None = None, owner: str = "", make: Callable[[str, int], np.ndarray] = generate) -> np.ndarray:
     """Sign of the weighted sum; ties go by the owner's name."""
     if not vectors:
         raise ValueError("nothing to bundle")
@@ -92,7 +92,7 @@ def bundle(vectors: list[np.ndarray], weights: list[float] | None = None, owner:
     if len(vectors) == 1:
         return vectors[0].copy()
     total = np.tensordot(np.asarray(weights if weights is not None else np.ones(len(vectors))), np.stack(vectors).astype(np.int32), 1)
-    return np.where(total == 0, tie(owner, len(total)), np.sign(total)).astype(np.int8)
+    return np.where(total == 0, tie(owner, len(total), make), np.sign(total)).astype(np.int8)
 
 
 def similarity(a: np.ndarray, b: np.ndarray) -> float:

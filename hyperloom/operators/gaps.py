@@ -74,15 +74,15 @@ def analyze(experiments: DataFrame, dimensions: list[str], least: int = 3, cap:
     return classify(grid(combined, n, cap) if cells is None else cells, combination_counts(combined, n), n, least)
 
 
-def neighbours(experiments: DataFrame, encoded: DataFrame, cells: DataFrame, dimensions: list[str], dim: int, semantic: bool = True, most: int = 5) -> DataFrame:
+def neighbours(experiments: DataFrame, encoded: DataFrame, cells: DataFrame, dimensions: list[str], dim: int, semantic: bool = True, most: int = 5, make=vectors.generate) -> DataFrame:
     """cell, rank, id, similarity, value: for each of a few gaps (d0, d1, ...; at most a hundred or so) its nearest
     experiments with a row for each of their outputs. Fillers come from the codebook, never from numbers' places.
 
     The cells' vectors go to the tasks together; a task hands on its own nearest of each cell."""
     rows = cells.select(*(f"d{i}" for i in range(len(dimensions)))).collect()
     names = ["/".join(r) for r in rows]
-    book = vectors.Codebook(dim, semantic)
-    packed = [vectors.pack(vectors.bundle([vectors.bind(book(f"Role:{d}"), book(f"{d}:{' '.join(v.lower().split())}")) for d, v in zip(dimensions, r)], owner="query")) for r in rows]
+    book = vectors.Codebook(dim, semantic, make=make)
+    packed = [vectors.pack(vectors.bundle([vectors.bind(book(f"Role:{d}"), book(f"{d}:{' '.join(v.lower().split())}")) for d, v in zip(dimensions, r)], owner="query", make=make)) for r in rows]
     if not rows:
         return experiments.select(F.lit("").alias("cell"), F.lit(0).alias("rank"), "id", F.lit(0.0).alias("similarity"), F.lit("").alias("value")).limit(0)
     wanted = np.frombuffer(b"".join(packed), np.uint8).reshape(len(rows), -1)

@@ -197,7 +197,7 @@ def encode_query(query: list[tuple[str, str]], dim: int = vectors.FULL, semantic
         else:
             filler = book(f"{kind}:{' '.join(value.lower().split())}")
         parts.append(vectors.bind(book(f"Role:{kind}"), filler))
-    return vectors.bundle(parts, owner="query")
+    return vectors.bundle(parts, owner="query", make=make)
 
 
 def query_hv(query: DataFrame, dim: int = vectors.FULL, semantic: bool = True, make=vectors.generate) -> np.ndarray | None:

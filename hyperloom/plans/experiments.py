@@ -243,6 +243,32 @@ def gap_extrapolate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gaps.extrapolate(rows).withColumn("predicted", F.round("predicted", 6))
 
 
+_QTIE = zlib.crc32(b"query") % _SMALL
+
+
+@query(f"""{X}, i AS (SELECT unnest(range({_SMALL})) AS i),
+{_NAMED("m", "material", "Material")}, {_NAMED("p", "process", "Process")}, {_NAMED("f", "facility", "Facility")}, {_NAMED("e", "'band ' || CAST(floor(size / 10) AS INT)", "Equipment")},
+{_NUMBER("nq", "quantity", "quantity")}, {_NUMBER("nd", "discount", "discount")}, {_NUMBER("np", "least(price, 1000)", "price")}, {_NUMBER("nt", "tax", "tax")},
+t AS (SELECT i, {_AT("'tie'", f"(i - {_TIE} + {_SMALL}) % {_SMALL}")} AS tie, {_AT("'tie'", f"(i - {_QTIE} + {_SMALL}) % {_SMALL}")} AS qtie, {_AT("'RelationType:uses_material'")} AS r1, {_AT("'RelationType:located_at'")} AS r2 FROM i),
+s AS (SELECT x.id, t.i, 2 * m.b + 2 * p.b + f.b + e.b + nq.b + nd.b + np.b + nt.b + p.before * r1 * m.raw + p.before * r2 * f.raw AS total, tie FROM x CROSS JOIN t
+ {_JOINED("m", "material")} {_JOINED("p", "process")} {_JOINED("f", "facility")} {_JOINED("e", "'band ' || CAST(floor(size / 10) AS INT)")}
+ {_JOINED("nq", "quantity")} {_JOINED("nd", "discount")} {_JOINED("np", "least(price, 1000)")} {_JOINED("nt", "tax")}),
+v AS (SELECT id, i, CASE WHEN total = 0 THEN tie ELSE sign(total) END AS v FROM s),
+cells AS (SELECT DISTINCT (SELECT min(material) FROM x) AS d0, facility AS d1 FROM x),
+c AS (SELECT d0 || '/' || d1 AS cell, t.i, CASE WHEN m.b + f.b = 0 THEN qtie ELSE sign(m.b + f.b) END AS q FROM cells CROSS JOIN t JOIN m ON m.v = d0 AND m.i = t.i JOIN f ON f.v = d1 AND f.i = t.i),
+r AS (SELECT cell, id, row_number() OVER (PARTITION BY cell ORDER BY similarity DESC, id) AS rank, similarity FROM (SELECT cell, id, sum(v * q) / {_SMALL}e0 AS similarity FROM v JOIN c USING (i) GROUP BY ALL) QUALIFY rank <= 5),
+o AS (SELECT cell, rank, similarity, label, number FROM r JOIN (SELECT id, 'price' AS label, price AS number FROM x UNION ALL SELECT id, 'tax', tax FROM x) USING (id))
+SELECT a.cell, a.label, round(sum(a.number * b.similarity) / sum(b.similarity), 6) AS predicted, count(*) AS support FROM (SELECT DISTINCT cell, label, number FROM o) a JOIN o b ON a.cell = b.cell AND a.number = b.number AND b.rank <= 3 AND b.similarity > 0.05 GROUP BY ALL""")
+def gap_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the nearest experiments of some combinations foretell: neighbours by vectors, then their numbers."""
+    rows = as_experiments(lines(spark, sf_dir))
+    encoded = search.encode_experiments(rows, _SMALL, False, 2 * spark.sparkContext.defaultParallelism, make=vectors.digest_vector)
+    first = lines(spark, sf_dir).agg(F.min("material")).first()[0]
+    cells = lines(spark, sf_dir).select(F.lit(first).alias("d0"), F.col("facility").alias("d1")).distinct()
+    near = gaps.neighbours(rows, encoded, cells, ["Material", "Facility"], _SMALL, False, make=vectors.digest_vector)
+    return gaps.extrapolate(near).select("cell", "label", F.round("predicted", 6).alias("predicted"), "support")
+
+
 # --- graph -------------------------------------------------------------------------------------------------------------
 
 _KEY_SQL = "type || ':' || lower(trim(value))"

@@ -131,8 +131,9 @@ def _fillers(experiments: DataFrame) -> DataFrame:
             at = text.position_in_range(n)
             return F.when(at.isNotNull(), F.concat(F.lit("N"), inner, F.lower(n["name"]), inner, at.cast("string"))).otherwise(F.concat(F.lit("E"), inner, text.entity_key(e["type"], e["value"])))
 
-        made = text.bound(number, filler)
-        return F.struct(F.lower(text.strip(e["value"])).alias("v"), made.alias("f"), F.concat(F.lit("B"), sep, e["type"], sep, made).alias("part"), F.greatest(F.lit(1), *(F.when(e["type"] == t, w) for t, w in schema.BUNDLE_WEIGHTS.items())).alias("w"))
+        weight = F.greatest(F.lit(1), *(F.when(e["type"] == t, w) for t, w in schema.BUNDLE_WEIGHTS.items()))
+        part = lambda f: F.struct(F.lower(text.strip(e["value"])).alias("v"), f.alias("f"), F.concat(F.lit("B"), sep, e["type"], sep, f).alias("part"), weight.alias("w"))
+        return text.bound(number, lambda n: text.bound(filler(n), part))  # each computed once, as lambdas share nothing
 
     own = experiments.select("id", "relations", F.transform(F.concat("input_entities", "process_entities", "output_entities"), placed).alias("own"))
     end = lambda value: F.get(F.filter("own", lambda e: e["v"] == F.lower(text.strip(value)))["f"], F.lit(0))
@@ -163,27 +164,36 @@ def encode_experiments(experiments: DataFrame, dim: int = vectors.FULL, semantic
             kind, first, *rest = part.split("\u0001")
             if kind == "B":
                 return vectors.bind(book(f"Role:{first}"), filler(rest[0]))
-            return vectors.bind(vectors.bind(vectors.permute(filler(rest[0])), book(f"RelationType:{first}")), filler(rest[1]))
+            return vectors.bind(vectors.permute(filler(rest[0])), book(f"RelationType:{first}")) if kind == "R" else filler(first)
 
+        def kept(part: str) -> np.ndarray:
+            if part not in parts:
+                if len(parts) >= book.most:  # a bounded number is kept
+                    parts.clear()
+                parts[part] = made(part)
+            return parts[part]
+
+        related = np.empty(dim, np.int8)
         for batch in batches:
             out = []
             for id_, own, weights in zip(batch.column("id").to_pylist(), batch.column("parts").to_pylist(), batch.column("weights").to_pylist()):
                 total = np.zeros(dim, np.int8 if sum(weights) < 128 else np.int32)
                 for part, w in zip(own, weights):
-                    if part not in parts:
-                        if len(parts) >= book.most:  # a bounded number is kept
-                            parts.clear()
-                        parts[part] = made(part)
-                    for _ in range(w):
-                        np.add(total, parts[part], out=total)
+                    if part[0] == "R":  # its two ends are kept, as there are many more pairs of them
+                        source, _, target = part.rpartition("\u0001")
+                        np.multiply(kept(source), kept(f"T\u0001{target}"), out=related)
+                        np.add(total, related, out=total)
+                    else:
+                        for _ in range(w):
+                            np.add(total, kept(part), out=total)
                 if not own:
                     total = make(f"empty|{id_}", dim)
                 hv = np.packbits((total > 0) | ((total == 0) & (even > 0)))
                 out.append(hv.tobytes() if query is None else 1 - 2 * int(np.bitwise_count(hv ^ query).sum(dtype=np.int64)) / dim)
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(out, pa.binary() if query is None else pa.float64())], ["id", "hv" if query is None else "similarity"])
 
-    rows = _fillers(experiments)
-    return (rows.repartition(tasks, "id") if tasks else rows).mapInArrow(run, "id string, hv binary" if query is None else "id string, similarity double")
+    rows = _fillers(experiments.repartition(tasks, "id") if tasks else experiments)
+    return rows.mapInArrow(run, "id string, hv binary" if query is None else "id string, similarity double")
 
 
 def encode_query(query: list[tuple[str, str]], dim: int = vectors.FULL, semantic: bool = True, positions: dict | None = None, make=vectors.generate):

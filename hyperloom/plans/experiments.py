@@ -97,8 +97,7 @@ def _encoded_search(spark: SparkSession, sf_dir: str, dim: int, make) -> DataFra
     """Every experiment encoded whole, with its relations, and compared with the anchor where it is encoded."""
     m, p, f = _anchor(spark, sf_dir)
     wanted = spark.createDataFrame([("Material", m), ("Process", p), ("Facility", f)], "type string, value string")
-    rows = as_experiments(lines(spark, sf_dir))
-    scored = search.encode_experiments(rows, dim, False, 4 * spark.sparkContext.defaultParallelism, search.query_hv(wanted, dim, False, make), make)
+    scored = search.encode_experiments(experiments(spark, sf_dir), dim, False, None, search.query_hv(wanted, dim, False, make), make)
     return search.top_k(scored, 20)
 
 
@@ -214,7 +213,7 @@ def _gaps(spark: SparkSession, sf_dir: str, least: int) -> DataFrame:
     nations = table(spark, sf_dir, "nation").join(europe, F.col("n_regionkey") == F.col("r_regionkey"))
     home = sorted(r[0] for r in nations.select("n_name").collect())  # a handful
     domestic = F.exists("input_entities", lambda e: (e["type"] == "Facility") & e["value"].isin(home))
-    return gaps.analyze(as_experiments(lines(spark, sf_dir)), _DIMENSIONS, least, 20, domestic)
+    return gaps.analyze(experiments(spark, sf_dir), _DIMENSIONS, least, 20, domestic)
 
 
 @query(f"{X}, {_GRID_SQL.format(cap=20, least=15)} SELECT gap_type, count(*) AS cells, CAST(sum(experiments) AS BIGINT) AS experiments FROM g WHERE gap_type IS NOT NULL GROUP BY 1")
@@ -261,8 +260,8 @@ o AS (SELECT cell, rank, similarity, label, number FROM r JOIN (SELECT id, 'pric
 SELECT a.cell, a.label, round(sum(a.number * b.similarity) / sum(b.similarity), 6) AS predicted, count(*) AS support FROM (SELECT DISTINCT cell, label, number FROM o) a JOIN o b ON a.cell = b.cell AND a.number = b.number AND b.rank <= 3 AND b.similarity > 0.05 GROUP BY ALL""")
 def gap_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the nearest experiments of some combinations foretell: neighbours by vectors, then their numbers."""
-    rows = as_experiments(lines(spark, sf_dir))
-    encoded = search.encode_experiments(rows, _SMALL, False, 2 * spark.sparkContext.defaultParallelism, make=vectors.digest_vector)
+    rows = experiments(spark, sf_dir)
+    encoded = search.encode_experiments(rows, _SMALL, False, make=vectors.digest_vector)
     first = lines(spark, sf_dir).agg(F.min("material")).first()[0]
     cells = lines(spark, sf_dir).select(F.lit(first).alias("d0"), F.col("facility").alias("d1")).distinct()
     near = gaps.neighbours(rows, encoded, cells, ["Material", "Facility"], _SMALL, False, make=vectors.digest_vector)

@@ -11,6 +11,7 @@ from hyperloom.llm.decontaminate import op5_decontamination
 from hyperloom.llm.fingerprint import op10_canonical_digest
 from hyperloom.llm.language import op8_byte_cnn_language
 from hyperloom.llm.lengths import op7_length_histogram
+from hyperloom.llm.merkle import OP11_SQL, op11_merkle_manifest
 from hyperloom.llm.mixing import OP1_SQL, op1_source_mixing
 from hyperloom.llm.neardup import op4_minmax_near_dedup
 from hyperloom.llm.quality import op2_bradley_terry_quality
@@ -31,9 +32,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_byte_cnn_language": op8_byte_cnn_language,
         "op9_token_efficiency": op9_token_efficiency,
         "op10_canonical_digest": op10_canonical_digest,
+        "op11_merkle_manifest": op11_merkle_manifest,
         "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_source_mixing": OP1_SQL}
+    return {"op1_source_mixing": OP1_SQL, "op11_merkle_manifest": OP11_SQL}

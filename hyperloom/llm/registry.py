@@ -15,6 +15,7 @@ from hyperloom.llm.merkle import OP11_SQL, op11_merkle_manifest
 from hyperloom.llm.mixing import OP1_SQL, op1_source_mixing
 from hyperloom.llm.neardup import op4_minmax_near_dedup
 from hyperloom.llm.negatives import OP12_SQL, op12_segment_negatives
+from hyperloom.llm.personal import op13_weak_supervision_pii
 from hyperloom.llm.quality import op2_bradley_terry_quality
 from hyperloom.llm.scoring import op6_log_bloom_lm
 from hyperloom.llm.secrets import op9_token_efficiency
@@ -35,6 +36,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_canonical_digest": op10_canonical_digest,
         "op11_merkle_manifest": op11_merkle_manifest,
         "op12_segment_negatives": op12_segment_negatives,
+        "op13_weak_supervision_pii": op13_weak_supervision_pii,
         "pipeline": corpus_pipeline.run,
     }
 

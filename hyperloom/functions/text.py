@@ -289,10 +289,14 @@ def fenced(text: Column | str) -> Column:
 
 
 def json_object(text: Column | str) -> Column:
-    """The first candidate of an answer that is a JSON object: its outermost braces, else what its fence holds."""
-    root = lambda c: F.get_json_object(repair_json(c), "$")
-    is_object = lambda c: F.when(root(c).startswith("{"), root(c))
-    return F.coalesce(is_object(text), is_object(fenced(text)))
+    """The first candidate of an answer that is a JSON object: what its fence holds, else its outermost braces."""
+    is_object = lambda c: bound(F.get_json_object(repair_json(c), "$"), lambda root: F.when(root.startswith("{"), root))
+    return F.coalesce(is_object(fenced(text)), is_object(text))
+
+
+def json_root(text: Column | str) -> Column:
+    """The JSON that an answer holds: its object, else whatever its repaired text is; null where that is no JSON."""
+    return F.coalesce(json_object(text), F.get_json_object(repair_json(text), "$"))
 
 
 def relation_type(name: Column | str) -> Column:
@@ -418,7 +422,7 @@ def preview(text: Column | str, longest: int = 240) -> Column:
 
 
 # Fixed value: how a model refuses.
-REFUSALS = r"(?iu)(content[_ ]filter|moderation|не могу обсуждать|i can't discuss|cannot assist)"
+REFUSALS = r"(?iu)я\s+не\s+могу\s+обсуждать|can't\s+discuss|cannot\s+discuss"
 
 
 def is_refusal(text: Column | str) -> Column:

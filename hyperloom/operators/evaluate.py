@@ -39,10 +39,12 @@ def run_rollup(questions: DataFrame) -> DataFrame:
 def judge_verdicts(answers: DataFrame, column: str = "verdict") -> DataFrame:
     """Adds score (0 to 1), passed (from 0.5 on) and reasoning of a judging model's JSON answer, which may stand in
     other text or a fence; all null where it is no object."""
-    root = F.get_json_object(text.repair_json(column), "$")
-    number = F.coalesce(F.get_json_object(root, "$.score").try_cast("double"), F.when(root.startswith("{"), 0.0))
+    root, number = F.col("_root"), F.col("_number")
+    read = answers.withColumn("_root", text.json_root(column))
+    read = read.withColumn("_number", F.coalesce(F.get_json_object(root, "$.score").try_cast("double"), F.when(root.startswith("{"), 0.0)))
     score = F.greatest(F.lit(0.0), F.least(F.lit(1.0), number))
-    return answers.withColumns({"score": F.when(number.isNotNull(), F.round(score, 4)), "passed": F.when(number.isNotNull(), score >= 0.5), "reasoning": F.when(number.isNotNull(), F.coalesce(F.get_json_object(root, "$.reasoning"), F.lit("")))})
+    judged = {"score": F.when(number.isNotNull(), F.round(score, 4)), "passed": F.when(number.isNotNull(), score >= 0.5), "reasoning": F.when(number.isNotNull(), F.coalesce(F.get_json_object(root, "$.reasoning"), F.lit("")))}
+    return read.withColumns(judged).drop("_root", "_number")
 
 
 def asked(questions: DataFrame) -> DataFrame:

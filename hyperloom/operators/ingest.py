@@ -82,8 +82,7 @@ def parse_payload(df: DataFrame, payload: str = "payload", strict: bool = False)
 
     failure: parse_error where it is no object, schema_error where a list is none, tolerant_drop_all where no entity is
     left. If strict, one bad item is a schema_error and nothing is left of the answer; missing lists are empty."""
-    clean = text.repair_json(payload)
-    out = df.withColumn("_p", F.from_json(clean, PAYLOAD)).withColumn("_root", F.get_json_object(clean, "$"))
+    out = df.withColumn("_root", text.json_root(payload)).withColumn("_p", F.from_json("_root", PAYLOAD))
     part = lambda name: F.get_json_object("_root", f"$.{name}")
     listed = lambda name: part(name).isNull() | (part(name) == "null") | part(name).startswith("[")
     none = lambda kind: F.array().cast(f"array<{kind}>")
@@ -105,8 +104,8 @@ def payload_entities(df: DataFrame, payload: str = "payload") -> DataFrame:
     anything else."""
     whole = F.regexp_extract(payload, r"(\[\s*\{[\s\S]*\}\s*,?\s*\])", 1)
     listed = F.from_json(F.when(whole != "", F.regexp_replace(whole, r",\s*([}\]])", "$1")), f"array<{schema.ENTITY}>")
-    held = F.from_json(text.repair_json(payload), PAYLOAD)["entities"]
-    one = F.from_json(text.repair_json(payload), schema.ENTITY)
+    held = F.from_json(text.json_object(payload), PAYLOAD)["entities"]
+    one = F.from_json(text.json_object(payload), schema.ENTITY)
     single = F.when(one["type"].isNotNull(), F.array(one))
     return df.withColumn("entities", valid_entities(F.coalesce(listed, held, single)))
 

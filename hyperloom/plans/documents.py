@@ -242,7 +242,7 @@ _REASON = r"""CASE WHEN length(b) < 50 THEN 'too_short' WHEN regexp_full_match(k
  CASE WHEN status = 'empty' THEN 'empty' WHEN status = 'validation_failed' THEN CASE WHEN doc_id % 7 = 1 THEN 'parse_error' ELSE 'tolerant_drop_all' END END AS failure_class,
  CASE WHEN status = 'ok' THEN 3 END AS inputs, CASE WHEN status = 'ok' THEN 2 END AS processes, CASE WHEN status = 'ok' THEN 1 END AS outputs, CASE WHEN status = 'ok' THEN 1 END AS relations, CASE WHEN status = 'ok' THEN regexp_matches(text, '(?i)(^|[^\pL\pN_])(U|Pu|UF6|уран|плутоний|plutonium|uranium)($|[^\pL\pN_])') END AS is_sensitive FROM o""")
 def ingest_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as chunks that a model has read: answers with entities and relations, refusals, broken ones, ones of which
+    """Documents as chunks that a model has read: answers with entities and relations, some in a fence between braces, refusals, broken ones, ones of which
     nothing is left, and ones without a domain's entity. Numbers with units in the texts count as entities too, so those
     are taken out of the numbers shown."""
     docs = table(spark, sf_dir, "documents")
@@ -252,7 +252,8 @@ def ingest_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.crc32(F.col("text").cast("binary")) * 0 + F.col("year") * 0 + F.col("id").cast("long") % 7
     several = F.concat(F.lit('Found: {"entities":['), entity("material", F.col("id")), F.lit(","), entity("Facility", F.lit("plant")), F.lit(","), entity("Process", F.lit("leaching")), F.lit(","), entity("Property", F.lit("выход по току 95")), F.lit(","), entity("Ghost", F.lit("x")),
                        F.lit('],"relations":[{"source":"leaching","type":"uses","target":"plant"},{"source":"a","type":"nonsense","target":"b"},],}'))
-    answer = F.when(k == 0, "I can't discuss this").when(k == 1, "no idea").when(k == 2, '{"entities":[{"type":"Ghost","value":"x"}]}').when(k == 3, '{"entities":[{"type":"Publication","value":"x"}]}').otherwise(several)
+    several = F.when(k == 4, F.concat(F.lit("{see below}\n```json\n"), several, F.lit("\n```\n{neutron moderation}"))).otherwise(several)
+    answer = F.when(k == 0, F.when(F.col("id").cast("long") % 2 == 0, "I cannot discuss this topic").otherwise("I can't discuss this")).when(k == 1, "no idea").when(k == 2, '{"entities":[{"type":"Ghost","value":"x"}]}').when(k == 3, '{"entities":[{"type":"Publication","value":"x"}]}').otherwise(several)
     made = ingest.process_chunks(own.drop("tagged"), known, lambda body: F.when(body.isNotNull(), answer))
     ok = F.col("status") == "ok"
     count = lambda c: F.when(ok, F.size(F.filter(c, lambda e: (e["type"] != "Property") | e["value"].startswith("выход")))).alias(c.split("_")[0] + ("es" if c.startswith("process") else "s"))

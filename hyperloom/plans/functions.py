@@ -56,10 +56,13 @@ def experiment_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", text.experiment_id(code, text.slug("source"), version, d).alias("id"))
 
 
-@query(r"""SELECT conv_id, turn, regexp_matches(CASE turn % 4 WHEN 0 THEN 'Content_Filter: ' WHEN 1 THEN 'Я НЕ МОГУ ОБСУЖДАТЬ это. ' WHEN 2 THEN 'I can''t discuss that. ' ELSE '' END || text, '(?i)(content[_ ]filter|moderation|не могу обсуждать|i can''t discuss|cannot assist)') AS refused FROM conversations""")
+@query(r"""WITH s AS (SELECT conv_id, turn, CASE turn % 8 WHEN 0 THEN 'Content_Filter: ' WHEN 1 THEN 'Я НЕ  МОГУ ОБСУЖДАТЬ это. ' WHEN 2 THEN 'I can''t discuss that. ' WHEN 3 THEN 'neutron moderation ' WHEN 4 THEN 'You CANNOT discuss it ' WHEN 5 THEN 'I cannot assist ' WHEN 6 THEN 'can''t' || chr(10) || 'Discuss ' ELSE '' END || text AS said FROM conversations)
+ SELECT conv_id, turn, regexp_matches(said, '(?i)я\s+не\s+могу\s+обсуждать|can''t\s+discuss|cannot\s+discuss') AS refused FROM s""")
 def refusals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k = F.col("turn") % 4
-    said = F.when(k == 0, "Content_Filter: ").when(k == 1, "Я НЕ МОГУ ОБСУЖДАТЬ это. ").when(k == 2, "I can't discuss that. ").otherwise("")
+    k = F.col("turn") % 8
+    said = F.lit("")
+    for n, words in enumerate(("Content_Filter: ", "Я НЕ  МОГУ ОБСУЖДАТЬ это. ", "I can't discuss that. ", "neutron moderation ", "You CANNOT discuss it ", "I cannot assist ", "can't\nDiscuss ")):
+        said = F.when(k == n, words).otherwise(said)
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", text.is_refusal(F.concat(said, "text")).alias("refused"))
 
 

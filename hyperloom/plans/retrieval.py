@@ -214,7 +214,7 @@ def rule_judgements(spark: SparkSession, sf_dir: str) -> DataFrame:
 def judge_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = F.to_json(F.struct((F.col("value") / 20).alias("score"), F.col("event_type").alias("reasoning")))
     kind = F.col("user_id") % 5
-    answer = F.when(kind == 0, said).when(kind == 1, F.concat(F.lit("```json\n"), said, F.lit("\n```"))).when(kind < 4, F.concat(F.lit("My verdict: "), said, F.lit(" as asked"))).otherwise(F.lit("no verdict"))
+    answer = F.when(kind == 0, said).when(kind == 1, F.concat(F.lit("{as asked}\n```json\n"), said, F.lit("\n```\n{done}"))).when(kind < 4, F.concat(F.lit("My verdict: "), said, F.lit(" as asked"))).otherwise(F.lit("no verdict"))
     rows = evaluate.judge_verdicts(table(spark, sf_dir, "events").select("event_id", answer.alias("verdict")))
     return rows.select("event_id", "score", "passed", "reasoning")
 

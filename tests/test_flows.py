@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from hyperloom import schema
 from hyperloom.engine import Engine
-from hyperloom.functions import vectors
+from hyperloom.functions import text, vectors
 from hyperloom.operators import answers, chunks, counterfactual, evaluate, gaps, graph, ingest, search
 from hyperloom.policy import Session
 from hyperloom.sources import readers
@@ -81,7 +81,8 @@ def answer_of(entities, relations=()):
 def test_chunks_read_by_a_model(spark):
     body = "copper electrowinning at the cathode is described in these words, 95 % of it"
     good = answer_of([("material", "copper"), ("Process", "electrowinning"), ("Ghost", "x"), ("Property", "95 %")], [("electrowinning", "uses", "copper"), ("a", "nonsense", "b")])
-    said = {"ok": good, "refused": "I can't discuss this", "broken": "no json", "nobody": answer_of([("Publication", "a book")]), "old": good}
+    fenced = "{see below}\n```json\n" + answer_of([("Material", "heavy water"), ("Process", "neutron moderation")]) + "\n```\n{end}"
+    said = {"ok": good, "fenced": fenced, "refused": "I  cannot\ndiscuss this topic", "broken": "no json", "nobody": answer_of([("Publication", "a book")]), "old": good}
     rows = [(k, "f.docx", body.replace("95 %", "") if k == "nobody" else body, 2020, ["Иванов", "Не указан"]) for k in said] + [("short", "f.docx", "1", 2020, [])]
     df = spark.createDataFrame(rows, "id string, filename string, text string, year int, experts array<string>")
     known = spark.createDataFrame([("old",)], "id string")
@@ -94,15 +95,21 @@ def test_chunks_read_by_a_model(spark):
 
     got = {r.id: r for r in ingest.process_chunks(df, known, lambda c: read(F.struct(c.alias("t"), F.col("id")))).collect()}
     assert {k: (r.status, r.reason, r.failure_class) for k, r in got.items()} == {
-        "ok": ("ok", None, None), "refused": ("moderation", None, None), "broken": ("validation_failed", None, "parse_error"), "nobody": ("empty", "weak_domain_evidence", "empty"),
+        "ok": ("ok", None, None), "fenced": ("ok", None, None), "refused": ("moderation", None, None), "broken": ("validation_failed", None, "parse_error"), "nobody": ("empty", "weak_domain_evidence", "empty"),
         "old": ("skipped", None, None), "short": ("empty", "too_short", "empty"),
     }
     ok = got["ok"]
     assert [tuple(e) for e in ok.input_entities] == [("Material", "copper"), ("Property", "95 %"), ("Publication", "f.docx")] and [tuple(e) for e in ok.process_entities] == [("Process", "electrowinning"), ("Expert", "Иванов")]
     assert [tuple(r) for r in ok.relations] == [("electrowinning", "uses_material", "copper")] and (ok.dropped_entities, ok.dropped_relations) == (1, 1)
-    assert seen.value <= 2 * 4  # neither what is known nor what says nothing is read
+    assert seen.value <= 2 * 5  # neither what is known nor what says nothing is read
     unread = {r.id: r.status for r in ingest.process_chunks(df, known).collect()}  # numbers with units alone
-    assert unread == {"ok": "ok", "refused": "ok", "broken": "ok", "nobody": "empty", "old": "skipped", "short": "empty"}
+    assert unread == {"ok": "ok", "fenced": "ok", "refused": "ok", "broken": "ok", "nobody": "empty", "old": "skipped", "short": "empty"}
+
+
+def test_refusals(spark):
+    said = {"I can't discuss this": True, "You CANNOT  discuss it": True, "Я не могу\tобсуждать это": True, "neutron moderation": False, "content filter": False, "I cannot assist": False, "": False, None: False}
+    rows = spark.createDataFrame([(t,) for t in said], "t string").select("t", text.is_refusal("t").alias("r")).collect()
+    assert {r.t: r.r for r in rows} == said
 
 
 def test_strict_payloads(spark):

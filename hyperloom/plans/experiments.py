@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from hyperloom import schema
 from hyperloom.functions import vectors
-from hyperloom.operators import counterfactual, entities, evaluate, gaps, graph, search
+from hyperloom.operators import bundles, counterfactual, entities, evaluate, gaps, graph, search
 from hyperloom.plans.adapter import LINES_SQL, as_experiments, experiments, lines, table
 from hyperloom.plans.registry import query
 
@@ -93,17 +93,17 @@ def vsa_similarity_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.groupBy(F.round("similarity", 6).alias("similarity")).agg(F.count("*").alias("experiments"))
 
 
-def _encoded_search(spark: SparkSession, sf_dir: str, dim: int, make) -> DataFrame:
+def _encoded_search(spark: SparkSession, sf_dir: str, dim: int, word) -> DataFrame:
     """Every experiment encoded whole, with its relations, and compared with the anchor where it is encoded."""
     m, p, f = _anchor(spark, sf_dir)
     wanted = spark.createDataFrame([("Material", m), ("Process", p), ("Facility", f)], "type string, value string")
-    scored = search.encode_experiments(experiments(spark, sf_dir), dim, False, None, search.query_hv(wanted, dim, False, make), make)
+    scored = bundles.similarities(search.encode_words(experiments(spark, sf_dir), dim, word), search.query_words(wanted, dim, word), dim)
     return search.top_k(scored, 20)
 
 
 @query()
 def vsa_search_full(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _encoded_search(spark, sf_dir, vectors.FULL, vectors.generate)
+    return _encoded_search(spark, sf_dir, vectors.FULL, bundles.hashed_word)
 
 
 _SMALL = 64
@@ -129,7 +129,7 @@ s AS (SELECT x.id, t.i, 2 * m.b + 2 * p.b + f.b + e.b + nq.b + nd.b + np.b + nt.
 SELECT id, sum(CASE WHEN total = 0 THEN tie ELSE sign(total) END * q) / {_SMALL}e0 AS similarity FROM s JOIN q USING (i) GROUP BY id ORDER BY similarity DESC, id LIMIT 20""")
 def vsa_search_encoded(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same at a dimension that SQL can follow, with vectors by digests."""
-    return _encoded_search(spark, sf_dir, _SMALL, vectors.digest_vector)
+    return _encoded_search(spark, sf_dir, _SMALL, bundles.digest_word)
 
 
 @query(f"""SELECT vec_id, label, round(s, 6) AS similarity FROM (SELECT b.vec_id, b.label,

@@ -87,7 +87,8 @@ def place(docs: DataFrame, shards: int, old_shard: Column, room: list[int] | Non
     light = cut(docs.select(*number, "doc_id", text_bytes(F.col("text")).alias("size"), F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"), old_shard.cast("int").alias("old_shard")))
     parts = max(1, min(light.count() // PART_ROWS, MOST_PARTS))
     falling = (F.lit(SIZE_CLASSES) - F.floor(F.log2("size"))).cast("int")
-    light = light.withColumns({"falling": falling, "part": F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(parts)).cast("int")})
+    dealt = F.xxhash64(*(number or ["doc_id", "text_crc32"]))  # by number where there is one, so that equal rows are dealt out too
+    light = light.withColumns({"falling": falling, "part": F.pmod(dealt, F.lit(parts)).cast("int")})
     block = ["old_shard", "falling", "part"]
     sums = light.groupBy(*block).agg(F.sum("size").alias("bytes")).orderBy(*block).toPandas()
     have = [int(sums.bytes[sums.old_shard == i].sum()) for i in range(shards)]

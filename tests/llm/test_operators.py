@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from hyperloom.llm import decontaminate, fingerprint, kernels, language, lengths, mixing, neardup, quality, scoring, secrets, sharding
-from hyperloom.llm.common import remainder
+from hyperloom.llm.common import numbered, remainder
 from tests.llm.conftest import make, words
 
 TEXTS = ["Ab  c\tÄ\x0bx", "", None, " lead", "trail ", "ö" * 10, "a b c", "x" * 3000]
@@ -638,3 +638,12 @@ def test_one_document_of_each_group_without_ids(spark, tmp_path):
     rows = [(7, a, "x", "s"), (7, a, "x", "s"), (7, c, "x", "s"), (3, near, "x", "s"), (None, a, "x", "s"), (None, b, "x", "s"), (None, b, "x", "s"), (None, d, "x", "s"), (9, e, "x", "s"), (9, e, "x", "s")]
     kept = corpus_pipeline.drop_near_duplicates(spark, make(spark, rows), str(tmp_path))
     assert sorted((str(r.doc_id), r.text) for r in kept.collect()) == sorted([("3", near), ("7", c), ("None", b), ("None", d), ("9", e)])
+
+
+def test_equal_rows_without_id_are_dealt_over_blocks(spark, monkeypatch):
+    """The blocks in which rows are ordered go by the rows' numbers, not by what equal rows share."""
+    monkeypatch.setattr(sharding, "PART_ROWS", 50)
+    rows = numbered(make(spark, [(None, "same text", "en", "a")] * 2000).repartition(8))
+    placed, _ = sharding.place(rows, 4, sharding.by_source(4))
+    found = placed.groupBy("shard").agg(F.count("*").alias("n"), F.count_distinct("slot").alias("slots"), F.min("slot").alias("first"), F.max("slot").alias("last")).collect()
+    assert len(found) == 4 and all(r.n == r.slots == r["last"] + 1 and r["first"] == 0 and abs(r.n - 500) < 25 for r in found)

@@ -11,7 +11,7 @@ from hyperloom.plans.adapter import LINES_SQL, experiments, table
 from hyperloom.plans.registry import query
 from hyperloom.plans.stream import shared_folder
 from hyperloom.sources.store import Store
-from hyperloom.streaming import outbox, relay
+from hyperloom.streaming import outbox, relay, worker
 
 X = f"WITH {LINES_SQL}"
 NOW = "2024-03-01 00:00:00"
@@ -134,6 +134,19 @@ def backfill_and_sync(spark: SparkSession, sf_dir: str) -> DataFrame:
     return every.select(F.lit(count).cast("long").alias("backfilled"), *(F.lit(moved[k]).cast("long").alias(k) for k in ("published", "failed", "acked")), "experiments")
 
 
+@query("""WITH o AS (SELECT user_id % 5 <> 0 AND user_id % 7 <> 0 AS good, row_number() OVER (ORDER BY CAST(event_id AS VARCHAR)) AS r FROM events)
+ SELECT CASE WHEN r > 600 THEN 'pending' WHEN good THEN 'acked' ELSE 'dead_letter' END AS status, count(*) AS events, count(*) FILTER (r <= 600 AND good) AS messages, count(*) FILTER (r <= 600 AND NOT good) AS attempts FROM o GROUP BY 1""")
+def worker_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three turns of the worker on a log of all events, the last after a compaction: the oldest are applied, those that
+    can't be read end as dead letters, the rest waits."""
+    store, now = Store(spark, shared_folder(spark, "worker")), F.lit(NOW).cast("timestamp")
+    turns = worker.Worker(store, lambda experiments: store.upsert("applied", experiments.select("id", "name")), batch=200, most=1, compact_every=2)
+    turns.enqueue_payloads(_event(table(spark, sf_dir, "events")), now)
+    for _ in range(3):
+        turns.turn(now)
+    return turns.state().groupBy("status").agg(F.count("*").alias("events"), F.count("message_id").alias("messages"), F.sum("attempts").alias("attempts"))
+
+
 @query(f"""{X} SELECT 'HAS_INPUT' AS type, count(*) * 4 AS edges FROM x UNION ALL SELECT 'HAS_PROCESS', count(*) * 2 FROM x UNION ALL SELECT 'HAS_OUTPUT', count(*) * 2 FROM x UNION ALL SELECT 'EVIDENCE_FROM', count(*) FROM x
  UNION ALL SELECT 'USES_MATERIAL', count(*) FROM x UNION ALL SELECT 'LOCATED_AT', count(*) FROM x""")
 def stream_graph_sync(spark: SparkSession, sf_dir: str) -> DataFrame:

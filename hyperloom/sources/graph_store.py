@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,11 +29,19 @@ class GraphStore:
         return found if found is not None else self.spark.createDataFrame([], EDGE)
 
     def merge(self, nodes: DataFrame, edges: DataFrame | None = None) -> None:
-        rows = [self.nodes().withColumn("_new", F.lit(0)), nodes.select("entity_id", "label", "name").withColumn("_new", F.lit(1))]
-        merged = reduce(DataFrame.unionByName, rows).groupBy("entity_id", "label").agg(F.max_by("name", F.struct("_new", "name")).alias("name"))
-        self.store.save("nodes", merged)
+        """Nodes by their id and edges by their source: only the buckets that these fall in are written."""
+        empty = lambda ddl: self.spark.createDataFrame([], ddl)
+
+        def last_name(old: DataFrame | None, new: DataFrame) -> DataFrame:
+            rows = (empty(NODE) if old is None else old).withColumn("_new", F.lit(0)).unionByName(new.withColumn("_new", F.lit(1)))
+            return rows.groupBy("entity_id", "label").agg(F.max_by("name", F.struct("_new", "name")).alias("name"))
+
+        def once(old: DataFrame | None, new: DataFrame) -> DataFrame:
+            return (empty(EDGE) if old is None else old).unionByName(new).distinct()
+
+        self.store.merge("nodes", nodes.select("entity_id", "label", "name"), ["entity_id"], last_name)
         if edges is not None:
-            self.store.save("edges", self.edges().unionByName(edges.select("source", "type", "target")).distinct())
+            self.store.merge("edges", edges.select("source", "type", "target"), ["source"], once)
 
     def insert(self, experiments: DataFrame) -> None:
         """Experiments with their entities, roles, relations and evidence."""

@@ -1,8 +1,10 @@
-"""What is kept: versioned Parquet snapshots behind a pointer, an append-only audit log, reports."""
+"""What is kept: versioned Parquet snapshots behind a pointer, tables merged by buckets, logs in parts, audit, reports."""
 
 from __future__ import annotations
 
+import json
 import time
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,33 +12,104 @@ from pyspark.sql import functions as F
 from hyperloom.operators.ingest import upsert
 
 
+#: Parts by hash of the key that a merged table is kept in; one that is rewritten when any of its keys changes.
+BUCKETS = 64
+Combine = Callable[[DataFrame | None, DataFrame], DataFrame]
+
+
 class Store:
     """Tables below one folder that all executors reach. A save writes a new version and then adds it to the table's
-    list, so readers see a whole version or the one before."""
+    list, so readers see a whole version or the one before.
+
+    A merged table lies in buckets by a hash of its key. A merge writes the buckets that its keys touch and lists, for
+    every bucket, the version that holds it: the files of the others stay as they are and are read from where they lie."""
 
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
+    def __init__(self, spark: SparkSession, root: str, buckets: int = BUCKETS):
+        self.spark, self.root, self.buckets = spark, root.rstrip("/"), buckets
 
-    def _versions(self, name: str) -> list[str]:
+    def _versions(self, name: str) -> list[dict]:
+        """Each version's entry, in order: its name, and of a merged table where its buckets lie."""
         path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}/versions")
         if not path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path):
             return []
-        return sorted(r[0] for r in self.spark.read.text(f"{self.root}/{name}/versions").collect())
+        lines = [r[0] for r in self.spark.read.text(f"{self.root}/{name}/versions").collect()]
+        return sorted((json.loads(x) if x.startswith("{") else {"version": x} for x in lines), key=lambda e: e["version"])
+
+    def _list(self, name: str, entry: str) -> None:
+        self.spark.range(1).select(F.lit(entry)).coalesce(1).write.mode("append").text(f"{self.root}/{name}/versions")
 
     def save(self, name: str, df: DataFrame) -> str:
         version = f"v{time.time_ns():020d}"
         df.write.parquet(f"{self.root}/{name}/{version}")
-        self.spark.range(1).select(F.lit(version)).coalesce(1).write.mode("append").text(f"{self.root}/{name}/versions")
+        self._list(name, version)
         return version
 
+    def _read(self, name: str, entry: dict, buckets: list[int] | None = None) -> DataFrame | None:
+        """A version's rows, or those of some of its buckets; None if it has none of them."""
+        if "at" not in entry:
+            return self.spark.read.parquet(f"{self.root}/{name}/{entry['version']}")
+        own = [(b, v) for b, v in entry["at"].items() if buckets is None or int(b) in buckets]
+        return self.spark.read.parquet(*(f"{self.root}/{name}/{v}/_bucket={b}" for b, v in own)) if own else None
+
     def load(self, name: str, version: str | None = None) -> DataFrame | None:
         """The newest version, None if there is none."""
-        versions = self._versions(name)
-        return self.spark.read.parquet(f"{self.root}/{name}/{version or versions[-1]}") if versions else None
+        entries = [e for e in self._versions(name) if version is None or e["version"] == version]
+        return self._read(name, entries[-1]) if entries else None
+
+    def merge(self, name: str, new: DataFrame, keys: list[str], combine: Combine) -> str:
+        """combine(old, new) in place of the old rows of the buckets that the new rows' keys fall in. Rows of one key must
+        come together in what `combine` does; a null key has a bucket like any other."""
+        entries = self._versions(name)
+        last = entries[-1] if entries else None
+        n = last["buckets"] if last and "at" in last else self.buckets
+        key = [F.col(k).cast("string") for k in keys]  # the same whatever whole number's type a key comes in
+        placed = lambda df: df.withColumn("_bucket", F.pmod(F.xxhash64(*key), F.lit(n)).cast("int"))
+        version = f"v{time.time_ns():020d}"
+        new = self._staged(name, version, new)  # read twice below, made once
+        if last and "at" not in last:  # saved whole before: every bucket is written once
+            touched, old = list(range(n)), self._read(name, last)
+        else:
+            touched = [r[0] for r in placed(new).select("_bucket").distinct().collect()]  # n numbers at most
+            old = self._read(name, last, touched) if last else None
+        if not touched:
+            return last["version"] if last else self.save(name, new)
+        spread = max(1, int(self.spark.conf.get("spark.sql.shuffle.partitions")) // len(touched))  # large buckets have several files
+        rows = placed(combine(old, new)).repartition("_bucket", F.pmod(F.xxhash64(*key, F.lit("file")), F.lit(spread)))
+        rows.write.partitionBy("_bucket").parquet(f"{self.root}/{name}/{version}")
+        held = self._held(f"{self.root}/{name}/{version}")
+        at = {b: v for b, v in (last or {}).get("at", {}).items() if int(b) not in touched} | {str(b): version for b in held}
+        self._list(name, json.dumps({"version": version, "buckets": n, "at": at}))
+        staged = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}/staged/{version}")
+        staged.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(staged, True)
+        return version
+
+    def _staged(self, name: str, version: str, new: DataFrame) -> DataFrame:
+        path = f"{self.root}/{name}/staged/{version}"
+        new.write.parquet(path)
+        return self.spark.read.schema(new.schema).parquet(path)
+
+    def _held(self, folder: str) -> list[int]:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(folder)
+        names = (f.getPath().getName() for f in path.getFileSystem(self.spark._jsc.hadoopConfiguration()).listStatus(path))
+        return sorted(int(x.partition("=")[2]) for x in names if x.startswith("_bucket="))
 
     def upsert(self, name: str, new: DataFrame, key: str = "id") -> str:
-        old = self.load(name)
-        return self.save(name, new if old is None else upsert(old, new, key))
+        return self.merge(name, new, [key], lambda old, rows: rows if old is None else upsert(old, rows, key))
+
+    def appended(self, name: str, df: DataFrame, part: str) -> None:
+        """Rows added to a log as a part of its own, which a repeated call with the same name replaces."""
+        df.write.mode("overwrite").parquet(f"{self.root}/{name}/part={part}")
+
+    def log(self, name: str, parts: list[str] | None = None) -> DataFrame | None:
+        """All parts of a log, or some; None if there are none."""
+        folder, known = f"{self.root}/{name}", self.log_parts(name)
+        own = [p for p in known if parts is None or p in parts]
+        return self.spark.read.option("basePath", folder).parquet(*(f"{folder}/part={p}" for p in own)).drop("part") if own else None
+
+    def log_parts(self, name: str) -> list[str]:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
+        files = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        return sorted(f.getPath().getName().removeprefix("part=") for f in files.listStatus(path) if f.getPath().getName().startswith("part=")) if files.exists(path) else []
 
     def append_audit(self, username: str, role: str, action: str, details: str) -> None:
         now = F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss.SSS")  # UTC

@@ -317,6 +317,38 @@ def graph_expand_2hop(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.expand(graph.edges(every), hits)
 
 
+_TRADE_SQL = """e AS (SELECT 'c' || c_custkey AS source, 'n' || c_nationkey AS target FROM customer UNION SELECT 's' || s_suppkey, 'n' || s_nationkey FROM supplier UNION SELECT 'n' || n_nationkey, 'r' || n_regionkey FROM nation UNION SELECT 'p' || l_partkey, 's' || l_suppkey FROM lineitem),
+ w AS (SELECT source, target FROM e UNION SELECT target, source FROM e),
+ h AS (SELECT 'c' || c_custkey AS id, 'c' || c_custkey AS node, 0 AS hop FROM customer WHERE c_acctbal >= 9950 UNION SELECT h.id, w.target, h.hop + 1 FROM h JOIN w ON h.node = w.source WHERE h.hop < 4),
+ f AS (SELECT id, node, min(hop) AS hop FROM h GROUP BY ALL)"""
+
+
+def _trade(spark: SparkSession, sf_dir: str) -> tuple:
+    """Who deals with whom as edges, and the customers of the largest balances."""
+    t = lambda name: table(spark, sf_dir, name)
+    node = lambda kind, c: F.concat(F.lit(kind), F.col(c).cast("string"))
+    edge = lambda df, a, kind, b: df.select(a.alias("source"), F.lit(kind).alias("type"), b.alias("target"))
+    edges = edge(t("customer"), node("c", "c_custkey"), "LIVES_IN", node("n", "c_nationkey")).unionByName(edge(t("supplier"), node("s", "s_suppkey"), "SITS_IN", node("n", "s_nationkey")))
+    edges = edges.unionByName(edge(t("nation"), node("n", "n_nationkey"), "PART_OF", node("r", "n_regionkey"))).unionByName(edge(t("lineitem"), node("p", "l_partkey"), "SOLD_BY", node("s", "l_suppkey")))
+    return edges, t("customer").where("c_acctbal >= 9950").select(node("c", "c_custkey").alias("id"))
+
+
+@query(f"""WITH RECURSIVE {_TRADE_SQL} SELECT id, hop, count(*) AS parts, CAST(sum(p_size) AS BIGINT) AS size FROM f JOIN part ON node = 'p' || p_partkey WHERE p_size >= 40 AND p_retailprice < 1500 GROUP BY id, hop""")
+def graph_hops_4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From customers by way of their nation and its suppliers to parts, and on: the parts of a size and a price that four hops
+    reach."""
+    found = graph.reached(*_trade(spark, sf_dir), hops=4)
+    parts = table(spark, sf_dir, "part").where("p_size >= 40 and p_retailprice < 1500").select(F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("node"), "p_size")
+    return found.join(parts, "node").groupBy("id", "hop").agg(F.count("*").alias("parts"), F.sum("p_size").cast("long").alias("size"))
+
+
+@query(f"""WITH RECURSIVE {_TRADE_SQL.replace("h.hop < 4", "h.hop < 2")}, k AS (SELECT DISTINCT source, target, CASE left(source, 1) WHEN 'c' THEN 'LIVES_IN' WHEN 's' THEN 'SITS_IN' WHEN 'n' THEN 'PART_OF' ELSE 'SOLD_BY' END AS type FROM e)
+ SELECT a.id, type, least(a.hop, b.hop) AS hop, count(*) AS edges FROM k JOIN f a ON a.node = k.source JOIN f b ON b.node = k.target AND b.id = a.id GROUP BY ALL""")
+def graph_subgraph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The edges around customers within two hops, by type."""
+    return graph.subgraph(*_trade(spark, sf_dir), hops=2).groupBy("id", "type", "hop").agg(F.count("*").alias("edges"))
+
+
 @query(f"""{X} SELECT id, 7 + CASE WHEN 'quantity: ' || quantity = 'discount: ' || discount THEN 0 ELSE 1 END AS entities, 8 AS hyperedges, 2 AS relations, 1 AS evidence FROM x""")
 def graph_insert_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.insert_plan(experiments(spark, sf_dir))

@@ -9,8 +9,11 @@ at once. Words of an experiment are rows for that, which exist inside the genera
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -75,19 +78,24 @@ def blended_word(low: Column, high: Column, n: Column, w: Column) -> Column:
     return F.when(n >= (w + 1) * WORD, high).when(n <= w * WORD, low).otherwise(_or(_and(high, mask), _and(low, F.bitwise_not(mask))))
 
 
-def part_word(part: Column, w: Column, dim: int, word) -> Column:
-    """Word w of a part as `search._fillers` writes it: B, role and filler, or R, type and the fillers of both ends."""
+def part_word(part: Column, w: Column, dim: int, word, held: tuple[Column, Column] | None = None) -> Column:
+    """Word w of a part as `search._fillers` writes it: B, role and filler, or R, type and the fillers of both ends. held: words
+    of the first and the second filler, null where they are functions of their keys."""
     field = lambda i: F.get(F.split(part, "\u0001"), F.lit(i))
 
-    def filler(code: Column, w: Column) -> Column:
+    def filler(i: int, w: Column) -> Column:
+        made = own(field(i), w)
+        return F.coalesce(F.get(held[i - 2], w), made) if held else made
+
+    def own(code: Column, w: Column) -> Column:
         at = lambda i: F.get(F.split(code, "\u0002"), F.lit(i))
         base = lambda end: word(F.concat(F.lit("NumericBase:"), at(1), F.lit(f":{end}")), w)
         n = F.floor(F.greatest(F.lit(0.0), F.least(F.lit(1.0), at(2).cast("double"))) * dim).cast("int")
         return F.when(at(0) == "E", word(at(1), w)).otherwise(blended_word(base("min"), base("max"), n, w))
 
-    binding = bound_word(word(F.concat(F.lit("Role:"), field(1)), w), filler(field(2), w))
-    source = permuted_word(lambda v: filler(field(2), v), w, dim)
-    relation = bound_word(bound_word(source, word(F.concat(F.lit("RelationType:"), field(1)), w)), filler(field(3), w))
+    binding = bound_word(word(F.concat(F.lit("Role:"), field(1)), w), filler(2, w))
+    source = permuted_word(lambda v: filler(2, v), w, dim)
+    relation = bound_word(bound_word(source, word(F.concat(F.lit("RelationType:"), field(1)), w)), filler(3, w))
     return F.when(field(0) == "B", binding).otherwise(relation)
 
 
@@ -144,18 +152,67 @@ def longs(values: list[int]) -> Column:
     return F.array(*(F.lit(v).cast("long") for v in values))
 
 
-def codebook(parts: DataFrame, dim: int, word) -> DataFrame:
+def codebook(parts: DataFrame, dim: int, word, semantic: Semantic | None = None) -> DataFrame:
     """part, hv (array of words) of the distinct parts of rows (parts)."""
-    every = parts.select(F.explode("parts").alias("part")).distinct()
-    return every.select("part", F.transform(F.sequence(F.lit(0), F.lit(words_of(dim) - 1)), lambda w: part_word(F.col("part"), w, dim, word)).alias("hv"))
-
-
-def bundled_words(parts: DataFrame, dim: int, owner: str = "experiments", word=hashed_word) -> DataFrame:
+    every, seq = parts.select(F.explode("parts").alias("part")).distinct(), F.sequence(F.lit(0), F.lit(words_of(dim) - 1))
+    if semantic is None:
+        return every.select("part", F.transform(seq, lambda w: part_word(F.col("part"), w, dim, word)).alias("hv"))
+    key = lambda i: F.nullif(F.regexp_extract(F.get(F.split("part", "\u0001"), F.lit(i)), "^E\u0002([\\s\\S]*)$", 1), F.lit(""))
+    keyed = written(every.select("part", key(2).alias("k2"), key(3).alias("k3")))
+    known = semantic.vectors(keyed.select(F.explode(F.array("k2", "k3")).alias("key")).where("key is not null").distinct())
+    for k in ("k2", "k3"):
+        keyed = keyed.join(known.select(F.col("key").alias(k), F.col("hv").alias(f"h{k}")), k, "left")
+    return keyed.select("part", F.transform(seq, lambda w: part_word(F.col("part"), w, dim, word, (F.col("hk2"), F.col("hk3")))).alias("hv"))
+
+
+def trigrams(values: list[str]) -> np.ndarray:
+    return np.stack([vectors.trigram_embedding(v) for v in values])
+
+
+class Semantic:
+    """Vectors of entity keys by what their values mean: embeddings of whole batches of values, projected at once by one matrix
+    product, positions by its sign. With a store, the codebook is a table in it: keys that it has are read, and only new ones
+    are made and merged in, so a key keeps its vector.
+
+    embed: values to an array of one row each; matrix: makes the projection (positions by embedding's size), in a task."""
+
+    def __init__(self, dim: int, store=None, embed: Callable[[list[str]], np.ndarray] = trigrams, matrix: Callable[[], np.ndarray] | None = None, name: str = "codebook"):
+        self.dim, self.store, self.embed, self.name = dim, store, embed, name
+        self.matrix = matrix or (lambda: vectors.projection(dim=dim))
+
+    def made(self, keys: DataFrame) -> DataFrame:
+        """key, hv of distinct keys."""
+        dim, embed, matrix = self.dim, self.embed, self.matrix
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            project = None
+            for batch in batches:
+                if not len(batch):
+                    continue
+                project = matrix() if project is None else project
+                dense = embed([k.partition(":")[2] for k in batch["key"]])
+                bits = np.zeros((len(batch), words_of(dim) * WORD), np.uint8)
+                bits[:, :dim] = dense @ project.T >= 0
+                words = np.packbits(bits, 1, bitorder="little").view("<i8")
+                yield pd.DataFrame({"key": batch["key"], "hv": list(words)})
+
+        return keys.select("key").mapInPandas(run, "key string, hv array<long>")
+
+    def vectors(self, keys: DataFrame) -> DataFrame:
+        if self.store is None:
+            return written(self.made(keys))
+        known = self.store.load(self.name)
+        new = keys if known is None else keys.join(known.select("key"), "key", "left_anti")
+        self.store.upsert(self.name, self.made(new), "key")
+        return self.store.load(self.name).join(keys, "key", "left_semi")
+
+
+def bundled_words(parts: DataFrame, dim: int, owner: str = "experiments", word=hashed_word, semantic: Semantic | None = None) -> DataFrame:
     """id, w, word of rows (id, parts, weights): each row's weighted bundle, word by word. Weights are whole and small."""
     spark, w, parts = parts.sparkSession, F.col("w"), written(parts)
     sizes = parts.agg(F.max(F.size("parts")), F.max(F.aggregate("weights", F.lit(0), lambda acc, x: acc + x))).first()
     places, most = sizes[0] or 0, sizes[1] or 0
-    book = codebook(parts, dim, word)
+    book = written(codebook(parts, dim, word, semantic))
     rows = parts.select("id", "parts", "weights", F.coalesce(F.aggregate("weights", F.lit(0), lambda acc, x: acc + x), F.lit(0)).alias("total"))
     tie = F.get(longs(tie_words(spark, owner, dim, word)), w)
     own = word(F.concat(F.lit("empty|"), "id"), w)

@@ -197,19 +197,20 @@ def encode_experiments(experiments: DataFrame, dim: int = vectors.FULL, semantic
     return rows.mapInArrow(run, "id string, hv binary" if query is None else "id string, similarity double")
 
 
-def encode_words(experiments: DataFrame, dim: int = vectors.FULL, word=bundles.hashed_word) -> DataFrame:
+def encode_words(experiments: DataFrame, dim: int = vectors.FULL, word=bundles.hashed_word, semantic: bundles.Semantic | None = None) -> DataFrame:
     """id, w, word: the same bundles word by word, without a Python worker. `bundles.similarities` compares them with a
-    question's, `bundles.as_arrays` puts them together."""
-    return bundles.bundled_words(_fillers(experiments), dim, "experiments", word)
+    question's, `bundles.as_arrays` puts them together. With `semantic`, entities have vectors by what they mean; only those
+    of new keys are made by Python workers."""
+    return bundles.bundled_words(_fillers(experiments), dim, "experiments", word, semantic)
 
 
-def query_words(query: DataFrame, dim: int = vectors.FULL, word=bundles.hashed_word) -> list[int] | None:
+def query_words(query: DataFrame, dim: int = vectors.FULL, word=bundles.hashed_word, semantic: bundles.Semantic | None = None) -> list[int] | None:
     """The words of the unweighted bundle of a question's few entities (type, value); None if there are none."""
     held = query.agg(F.sort_array(F.collect_list(F.struct("type", "value"))).alias("input_entities"))
     none = lambda kind: F.array().cast(f"array<{kind}>")
     one = held.select(F.lit("query").alias("id"), "input_entities", none(schema.ENTITY).alias("process_entities"), none(schema.ENTITY).alias("output_entities"), none(schema.RELATION).alias("relations"))
     parts = _fillers(one).withColumn("weights", F.transform("weights", lambda w: F.lit(1)))
-    row = bundles.as_arrays(bundles.bundled_words(parts.where(F.size("parts") > 0), dim, "query", word), dim).first()
+    row = bundles.as_arrays(bundles.bundled_words(parts.where(F.size("parts") > 0), dim, "query", word, semantic), dim).first()
     return row and row.hv
 
 

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
 import zlib
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -12,6 +14,8 @@ from hyperloom.functions import vectors
 from hyperloom.operators import bundles, counterfactual, entities, evaluate, gaps, graph, search
 from hyperloom.plans.adapter import LINES_SQL, as_experiments, experiments, lines, table
 from hyperloom.plans.registry import query
+from hyperloom.plans.stream import shared_folder
+from hyperloom.sources.store import Store
 
 X = f"WITH {LINES_SQL}"
 #: The entities of x in the model's order.
@@ -117,7 +121,7 @@ _NUMBER = lambda name, c, base: f"""{name} AS (SELECT v, i, {_AT("'Role:Property
 _JOINED = lambda name, c: f"JOIN {name} ON {name}.v = {c} AND {name}.i = t.i"
 
 
-@query(f"""{X}, i AS (SELECT unnest(range({_SMALL})) AS i),
+_ENCODED_SQL = f"""{X}, i AS (SELECT unnest(range({_SMALL})) AS i),
 a AS (SELECT (SELECT min(p_brand) FROM part) AS qm, (SELECT min(p_type) FROM part) AS qp, (SELECT min(n_name) FROM nation) AS qf),
 q AS (SELECT i, sign({_BOUND_AT("Material", "qm")} + {_BOUND_AT("Process", "qp")} + {_BOUND_AT("Facility", "qf")}) AS q FROM a, i),
 {_NAMED("m", "material", "Material")}, {_NAMED("p", "process", "Process")}, {_NAMED("f", "facility", "Facility")}, {_NAMED("e", "'band ' || CAST(floor(size / 10) AS INT)", "Equipment")},
@@ -126,12 +130,54 @@ t AS (SELECT i, {_AT("'tie'", f"(i - {_TIE} + {_SMALL}) % {_SMALL}")} AS tie, {_
 s AS (SELECT x.id, t.i, 2 * m.b + 2 * p.b + f.b + e.b + nq.b + nd.b + np.b + nt.b + p.before * r1 * m.raw + p.before * r2 * f.raw AS total, tie FROM x CROSS JOIN t
  {_JOINED("m", "material")} {_JOINED("p", "process")} {_JOINED("f", "facility")} {_JOINED("e", "'band ' || CAST(floor(size / 10) AS INT)")}
  {_JOINED("nq", "quantity")} {_JOINED("nd", "discount")} {_JOINED("np", "least(price, 1000)")} {_JOINED("nt", "tax")})
-SELECT id, sum(CASE WHEN total = 0 THEN tie ELSE sign(total) END * q) / {_SMALL}e0 AS similarity FROM s JOIN q USING (i) GROUP BY id ORDER BY similarity DESC, id LIMIT 20""")
+SELECT id, sum(CASE WHEN total = 0 THEN tie ELSE sign(total) END * q) / {_SMALL}e0 AS similarity FROM s JOIN q USING (i) GROUP BY id ORDER BY similarity DESC, id LIMIT 20"""
+
+
+@query(_ENCODED_SQL)
 def vsa_search_encoded(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same at a dimension that SQL can follow, with vectors by digests."""
     return _encoded_search(spark, sf_dir, _SMALL, bundles.digest_word)
 
 
+_DENSE = 8
+_HEX = lambda text: f"(strpos('0123456789abcdef', left(md5({text}), 1)) - 8.5)"
+#: An entity's position i in SQL: the sign of its embedding's product with row i of the projection.
+_SEMANTIC_AT = lambda key, i="i": "(CASE WHEN " + " + ".join(_HEX(f"substr({key}, strpos({key}, ':') + 1) || '|{j}'") + " * " + _HEX(f"'P|' || ({i}) || '|{j}'") for j in range(_DENSE)) + " >= 0 THEN 1 ELSE -1 END)"
+
+
+def _digit(text: str) -> float:
+    return int(hashlib.md5(text.encode()).hexdigest()[0], 16) + 1 - 8.5
+
+
+def _dense(values: list[str]) -> np.ndarray:
+    return np.array([[_digit(f"{v}|{j}") for j in range(_DENSE)] for v in values])
+
+
+def _projection() -> np.ndarray:
+    return np.array([[_digit(f"P|{i}|{j}") for j in range(_DENSE)] for i in range(_SMALL)])
+
+
+def _semantic_sql() -> str:
+    sql = _ENCODED_SQL
+    for kind, names in (("Material", ("qm", "v")), ("Process", ("qp", "v")), ("Facility", ("qf", "v")), ("Equipment", ("v",))):
+        for name in names:
+            for i in ("i", f"(i + {_SMALL - 1}) % {_SMALL}"):
+                sql = sql.replace(_AT(_FILLER(kind, name), i), _SEMANTIC_AT(_FILLER(kind, name), i))
+    return sql
+
+
+@query(_semantic_sql())
+def vsa_search_semantic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entities by what they mean, here embeddings and a projection made from digests; the codebook is a table of a store, which
+    the experiments fill and the question reads."""
+    store = Store(spark, shared_folder(spark, "semantic"))
+    semantic = bundles.Semantic(_SMALL, store, _dense, _projection)
+    m, p, f = _anchor(spark, sf_dir)
+    wanted = spark.createDataFrame([("Material", m), ("Process", p), ("Facility", f)], "type string, value string")
+    words = search.encode_words(experiments(spark, sf_dir), _SMALL, bundles.digest_word, semantic)
+    return search.top_k(bundles.similarities(words, search.query_words(wanted, _SMALL, bundles.digest_word, semantic), _SMALL), 20)
+
+
 @query(f"""SELECT vec_id, label, round(s, 6) AS similarity FROM (SELECT b.vec_id, b.label,
  list_inner_product(a.e, b.e) / (sqrt(list_inner_product(a.e, a.e)) * sqrt(list_inner_product(b.e, b.e))) AS s
  FROM (SELECT embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id = (SELECT min(vec_id) FROM embeddings)) a, (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings) b)

@@ -8,6 +8,7 @@ from hyperloom import schema
 from hyperloom.functions import vectors
 from hyperloom.operators import bundles, search
 from hyperloom.sources.seed import seed
+from hyperloom.sources.store import Store
 
 
 def bits(words, dim):
@@ -78,3 +79,28 @@ def test_many_weights(spark):
     for i, own, weights in rows:
         total = sum(w * role.astype(int) * vectors.digest_vector(p.rpartition("\u0002")[2], 64) for p, w in zip(own, weights))
         assert (got[i] == np.where(total == 0, tie, np.sign(total))).all()
+
+
+def test_semantic_codebook(spark, tmp_path):
+    """The same vectors as one key at a time, kept in a store: a second load makes new keys' vectors only."""
+    made = spark.sparkContext.accumulator(0)
+
+    def embed(values):
+        made.add(len(values))
+        return bundles.trigrams(values)
+
+    dim, store = 200, Store(spark, str(tmp_path))
+    semantic = bundles.Semantic(dim, store, embed)
+    rows = odd(spark)
+    got = {r.id: bits(r.hv, dim) for r in bundles.as_arrays(search.encode_words(rows, dim, bundles.digest_word, semantic), dim).collect()}
+    known = {r.key: bits(r.hv, dim) for r in store.load("codebook").collect()}
+    first = made.value
+    assert first == len(known) and all(k.partition(":")[0] not in ("Role", "RelationType", "NumericBase") for k in known)
+    matrix = vectors.projection(dim=dim)
+    for key, hv in known.items():
+        assert (hv == vectors.project(vectors.trigram_embedding(key.partition(":")[2]), matrix)).all()
+    asked = spark.createDataFrame([("Facility", "a"), ("Equipment", "brand new thing")], "type string, value string")
+    assert len(search.query_words(asked, dim, bundles.digest_word, semantic)) == 4
+    assert made.value == first + 1 and store.load("codebook").count() == first + 1
+    plain = {r.id: bits(r.hv, dim) for r in bundles.as_arrays(search.encode_words(rows, dim, bundles.digest_word), dim).collect()}
+    assert all((got[k] == plain[k]).all() == (k in ("bare",)) for k in got)  # entities alone differ

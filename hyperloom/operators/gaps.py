@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 from functools import reduce
 
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 from hyperloom import schema
 from hyperloom.functions import text, vectors
 from hyperloom.operators.entities import entities
+from hyperloom.sources.scratch import written
 
 # Parts of a geography that make it domestic.
 DOMESTIC = ["росси", "рф", "domestic", "ссср"]
@@ -121,3 +123,31 @@ def top_values(experiments: DataFrame, most: int) -> DataFrame:
     """type, value, n, rank of each type's most frequent values."""
     counted = entities(experiments, ("input", "process")).groupBy("type", "value").agg(F.count("*").alias("n"))
     return counted.withColumn("rank", F.row_number().over(Window.partitionBy("type").orderBy(F.desc("n"), "value"))).where(F.col("rank") <= most)
+
+
+def of_pairs(experiments: DataFrame, dimensions: list[str], least: int = 3, cap: int | None = None, domestic: Column | None = None) -> DataFrame:
+    """first, second, d0, d1, experiments, gap_type: the gaps of every two of the dimensions, by one scan of the experiments.
+
+    Their combinations are counted once and written. A combination gives its cells of all pairs as one array, so that one
+    aggregate keyed by pair and values counts them all, as grouping sets would; but an experiment with several values of a
+    third dimension, or none, counts as it does when a pair is asked for alone. A value counts in its axis likewise."""
+    combined = written(combinations(experiments, dimensions, is_domestic(F.col("geography")) if domestic is None else domestic))
+    every = list(itertools.combinations(range(len(dimensions)), 2))
+    most = cap or schema.DIMENSION_CAPS[2]
+
+    def cells(k: int, i: int, j: int) -> Column:
+        one = lambda a, b: F.struct(F.lit(k).alias("pair"), a.alias("d0"), b.alias("d1"))
+        return F.flatten(F.transform(f"d{i}", lambda a: F.transform(f"d{j}", lambda b: one(a, b))))
+
+    counts = combined.select(F.explode(F.concat(*(cells(k, i, j) for k, (i, j) in enumerate(every)))).alias("c"), "n", "home")
+    counts = counts.groupBy("c.pair", "c.d0", "c.d1").agg(F.sum("n").alias("experiments"), F.sum("home").alias("domestic"))
+    values = lambda i: F.transform(f"d{i}", lambda v: F.struct(F.lit(i).alias("dim"), v.alias("v")))
+    axis = combined.select(F.explode(F.concat(*map(values, range(len(dimensions))))).alias("a"), "n").groupBy("a.dim", "a.v").agg(F.sum("n").alias("n"))
+    axis = written(axis)
+    top = [axis.where(F.col("dim") == i).orderBy(F.desc("n"), "v").limit(most).select("v") for i in range(len(dimensions))]  # capped by the model
+    asked = reduce(DataFrame.unionByName, (top[i].withColumnRenamed("v", "d0").crossJoin(top[j].withColumnRenamed("v", "d1")).withColumn("pair", F.lit(k)) for k, (i, j) in enumerate(every)))
+    n, home = F.coalesce("experiments", F.lit(0)), F.coalesce("domestic", F.lit(0))
+    kind = F.when(n == 0, "missing").when(n < least, "weak").when(home == 0, "foreign_only").when(home == n, "domestic_only")
+    name = lambda side: F.get(F.array(*(F.lit(dimensions[p[side]]) for p in every)), F.col("pair"))
+    joined = asked.join(counts, ["pair", "d0", "d1"], "left")
+    return joined.select(name(0).alias("first"), name(1).alias("second"), "d0", "d1", n.alias("experiments"), kind.alias("gap_type")).where("gap_type is not null")

@@ -6,7 +6,7 @@ import hashlib
 import zlib
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from hyperloom import schema
@@ -254,12 +254,15 @@ _GRID_SQL = """home AS (SELECT *, facility_region = 'EUROPE' AS domestic FROM x)
 _DIMENSIONS = ["Material", "Facility", "Process"]
 
 
-def _gaps(spark: SparkSession, sf_dir: str, least: int) -> DataFrame:
+def _domestic(spark: SparkSession, sf_dir: str) -> Column:
     europe = table(spark, sf_dir, "region").where("r_name = 'EUROPE'")
     nations = table(spark, sf_dir, "nation").join(europe, F.col("n_regionkey") == F.col("r_regionkey"))
     home = sorted(r[0] for r in nations.select("n_name").collect())  # a handful
-    domestic = F.exists("input_entities", lambda e: (e["type"] == "Facility") & e["value"].isin(home))
-    return gaps.analyze(experiments(spark, sf_dir), _DIMENSIONS, least, 20, domestic)
+    return F.exists("input_entities", lambda e: (e["type"] == "Facility") & e["value"].isin(home))
+
+
+def _gaps(spark: SparkSession, sf_dir: str, least: int) -> DataFrame:
+    return gaps.analyze(experiments(spark, sf_dir), _DIMENSIONS, least, 20, _domestic(spark, sf_dir))
 
 
 @query(f"{X}, {_GRID_SQL.format(cap=20, least=15)} SELECT gap_type, count(*) AS cells, CAST(sum(experiments) AS BIGINT) AS experiments FROM g WHERE gap_type IS NOT NULL GROUP BY 1")
@@ -267,6 +270,20 @@ def gap_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _gaps(spark, sf_dir, 15).groupBy("gap_type").agg(F.count("*").alias("cells"), F.sum("experiments").alias("experiments"))
 
 
+_PAIR_CELLS = " UNION ALL ".join(f"SELECT {i} AS i, {j} AS j, v{i} AS d0, v{j} AS d1, count(*) AS n, count(*) FILTER (home) AS h FROM y GROUP BY ALL" for i in range(4) for j in range(i + 1, 4))
+
+
+@query(f"""{X}, y AS (SELECT material AS v0, facility AS v1, process AS v2, 'band ' || CAST(floor(size / 10) AS INT) AS v3, facility_region = 'EUROPE' AS home FROM x),
+ u AS ({" UNION ALL ".join(f"SELECT {i} AS dim, v{i} AS v FROM y" for i in range(4))}), a AS (SELECT dim, v FROM (SELECT dim, v, row_number() OVER (PARTITION BY dim ORDER BY count(*) DESC, v) AS r FROM u GROUP BY dim, v) WHERE r <= 20), c AS ({_PAIR_CELLS}),
+ g AS (SELECT p.dim AS i, q.dim AS j, coalesce(n, 0) AS experiments, CASE WHEN n IS NULL THEN 'missing' WHEN n < 40 THEN 'weak' WHEN h = 0 THEN 'foreign_only' WHEN h = n THEN 'domestic_only' END AS gap_type
+  FROM a p JOIN a q ON p.dim < q.dim LEFT JOIN c ON c.i = p.dim AND c.j = q.dim AND c.d0 = p.v AND c.d1 = q.v), d AS (SELECT ['Material', 'Facility', 'Process', 'Equipment'] AS d)
+ SELECT d[i + 1] AS first, d[j + 1] AS second, gap_type, count(*) AS cells, CAST(sum(experiments) AS BIGINT) AS experiments FROM g, d WHERE gap_type IS NOT NULL GROUP BY ALL""")
+def gap_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The gaps of all pairs of four dimensions, by one scan."""
+    found = gaps.of_pairs(experiments(spark, sf_dir), [*_DIMENSIONS, "Equipment"], 40, 20, _domestic(spark, sf_dir))
+    return found.groupBy("first", "second", "gap_type").agg(F.count("*").alias("cells"), F.sum("experiments").alias("experiments"))
+
+
 @query(f"""{X}, {_GRID_SQL.format(cap=20, least=15)} SELECT d0, d1, d2, experiments, gap_type, CASE WHEN gap_type LIKE '%only' THEN 0 WHEN gap_type = 'weak' THEN 1 ELSE 2 END AS priority FROM g WHERE gap_type IS NOT NULL ORDER BY priority, d0, d1, d2 LIMIT 100""")
 def gap_priority_top100(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gaps.prioritized(_gaps(spark, sf_dir, 15), 3)

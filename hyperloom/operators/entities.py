@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hyperloom import schema
-from hyperloom.functions import text
 
 ROLES = ("input", "process", "output")
 
@@ -47,7 +46,3 @@ def consensus(rows: DataFrame, group: str, prop: str, value: str, confidence: st
     c = F.least(F.col("c"), F.col("hits") - 1)
     ratio = F.greatest(F.lit(0.15), F.least(F.lit(1.0), F.col("mean_confidence") * (1 - c / F.col("hits")) + 0.08))
     return n.join(contradictions, group).select(group, "hits", c.cast("long").alias("contradictions"), ratio.alias("ratio"))
-
-
-def normalized(experiments: DataFrame) -> DataFrame:
-    return entities(experiments).withColumn("key", text.entity_key("type", "value"))

@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 
 from hyperloom import schema
 from hyperloom.functions import text, vectors
-from hyperloom.operators.entities import entities
 from hyperloom.sources.scratch import written
 
 # Parts of a geography that make it domestic.
@@ -119,12 +118,6 @@ def extrapolate(neighbours: DataFrame) -> DataFrame:
     return met.groupBy("cell", "label").agg(F.sum(F.col("number") * F.col("similarity")).alias("s"), F.sum("similarity").alias("w"), F.count("*").alias("support")).select("cell", "label", (F.col("s") / F.col("w")).alias("predicted"), "support")
 
 
-def top_values(experiments: DataFrame, most: int) -> DataFrame:
-    """type, value, n, rank of each type's most frequent values."""
-    counted = entities(experiments, ("input", "process")).groupBy("type", "value").agg(F.count("*").alias("n"))
-    return counted.withColumn("rank", F.row_number().over(Window.partitionBy("type").orderBy(F.desc("n"), "value"))).where(F.col("rank") <= most)
-
-
 def of_pairs(experiments: DataFrame, dimensions: list[str], least: int = 3, cap: int | None = None, domestic: Column | None = None) -> DataFrame:
     """first, second, d0, d1, experiments, gap_type: the gaps of every two of the dimensions, by one scan of the experiments.
 

@@ -181,11 +181,14 @@ def answer_synthesis(spark: SparkSession, sf_dir: str) -> DataFrame:
     return answers.synthesis(own, none, answers.graph_lines(expanded)).select("similar", "counterfactuals", "graph")
 
 
-@query(f"""{HITS_SQL}, few AS (SELECT question, count(*) FILTER (similarity > 0.05) < 3 AS few FROM h GROUP BY question)
- SELECT type, value FROM asked WHERE question = 'generic' AND (SELECT few FROM few WHERE question = 'generic') AND type IN ('Material', 'Process', 'Equipment', 'Property', 'Facility')""")
+@query(f"""{HITS_SQL}, t AS (SELECT unnest([2, 20]) AS best), few AS (SELECT t.best, count(*) FILTER (similarity > 0.05) < 3 AS few FROM t JOIN h ON h.question = 'generic' AND h.rank <= t.best GROUP BY t.best)
+ SELECT best, type, value FROM asked, few WHERE few AND question = 'generic' AND type IN ('Material', 'Process', 'Equipment', 'Property', 'Facility')""")
 def gap_of_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a question asks gaps for: with its two best hits, which are too few, and with all of them."""
     asked, hits = _hits(spark, sf_dir)
-    return answers.asks_for_gaps(hits.where("question = 'generic'"), asked.where("question = 'generic'")).select("type", "value")
+    asked, hits = asked.where("question = 'generic'"), hits.where("question = 'generic'")
+    of = lambda best: answers.asks_for_gaps(hits.where(F.col("rank") <= best), asked).select(F.lit(best).alias("best"), "type", "value")
+    return of(2).unionByName(of(20))
 
 
 @query(f"""{X} SELECT count(*) FILTER (NOT is_sensitive) AS visible, count(*) AS every FROM x""")

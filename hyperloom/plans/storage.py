@@ -104,8 +104,8 @@ def graph_cleared(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT type, count(*) AS n FROM (SELECT DISTINCT 'Facility' AS type, n_name AS value FROM nation UNION SELECT DISTINCT 'Material', p_brand FROM part) GROUP BY type""")
 def ontology(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A static vocabulary as entities; blank values are dropped."""
-    values = lambda t, c: [r[0] for r in table(spark, sf_dir, t).select(c).distinct().collect()]  # noqa: E731 - a vocabulary
-    return readers.read_ontology(spark, {"Facility": [*values("nation", "n_name"), " "], "Material": [*values("part", "p_brand"), ""]}).groupBy("type").agg(F.count("*").alias("n"))
+    values = lambda kind, t, c: table(spark, sf_dir, t).select(F.lit(kind).alias("type"), F.explode(F.array(F.col(c), F.lit(" "), F.lit(""))).alias("value"))
+    return readers.read_ontology(spark, values("Facility", "nation", "n_name").unionByName(values("Material", "part", "p_brand"))).groupBy("type").agg(F.count("*").alias("n"))
 
 
 @query("""SELECT CASE WHEN user_id % 4 = 0 THEN 'validation_failed' WHEN user_id % 4 = 1 THEN 'empty' WHEN user_id % 4 = 2 THEN 'ok' ELSE 'moderation' END AS status, count(*) AS chunks FROM events GROUP BY 1

@@ -143,7 +143,7 @@ def document_chunks(files: DataFrame, pdf=None) -> DataFrame:
     return rows.select(id_.alias("id"), "filename", "title", "text", "year", F.col("authors").alias("experts"), "section", "index", "content_type", "chunk_version")
 
 
-def read_ontology(spark: SparkSession, labels: dict[str, list[str]]) -> DataFrame:
-    """type, value from a static vocabulary; blank values are dropped."""
-    rows = spark.createDataFrame([(t, v) for t, own in labels.items() for v in own], "type string, value string")
-    return rows.where(text.strip("value") != "")
+def read_ontology(spark: SparkSession, labels: dict[str, list[str]] | DataFrame) -> DataFrame:
+    """type, value from a static vocabulary, by type or as rows (type, value) of any number; each once, blank values dropped."""
+    rows = labels if isinstance(labels, DataFrame) else spark.createDataFrame([(t, v) for t, own in labels.items() for v in own], "type string, value string")
+    return rows.select("type", "value").where(text.strip("value") != "").distinct()

@@ -10,13 +10,13 @@ an n-gram and hands the mass that this frees to the order below:
     p3(t | u v) = max(c(u v t) - D3, 0) / c(u v) + G3[level of c(u v)] * p2(t | v)
 
 The discounts D come from all training n-grams: n1 / (n1 + 2 n2), where n1 and n2 occur once and twice. The weights G
-are D times the mean of 1 / c(n-gram) over training tokens whose context has that level, which is what the discounts
-free; they are read from at most FIT_DOCS training documents. A context that was never seen leaves all to the order
-below.
+are D times the mean of 1 / c(n-gram) over all training tokens whose context has that level, which is what the discounts
+free. A context that was never seen leaves all to the order below.
 
 The filter is built in segments by ranges of the n-grams' hashes, each from its own share of the counts. Filters
 up to `most_bytes` are broadcast at once. Larger ones are broadcast in parts: the rows are numbered and written, and
-each pass over them notes the levels that its part knows in a byte for each token and order. The base score needs
+each pass over them notes the levels that its part knows in a byte for each token and order. Either way the levels of
+all rows are written once, without the texts; the weights and the scores are read from them. The base score needs
 exact counts: those of the most frequent words (at most HEAD_WORDS) are broadcast, all others are joined by a shuffle.
 
 Defined results: a null or empty text is one token, the end. Without training documents all counts are 0. Rows
@@ -26,7 +26,6 @@ training and held-out rows. Other columns are ignored.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -49,8 +48,6 @@ GRAM_BITS = 40
 SEGMENT_BYTES = 4_000_000
 HEAD_WORDS = 1 << 20
 MOST_BYTES = 512_000_000
-#: Training documents from which the weights are read, at most about so many.
-FIT_DOCS = 4000
 BEGIN, END = k.mix(np.array([1, 2], k.U64))
 NOTED = [f"levels{i}" for i in range(ORDERS)]
 
@@ -249,27 +246,28 @@ def probabilities(levels: list[np.ndarray], at: np.ndarray, w: Weights) -> np.nd
     return p
 
 
-def _fit(rows: DataFrame, levels_in, at_most: Weights) -> Weights:
-    """The weights, from the training rows given; levels_in(batch) gives (levels, offsets)."""
+def _fit(noted: DataFrame, at_most: Weights) -> Weights:
+    """The weights, from the levels of all training rows: how often each level of an n-gram follows each of a context."""
     texts = at_most.texts
 
-    def means(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, n = np.zeros((ORDERS, 64)), np.zeros((ORDERS, 64), np.int64)
-        for batch in k.slices(batches):
-            levels, at = levels_in(batch)
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros((ORDERS, 64 * 64), np.int64)
+        for batch in _pieces(batches):
+            levels, at = _noted(batch)
             for order in range(1, ORDERS):
                 context, _ = context_levels(levels, at, order, texts)
-                n[order] += np.bincount(context, minlength=64)
-                total[order] += np.bincount(context, 1 / np.maximum(LEVEL_COUNT[levels[order]], 1), minlength=64)
-        order, lvl = np.nonzero(n)
-        yield pa.RecordBatch.from_arrays([pa.array(order), pa.array(lvl), pa.array(total[order, lvl]), pa.array(n[order, lvl])], ["order", "level", "total", "n"])
-
-    left = [np.full(64, d) for d in at_most.discount]
+                n[order] += np.bincount(context.astype(np.int64) * 64 + levels[order], minlength=64 * 64)
+        order, pair = np.nonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(order), pa.array(pair // 64), pa.array(pair % 64), pa.array(n[order, pair])], ["order", "context", "level", "n"])
+
+    total, n = np.zeros((ORDERS, 64)), np.zeros((ORDERS, 64), np.int64)
+    counted = noted.select(*NOTED).mapInArrow(pairs, "order long, context long, level long, n long").groupBy("order", "context", "level").agg(F.sum("n").alias("n"))
+    for r in sorted(counted.collect()):
+        n[r["order"], r["context"]] += r["n"]
+        total[r["order"], r["context"]] += r["n"] / max(LEVEL_COUNT[r["level"]], 1)
+    left = [d * np.where(n[order], total[order] / np.maximum(n[order], 1), 1.0) for order, d in enumerate(at_most.discount)]
     for own in left:
         own[0] = 1.0
-    for r in rows.mapInArrow(means, "order long, level long, total double, n long").groupBy("order", "level").agg(F.sum("total").alias("total"), F.sum("n").alias("n")).collect():
-        if r["level"]:
-            left[r["order"]][r["level"]] = at_most.discount[r["order"]] * r["total"] / r["n"]
     return at_most._replace(left=left)
 
 
@@ -299,9 +297,9 @@ def word_counts(model: DataFrame) -> DataFrame:
     return model.where("kind = 0").select("hashes", "counts").mapInArrow(rows, "word long, n long")
 
 
-def with_levels(rows: DataFrame, parts: Iterator[tuple[int, Filter]]) -> DataFrame:
+def with_levels(rows: DataFrame, parts: Iterator[tuple[int, Filter]]) -> tuple[DataFrame, str | None]:
     """Adds the columns NOTED: each token's level at each order in a byte, from the parts (order, filter) one after
-    another. Each pass writes the rows anew and then removes what it read."""
+    another. Each pass writes the rows anew and then removes what it read. And their folder, for `discard`."""
     path = None
     for column in NOTED:
         rows = rows.withColumn(column, F.lit(None).cast("binary"))
@@ -315,20 +313,29 @@ def with_levels(rows: DataFrame, parts: Iterator[tuple[int, Filter]]) -> DataFra
                 before = b"".join(x.as_buffer() for x in batch.column(NOTED[kind]) if x.is_valid)
                 if before:
                     found = np.maximum(found, np.frombuffer(before, np.uint8))
-                noted = pa.Array.from_buffers(pa.binary(), batch.num_rows, [None, pa.py_buffer(at.astype(np.int32)), pa.py_buffer(found)])
-                yield batch.set_column(batch.schema.get_field_index(NOTED[kind]), NOTED[kind], noted)
+                yield batch.set_column(batch.schema.get_field_index(NOTED[kind]), NOTED[kind], _bytes_of(found, at))
 
         old = path
         rows, path = written_to(rows.mapInArrow(fill, rows.schema), "zstd")
         discard(rows.sparkSession, old)
         known.unpersist()
-    return rows
+    return rows, path
+
+
+def _bytes_of(found: np.ndarray, at: np.ndarray) -> pa.Array:
+    """A row's share of the levels as a binary."""
+    return pa.Array.from_buffers(pa.binary(), len(at) - 1, [None, pa.py_buffer(at.astype(np.int32)), pa.py_buffer(found)])
+
+
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Noted rows in pieces of about as many tokens as slices of texts have."""
+    return k.slices(batches, NOTED[0], 8)
 
 
 def _noted(batch: pa.RecordBatch) -> tuple[list[np.ndarray], np.ndarray]:
-    levels = [np.frombuffer(b"".join(x.as_buffer() for x in batch.column(c) if x.is_valid), np.uint8) for c in NOTED]
-    sizes = [len(x.as_buffer()) if x.is_valid else 0 for x in batch.column(NOTED[0])]
-    return levels, np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
+    """(levels, offsets) of rows that have been through all parts."""
+    own = [k.buffers(batch.column(c)) for c in NOTED]
+    return [levels for _, levels in own], own[0][0]
 
 
 def score(docs: DataFrame, train: Column, most_bytes: int = MOST_BYTES) -> DataFrame:
@@ -349,13 +356,12 @@ def score(docs: DataFrame, train: Column, most_bytes: int = MOST_BYTES) -> DataF
         return Filter([(a, b, c.as_buffer().to_pybytes()) for a, b, c in zip(t["segment"].to_pylist(), t["size"].to_pylist(), t["bits"])], bits)
 
     rows = docs.select(F.col("doc_id").cast("long"), "text", F.coalesce(train, F.lit(False)).alias("train"))
-    whole = sum(r.bytes for r in sums.values()) <= most_bytes
+    whole, passed = sum(r.bytes for r in sums.values()) <= most_bytes, None
     if whole:
         filters = broadcast([load(kind) for kind in range(ORDERS)])
 
-        def levels_in(batch: pa.RecordBatch) -> tuple[list[np.ndarray], np.ndarray]:
-            grams, at = grams_of(batch.column("text"))
-            return [f.levels(h) for f, h in zip(filters.value, grams)], at
+        def levels_in(batch: pa.RecordBatch, grams: list[np.ndarray]) -> list[np.ndarray]:
+            return [f.levels(h) for f, h in zip(filters.value, grams)]
     else:
         # Segments are ranges of hashes, so they are about equally large and equal ranges of them make the parts.
         def parts() -> Iterator[tuple[int, Filter]]:
@@ -364,27 +370,24 @@ def score(docs: DataFrame, train: Column, most_bytes: int = MOST_BYTES) -> DataF
                 for first in range(0, 1 << bits, step):
                     yield kind, load(kind, first, min(first + step, 1 << bits))
 
-        rows, levels_in = with_levels(numbered(rows), parts()), _noted
-    share = min(1.0, FIT_DOCS / max(1, texts))
-    # By text in shares of 2**-20, and within the last of these by id and text, so that no number of documents is too large.
-    parts = int(share * (1 << 20))
-    rest = math.ceil((share * (1 << 20) - parts) * (1 << 40))
-    coarse, fine = F.pmod(F.xxhash64("text"), F.lit(1 << 20)), F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 40))
-    fitted = rows.where("train").where((coarse < F.lit(parts)) | (coarse == F.lit(parts)) & (fine < F.lit(rest)))
-    weights = _fit(fitted, levels_in, weights)
+        rows, passed = with_levels(numbered(rows), parts())
+
+        def levels_in(batch: pa.RecordBatch, grams: list[np.ndarray]) -> list[np.ndarray]:
+            return _noted(batch)[0]
+
     least = _head_from(words)
     head = words.where(F.col("n") >= least).toArrow()
     order = np.argsort(head["word"].to_numpy().view(k.U64)) if head.num_rows else np.zeros(0, np.int64)
     known = broadcast((head["word"].to_numpy().view(k.U64)[order], head["n"].to_numpy()[order].astype(np.float64)))
-    names = ["row", "doc_id", "train", "n_tokens", "n_known", "logs", "score", "word", "times"]
+    names = ["row", "doc_id", "train", "n_tokens", "n_known", "logs", *NOTED, "word", "times"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row = TaskContext.get().partitionId() << 33  # the rows are made and written once, so this number stays theirs
         head_words, head_counts = known.value
         for batch in k.slices(batches):
-            levels, at = levels_in(batch)
-            n, tokens = batch.num_rows, grams_of(batch.column("text"))[0][0]
-            scores = np.add.reduceat(np.log10(probabilities(levels, at, weights)), at[:-1]) if n else np.zeros(0)
+            grams, at = grams_of(batch.column("text"))
+            n, tokens = batch.num_rows, grams[0]
+            levels = [_bytes_of(found, at) for found in levels_in(batch, grams)]
             rows = row + np.arange(n)
             row += n
             place = np.searchsorted(head_words, tokens)
@@ -399,16 +402,25 @@ def score(docs: DataFrame, train: Column, most_bytes: int = MOST_BYTES) -> DataF
             first = np.flatnonzero(np.concatenate([[True], (rest[1:] != rest[:-1]).any(1)])) if len(rest) else np.zeros(0, np.int64)
             m = len(first)
             none = lambda count, kind: pa.nulls(count, kind)
-            yield pa.RecordBatch.from_arrays([pa.array(rows), batch.column("doc_id"), batch.column("train"), pa.array(np.diff(at)), pa.array(found), pa.array(logs), pa.array(scores), none(n, pa.int64()), none(n, pa.int64())], names)
+            yield pa.RecordBatch.from_arrays([pa.array(rows), batch.column("doc_id"), batch.column("train"), pa.array(np.diff(at)), pa.array(found), pa.array(logs), *levels, none(n, pa.int64()), none(n, pa.int64())], names)
             if m:
                 tail = [pa.array(rest[first, 1]), pa.array(np.diff(np.append(first, len(rest))).astype(np.int64))]
-                yield pa.RecordBatch.from_arrays([pa.array(rest[first, 0]), none(m, pa.int64()), none(m, pa.bool_()), none(m, pa.int64()), none(m, pa.int64()), none(m, pa.float64()), none(m, pa.float64()), *tail], names)
+                yield pa.RecordBatch.from_arrays([pa.array(rest[first, 0]), none(m, pa.int64()), none(m, pa.bool_()), none(m, pa.int64()), none(m, pa.int64()), none(m, pa.float64()), *[none(m, pa.binary())] * ORDERS, *tail], names)
+
+    made, _ = written_to(rows.mapInArrow(run, "row long, doc_id long, train boolean, n_tokens long, n_known long, logs double, levels0 binary, levels1 binary, levels2 binary, word long, times long"), "zstd")
+    discard(spark, passed)
+    weights = _fit(made.where("train"), weights)
+
+    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _pieces(batches):
+            levels, at = _noted(batch)
+            scores = np.add.reduceat(np.log10(probabilities(levels, at, weights)), at[:-1])
+            yield batch.drop_columns(NOTED).append_column("score", pa.array(scores))
 
-    made = cut(rows.mapInArrow(run, "row long, doc_id long, train boolean, n_tokens long, n_known long, logs double, score double, word long, times long"))
     rare = words.where(F.col("n") < least)
     tail = made.where("word is not null").select("row", "word", "times").join(rare, "word")
     tail = tail.groupBy("row").agg(F.sum(F.log10(F.col("n") + 1) * F.col("times")).alias("tail_logs"), F.sum("times").alias("tail_known"))
-    out = made.where("word is null").drop("word", "times").join(tail, "row", "left")
+    out = made.where("word is null").drop("word", "times").mapInArrow(scored, "row long, doc_id long, train boolean, n_tokens long, n_known long, logs double, score double").join(tail, "row", "left")
     base = F.col("logs") + F.coalesce("tail_logs", F.lit(0.0)) - F.col("n_tokens") * F.log10(F.lit(float(total + distinct + 1)))
     return out.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", (F.col("n_known") + F.coalesce("tail_known", F.lit(0))).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"), base.alias("base_score"), "score")
 

@@ -440,6 +440,18 @@ def test_scores_equal_a_plain_model(edge, edge_rows, monkeypatch):
     assert sorted((str(r.doc_id), round(r.score, 6)) for r in got) == want
 
 
+def test_weights_come_from_all_training_rows(spark, monkeypatch):
+    """So many that a sample of some thousand would show, with a few long texts that alone hold the rare levels; in parts too."""
+    monkeypatch.setattr(scoring, "BITS_PER_ENTRY", 400)
+    rng = random.Random(6)
+    rows = [(i, " ".join(f"w{int(rng.paretovariate(0.7))}" for _ in range(400 if i % 1500 == 0 else 4)), None, None) for i in range(9000)]
+    held = lambda i: zlib.crc32(str(i).encode()) % 7 == 2
+    want = [(i, round(s, 6)) for (i, *_), s in zip(rows, brute_score(rows, lambda i: not held(i)))]
+    for most_bytes in (scoring.MOST_BYTES, 1_000_000):
+        got = scoring.score(make(spark, rows), remainder(F.col("doc_id"), 7) != 2, most_bytes=most_bytes).collect()
+        assert sorted((r.doc_id, round(r.score, 6)) for r in got) == want
+
+
 def test_higher_orders_foretell_better(spark):
     """On held-out texts of a language with word order, the model beats the counts of single words, and probabilities
     over all words that follow come to about one."""

@@ -69,6 +69,11 @@ def grams_of(texts: pa.Array) -> tuple[list[np.ndarray], np.ndarray]:
     return out, offsets
 
 
+def _small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows in pieces so small that their n-grams take little beside the filters."""
+    return k.slices(batches, "text", 4)
+
+
 def level(counts: np.ndarray) -> np.ndarray:
     return 1 + np.floor(np.log2(counts)).astype(np.int64)
 
@@ -156,14 +161,11 @@ def _counted(docs: DataFrame, bits: int) -> DataFrame:
     size = lambda kind: GRAM_BITS // 8 if kind else 8
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[list[np.ndarray]] = [[] for _ in range(ORDERS)]
+        held, tokens = np.empty((ORDERS, FLUSH), k.U64), 0
 
         def flush() -> Iterator[pa.RecordBatch]:
-            for kind in range(ORDERS):
-                if not held[kind]:
-                    continue
-                every = np.concatenate(held[kind])
-                held[kind] = []
+            for kind in range(ORDERS if tokens else 0):
+                every = held[kind, :tokens]
                 every.sort()
                 first = np.flatnonzero(np.concatenate([[True], every[1:] != every[:-1]]))
                 own, counts = every[first], np.diff(np.append(first, len(every)))
@@ -174,15 +176,16 @@ def _counted(docs: DataFrame, bits: int) -> DataFrame:
                 rows = [(int(s), kind, _pack(keep[begins[s] : ends[s]], size(kind)), counts[begins[s] : ends[s]].astype(np.uint32).tobytes()) for s in some]
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.int32(), pa.int32(), pa.binary(), pa.binary()))], ["segment", "kind", "hashes", "counts"])
 
-        tokens = 0
-        for batch in k.slices(batches):
-            grams, _ = grams_of(batch.column("text"))
-            for kind in range(ORDERS):
-                held[kind].append(grams[kind])
-            tokens += len(grams[0])
-            if tokens >= FLUSH:
-                yield from flush()
-                tokens = 0
+        for batch in _small(batches):
+            grams, at = grams_of(batch.column("text"))[0], 0
+            while at < len(grams[0]):
+                n = min(FLUSH - tokens, len(grams[0]) - at)
+                for kind in range(ORDERS):
+                    held[kind, tokens : tokens + n] = grams[kind][at : at + n]
+                tokens, at = tokens + n, at + n
+                if tokens == FLUSH:
+                    yield from flush()
+                    tokens = 0
         yield from flush()
 
     return docs.select("text").mapInArrow(count, "segment int, kind int, hashes binary, counts binary")
@@ -307,7 +310,7 @@ def with_levels(rows: DataFrame, parts: Iterator[tuple[int, Filter]]) -> tuple[D
         known = rows.sparkSession.sparkContext.broadcast(part)
 
         def fill(batches: Iterator[pa.RecordBatch], known=known, kind=kind) -> Iterator[pa.RecordBatch]:
-            for batch in k.slices(batches):
+            for batch in _small(batches):
                 grams, at = grams_of(batch.column("text"))
                 found = known.value.levels(grams[kind])
                 before = b"".join(x.as_buffer() for x in batch.column(NOTED[kind]) if x.is_valid)
@@ -384,7 +387,7 @@ def score(docs: DataFrame, train: Column, most_bytes: int = MOST_BYTES) -> DataF
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row = TaskContext.get().partitionId() << 33  # the rows are made and written once, so this number stays theirs
         head_words, head_counts = known.value
-        for batch in k.slices(batches):
+        for batch in _small(batches):
             grams, at = grams_of(batch.column("text"))
             n, tokens = batch.num_rows, grams[0]
             levels = [_bytes_of(found, at) for found in levels_in(batch, grams)]

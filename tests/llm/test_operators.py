@@ -452,6 +452,21 @@ def test_weights_come_from_all_training_rows(spark, monkeypatch):
         assert sorted((r.doc_id, round(r.score, 6)) for r in got) == want
 
 
+def test_counting_holds_a_bounded_number_of_tokens(monkeypatch):
+    """A text longer than what is counted together is counted in pieces, and none of its n-grams is lost."""
+    monkeypatch.setattr(scoring, "FLUSH", 1000)
+
+    class Docs:
+        select = lambda self, *_: self
+        mapInArrow = lambda self, function, _: function
+
+    texts = [" ".join(f"w{i % 700}" for i in range(n)) for n in (2600, 3, 0, 1100, 995)]
+    got = [b.to_pydict() for b in scoring._counted(Docs(), 6)(iter([pa.RecordBatch.from_pydict({"text": texts})]))]
+    sums = [(b["kind"][0], sum(int(np.frombuffer(x, np.uint32).sum()) for x in b["counts"])) for b in got]
+    tokens = sum(len(words(t)) + 1 for t in texts)
+    assert max(n for _, n in sums) <= 1000 and [sum(n for kind, n in sums if kind == order) for order in range(3)] == [tokens] * 3
+
+
 def test_higher_orders_foretell_better(spark):
     """On held-out texts of a language with word order, the model beats the counts of single words, and probabilities
     over all words that follow come to about one."""

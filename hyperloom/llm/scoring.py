@@ -26,7 +26,7 @@ training and held-out rows. Other columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -74,6 +74,22 @@ def _small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     return k.slices(batches, "text", 4)
 
 
+def _release() -> None:
+    """Hand memory that was freed back to the system: workers are kept, and would hold it beside the next task's."""
+    pa.default_memory_pool().release_unused()
+    pa.system_memory_pool().release_unused()  # what numpy and Python took, too
+
+
+def _lean(function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The function of a task's batches, with its memory released at the task's end."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from function(batches)
+        _release()
+
+    return run
+
+
 def level(counts: np.ndarray) -> np.ndarray:
     return 1 + np.floor(np.log2(counts)).astype(np.int64)
 
@@ -167,14 +183,16 @@ def _counted(docs: DataFrame, bits: int) -> DataFrame:
             for kind in range(ORDERS if tokens else 0):
                 every = held[kind, :tokens]
                 every.sort()
-                first = np.flatnonzero(np.concatenate([[True], every[1:] != every[:-1]]))
-                own, counts = every[first], np.diff(np.append(first, len(every)))
-                ends = np.searchsorted(own >> k.U64(64 - bits), np.arange(1 << bits, dtype=k.U64), side="right")
-                begins = np.concatenate([[0], ends[:-1]])
-                keep = _ids(own, bits) if kind else own
-                some = np.flatnonzero(ends > begins)
-                rows = [(int(s), kind, _pack(keep[begins[s] : ends[s]], size(kind)), counts[begins[s] : ends[s]].astype(np.uint32).tobytes()) for s in some]
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.int32(), pa.int32(), pa.binary(), pa.binary()))], ["segment", "kind", "hashes", "counts"])
+                starts = np.arange(1 << bits, dtype=k.U64) << k.U64(64 - bits)
+                begins = np.append(np.searchsorted(every, starts), tokens)
+                some = np.flatnonzero(np.diff(begins))
+                for part in np.array_split(some, min(len(some), 8)):  # what is made beside the buffer stays small
+                    own = every[begins[part[0]] : begins[part[-1] + 1]]
+                    first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+                    own, counts = own[first], np.diff(np.append(first, len(own))).astype(np.uint32)
+                    ends = np.append(np.searchsorted(own, starts[part]), len(own))
+                    rows = [(int(s), kind, _pack(_ids(own[a:b], bits) if kind else own[a:b], size(kind)), counts[a:b].tobytes()) for s, a, b in zip(part, ends[:-1], ends[1:])]
+                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.int32(), pa.int32(), pa.binary(), pa.binary()))], ["segment", "kind", "hashes", "counts"])
 
         for batch in _small(batches):
             grams, at = grams_of(batch.column("text"))[0], 0
@@ -188,7 +206,7 @@ def _counted(docs: DataFrame, bits: int) -> DataFrame:
                     tokens = 0
         yield from flush()
 
-    return docs.select("text").mapInArrow(count, "segment int, kind int, hashes binary, counts binary")
+    return docs.select("text").mapInArrow(_lean(count), "segment int, kind int, hashes binary, counts binary")
 
 
 def build(docs: DataFrame) -> DataFrame:
@@ -209,6 +227,7 @@ def build(docs: DataFrame) -> DataFrame:
             marks = marks_of(hashes if kind else _ids(hashes, bits), level(counts))
             exact = (b"", b"") if kind else (hashes.tobytes(), counts.tobytes())
             out.append((int(own["segment"].iloc[0]), int(kind), *marks, *exact, int(counts.sum()), len(hashes), int((counts == 1).sum()), int((counts == 2).sum())))
+        _release()
         return pd.DataFrame(out, columns=["segment", "kind", "size", "bits", "hashes", "counts", "tokens", "grams", "once", "twice"])
 
     merged = _counted(docs, bits).groupBy("segment").applyInPandas(merge, "segment int, kind int, size long, bits binary, hashes binary, counts binary, tokens long, grams long, once long, twice long")
@@ -264,7 +283,7 @@ def _fit(noted: DataFrame, at_most: Weights) -> Weights:
         yield pa.RecordBatch.from_arrays([pa.array(order), pa.array(pair // 64), pa.array(pair % 64), pa.array(n[order, pair])], ["order", "context", "level", "n"])
 
     total, n = np.zeros((ORDERS, 64)), np.zeros((ORDERS, 64), np.int64)
-    counted = noted.select(*NOTED).mapInArrow(pairs, "order long, context long, level long, n long").groupBy("order", "context", "level").agg(F.sum("n").alias("n"))
+    counted = noted.select(*NOTED).mapInArrow(_lean(pairs), "order long, context long, level long, n long").groupBy("order", "context", "level").agg(F.sum("n").alias("n"))
     for r in sorted(counted.collect()):
         n[r["order"], r["context"]] += r["n"]
         total[r["order"], r["context"]] += r["n"] / max(LEVEL_COUNT[r["level"]], 1)
@@ -319,9 +338,9 @@ def with_levels(rows: DataFrame, parts: Iterator[tuple[int, Filter]]) -> tuple[D
                 yield batch.set_column(batch.schema.get_field_index(NOTED[kind]), NOTED[kind], _bytes_of(found, at))
 
         old = path
-        rows, path = written_to(rows.mapInArrow(fill, rows.schema), "zstd")
+        rows, path = written_to(rows.mapInArrow(_lean(fill), rows.schema), "zstd")
         discard(rows.sparkSession, old)
-        known.unpersist()
+        known.destroy()
     return rows, path
 
 
@@ -356,15 +375,15 @@ def score(docs: DataFrame, train: Column, most_bytes: int = MOST_BYTES) -> DataF
 
     def load(kind: int, first: int = 0, end: int = 1 << bits) -> Filter:
         t = model.where((F.col("kind") == kind) & (F.col("segment") >= first) & (F.col("segment") < end)).select("segment", "size", "bits").toArrow()
-        return Filter([(a, b, c.as_buffer().to_pybytes()) for a, b, c in zip(t["segment"].to_pylist(), t["size"].to_pylist(), t["bits"])], bits)
+        return Filter([(a, b, c.as_buffer()) for a, b, c in zip(t["segment"].to_pylist(), t["size"].to_pylist(), t["bits"])], bits)
 
     rows = docs.select(F.col("doc_id").cast("long"), "text", F.coalesce(train, F.lit(False)).alias("train"))
-    whole, passed = sum(r.bytes for r in sums.values()) <= most_bytes, None
+    whole, passed, filters = sum(r.bytes for r in sums.values()) <= most_bytes, None, []
     if whole:
-        filters = broadcast([load(kind) for kind in range(ORDERS)])
+        filters = [broadcast(load(kind)) for kind in range(ORDERS)]  # the driver holds one at a time
 
         def levels_in(batch: pa.RecordBatch, grams: list[np.ndarray]) -> list[np.ndarray]:
-            return [f.levels(h) for f, h in zip(filters.value, grams)]
+            return [f.value.levels(h) for f, h in zip(filters, grams)]
     else:
         # Segments are ranges of hashes, so they are about equally large and equal ranges of them make the parts.
         def parts() -> Iterator[tuple[int, Filter]]:
@@ -410,8 +429,10 @@ def score(docs: DataFrame, train: Column, most_bytes: int = MOST_BYTES) -> DataF
                 tail = [pa.array(rest[first, 1]), pa.array(np.diff(np.append(first, len(rest))).astype(np.int64))]
                 yield pa.RecordBatch.from_arrays([pa.array(rest[first, 0]), none(m, pa.int64()), none(m, pa.bool_()), none(m, pa.int64()), none(m, pa.int64()), none(m, pa.float64()), *[none(m, pa.binary())] * ORDERS, *tail], names)
 
-    made, _ = written_to(rows.mapInArrow(run, "row long, doc_id long, train boolean, n_tokens long, n_known long, logs double, levels0 binary, levels1 binary, levels2 binary, word long, times long"), "zstd")
+    made, _ = written_to(rows.mapInArrow(_lean(run), "row long, doc_id long, train boolean, n_tokens long, n_known long, logs double, levels0 binary, levels1 binary, levels2 binary, word long, times long"), "zstd")
     discard(spark, passed)
+    for sent in (known, *filters):  # nothing reads them any more; executors would hold them until the driver forgets them
+        sent.destroy()
     weights = _fit(made.where("train"), weights)
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -423,7 +444,7 @@ def score(docs: DataFrame, train: Column, most_bytes: int = MOST_BYTES) -> DataF
     rare = words.where(F.col("n") < least)
     tail = made.where("word is not null").select("row", "word", "times").join(rare, "word")
     tail = tail.groupBy("row").agg(F.sum(F.log10(F.col("n") + 1) * F.col("times")).alias("tail_logs"), F.sum("times").alias("tail_known"))
-    out = made.where("word is null").drop("word", "times").mapInArrow(scored, "row long, doc_id long, train boolean, n_tokens long, n_known long, logs double, score double").join(tail, "row", "left")
+    out = made.where("word is null").drop("word", "times").mapInArrow(_lean(scored), "row long, doc_id long, train boolean, n_tokens long, n_known long, logs double, score double").join(tail, "row", "left")
     base = F.col("logs") + F.coalesce("tail_logs", F.lit(0.0)) - F.col("n_tokens") * F.log10(F.lit(float(total + distinct + 1)))
     return out.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", (F.col("n_known") + F.coalesce("tail_known", F.lit(0))).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"), base.alias("base_score"), "score")
 

@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import math
 import random
+import tracemalloc
 import unicodedata
 import zlib
 from collections import Counter, defaultdict
@@ -467,6 +468,34 @@ def test_counting_holds_a_bounded_number_of_tokens(monkeypatch):
     assert max(n for _, n in sums) <= 1000 and [sum(n for kind, n in sums if kind == order) for order in range(3)] == [tokens] * 3
 
 
+def test_counting_makes_little_beside_its_buffer():
+    class Docs:
+        select = lambda self, *_: self
+        mapInArrow = lambda self, function, _: function
+
+    rows = [" ".join(f"w{i}" for i in range(d * 1000, (d + 1) * 1000)) for d in range(scoring.FLUSH // 1001)]
+    batches = [pa.RecordBatch.from_pydict({"text": rows[d : d + 100]}) for d in range(0, len(rows), 100)]
+    tracemalloc.start()
+    try:
+        kinds = Counter(b["kind"][0].as_py() for b in scoring._counted(Docs(), 6)(iter(batches)))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert len(kinds) == scoring.ORDERS and peak < 1.6 * scoring.ORDERS * scoring.FLUSH * 8
+
+
+def test_no_broadcast_outlives_the_levels(spark, edge, monkeypatch):
+    """With the filters whole and in parts: executors hold none of them when scores are read."""
+    made, context = [], type(spark.sparkContext)
+    real = context.broadcast
+    monkeypatch.setattr(context, "broadcast", lambda self, value: made.append(real(self, value)) or made[-1])
+    for most_bytes in (scoring.MOST_BYTES, 40_000):
+        rows = scoring.score(edge, remainder(F.col("doc_id"), 7) != 2, most_bytes=most_bytes)
+        assert len(made) > 1 and not any(b._jbroadcast.isValid() for b in made)
+        assert rows.count() == edge.count()
+        made.clear()
+
+
 def test_higher_orders_foretell_better(spark):
     """On held-out texts of a language with word order, the model beats the counts of single words, and probabilities
     over all words that follow come to about one."""

@@ -99,12 +99,13 @@ LEVEL_COUNT = np.array([0.0] + [(3 * 2.0 ** (i - 1) - 1) / 2 for i in range(1, 6
 
 
 def _pack(x: np.ndarray, size: int) -> bytes:
-    return x.view(np.uint8).reshape(-1, 8)[:, :size].tobytes()
+    """The lower bytes, all lowest ones first: of sorted numbers the highest repeat, and a shuffle's compression finds that."""
+    return x.view(np.uint8).reshape(-1, 8)[:, :size].T.tobytes()
 
 
 def _unpack(x: bytes, size: int) -> np.ndarray:
     out = np.zeros((len(x) // size, 8), np.uint8)
-    out[:, :size] = np.frombuffer(x, np.uint8).reshape(-1, size)
+    out[:, :size] = np.frombuffer(x, np.uint8).reshape(size, -1).T
     return out.reshape(-1).view(k.U64)
 
 

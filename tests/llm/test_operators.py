@@ -484,6 +484,13 @@ def test_counting_makes_little_beside_its_buffer():
     assert len(kinds) == scoring.ORDERS and peak < 1.6 * scoring.ORDERS * scoring.FLUSH * 8
 
 
+def test_hashes_are_packed_by_planes():
+    for size, x in ((8, kernels.random_words(1000, 3)), (5, kernels.random_words(1000, 4) >> np.uint64(24)), (5, kernels.random_words(0, 5))):
+        assert (scoring._unpack(scoring._pack(x, size), size) == x).all()
+    x = np.sort(kernels.random_words(10_000, 6) >> np.uint64(24))
+    assert len(zlib.compress(scoring._pack(x, 5), 1)) < 0.85 * 5 * len(x)
+
+
 def test_no_broadcast_outlives_the_levels(spark, edge, monkeypatch):
     """With the filters whole and in parts: executors hold none of them when scores are read."""
     made, context = [], type(spark.sparkContext)

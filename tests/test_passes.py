@@ -62,3 +62,20 @@ def test_written_frees_its_shuffles(spark):
 
 def local_folders(spark):
     return [f.getAbsolutePath() + "/x" for f in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()]
+
+
+def test_neighbours_by_words_are_those_by_packed_vectors(spark):
+    rows = experiments(spark, DATA)
+    cells = lines(spark, DATA).select(F.col("material").alias("d0"), F.col("facility").alias("d1")).distinct().orderBy("d0", "d1").limit(4)
+    packed = search.encode_experiments(rows, 64, False, make=vectors.digest_vector)
+    words = bundles.as_arrays(search.encode_words(rows, 64, bundles.digest_word), 64)
+    assert "Exchange" not in words._jdf.queryExecution().executedPlan().toString().replace("BroadcastExchange", "")  # a bundle is a row
+    told = [sorted(map(tuple, gaps.neighbours(rows, e, cells, ["Material", "Facility"], 64, False, make=vectors.digest_vector).collect())) for e in (packed, words)]
+    assert told[0] == told[1] and len(told[0]) == 4 * 5 * 2
+
+
+def test_words_of_several_are_compared_too(spark):
+    rows = seed(spark)
+    words = search.encode_words(rows, 200, bundles.hashed_word)
+    query = bundles.as_arrays(words.where("id = 'EXP-NI-01'"), 200).first().hv
+    assert {r.id: r.similarity for r in bundles.similarities(words, query, 200).collect()}["EXP-NI-01"] == 1.0

@@ -34,6 +34,15 @@ def test_gaps_read_experiments_once(spark, counting):
     assert gaps.analyze(rows, ["Material", "Facility"]).count() > 0 and made() == 6
 
 
+def test_hits_are_made_once(spark, counting):
+    count, made = counting
+    rows = lines(spark, DATA).select("id", "material", "process", "facility").limit(500).cache()
+    asked = spark.createDataFrame([("a", *rows.select("material", "process", "facility").first())], "question string, material string, process string, facility string")
+    hits = search.top_hits(rows.withColumn("id", count("id")), asked, 5)
+    before = made()
+    assert hits.join(hits.select("id"), "id").count() == 5 and hits.first().hits == 500 and made() == before
+
+
 def test_line_items_meet_orders_as_narrow_rows(spark):
     """The join with orders lies below those that add texts, and amounts are whole numbers there."""
     tree = lines(spark, DATA).select("id", "material", "facility", "price", "expert")._jdf.queryExecution().optimizedPlan().toString().split("\n")

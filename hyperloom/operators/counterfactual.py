@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from hyperloom.functions import text
 from hyperloom.operators.entities import entities
+from hyperloom.sources.scratch import freed, written
 
 
 def leave_one_out(experiments: DataFrame) -> DataFrame:
@@ -40,6 +41,8 @@ def pair_counts(experiments: DataFrame) -> DataFrame:
 
 #: Inputs of a target that go to all tasks at most; beyond it, they are joined by a shuffle.
 BROADCAST_INPUTS = 10_000
+#: Paired experiments' ids that go to all tasks at most.
+BROADCAST_IDS = 500_000
 
 
 def for_target(experiments: DataFrame, target: str) -> DataFrame:
@@ -47,7 +50,8 @@ def for_target(experiments: DataFrame, target: str) -> DataFrame:
     one = leave_one_out(experiments.where(F.col("id") == target))
     others = leave_one_out(experiments.where(F.col("id") != target))
     mine = one.select("type", "rest", F.col("key").alias("own_key"), F.col("value").alias("from_value"))
-    known = mine.limit(BROADCAST_INPUTS + 1).collect()
+    with freed(experiments.sparkSession):
+        known = mine.limit(BROADCAST_INPUTS + 1).collect()
     mine = F.broadcast(experiments.sparkSession.createDataFrame(known, mine.schema)) if len(known) <= BROADCAST_INPUTS else mine
     return others.join(mine, ["type", "rest"]).where("key <> own_key").select(F.lit(target).alias("id"), F.col("id").alias("other"), F.col("type").alias("parameter"), "from_value", F.col("value").alias("to_value"))
 
@@ -60,8 +64,12 @@ def outputs(experiments: DataFrame) -> DataFrame:
 
 
 def effects(pairs: DataFrame, experiments: DataFrame) -> DataFrame:
-    """id, other, property, from_output, to_output where a pair's outputs differ."""
-    own = outputs(experiments)
+    """id, other, property, from_output, to_output where a pair's outputs differ. Only the outputs of paired experiments are
+    sought, by one pass; if these are few, the experiments aren't shuffled for it."""
+    pairs = written(pairs.select("id", "other"))
+    ids = written(pairs.select("id").union(pairs.select("other")).distinct())
+    paired = experiments.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "id", "left_semi")
+    own = written(outputs(paired))
     mine = pairs.select("id", "other").join(own.select("id", "property", F.col("value").alias("from_output")), "id")
     theirs = pairs.select("id", "other").join(own.select(F.col("id").alias("other"), "property", F.col("value").alias("to_output")), "other")
     return mine.join(theirs, ["id", "other", "property"], "full_outer").where(~F.col("from_output").eqNullSafe(F.col("to_output")))

@@ -88,3 +88,11 @@ def test_words_of_several_are_compared_too(spark):
     words = search.encode_words(rows, 200, bundles.hashed_word)
     query = bundles.as_arrays(words.where("id = 'EXP-NI-01'"), 200).first().hv
     assert {r.id: r.similarity for r in bundles.similarities(words, query, 200).collect()}["EXP-NI-01"] == 1.0
+
+
+def test_effects_seek_outputs_of_pairs_alone(spark, monkeypatch):
+    rows, sought, outputs = experiments(spark, DATA), [], counterfactual.outputs
+    ids = [r.id for r in rows.orderBy("id").limit(2).collect()]
+    monkeypatch.setattr(counterfactual, "outputs", lambda found: (sought.append(found.count()), outputs(found))[1])
+    found = counterfactual.effects(spark.createDataFrame([tuple(ids)], "id string, other string"), rows).collect()
+    assert {(r.id, r.other) for r in found} == {tuple(ids)} and sought == [2]

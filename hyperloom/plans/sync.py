@@ -10,6 +10,7 @@ from hyperloom.operators import graph
 from hyperloom.plans.adapter import LINES_SQL, experiments, table
 from hyperloom.plans.registry import query
 from hyperloom.plans.stream import shared_folder
+from hyperloom.sources.scratch import freed
 from hyperloom.sources.store import Store
 from hyperloom.streaming import outbox, relay, worker
 
@@ -152,7 +153,8 @@ def worker_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_graph_sync(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every experiment's event published to a folder of messages, read as a stream, decoded and applied as edges."""
     messages = shared_folder(spark, "messages")
-    outbox.encode(experiments(spark, sf_dir), "migration").write.json(messages)
+    with freed(spark):
+        outbox.encode(experiments(spark, sf_dir), "migration").write.option("compression", "gzip").json(messages)
     stream = spark.readStream.schema("event_id string, payload string").json(messages)
     read = outbox.decode(stream).where("event is not null").select("event.experiment.*")
-    return outbox.run_to_end(graph.edges(read), shared_folder(spark, "stream")).groupBy("type").agg(F.count("*").alias("edges"))
+    return outbox.run_to_end(graph.edges(read).drop("experiment_id"), shared_folder(spark, "stream")).groupBy("type").agg(F.count("*").alias("edges"))

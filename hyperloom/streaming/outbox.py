@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from hyperloom import schema
+from hyperloom.sources.scratch import freed
 
 MOST_ATTEMPTS, BATCH, STALE_SECONDS = 5, 50, 300
 
@@ -129,7 +130,8 @@ def run_to_end(stream: DataFrame, folder: str, mode: str = "append", then: Calla
     folder. Give the query a folder that all executors share; checkpoints live beside the results."""
 
     def write(rows: DataFrame, batch: int) -> None:
-        rows.write.mode("overwrite").parquet(f"{folder}/rows/batch={batch}")
+        with freed(rows.sparkSession):
+            rows.write.mode("overwrite").option("compression", "zstd").parquet(f"{folder}/rows/batch={batch}")
         if then:
             then(rows, batch)
 

@@ -96,3 +96,11 @@ def test_effects_seek_outputs_of_pairs_alone(spark, monkeypatch):
     monkeypatch.setattr(counterfactual, "outputs", lambda found: (sought.append(found.count()), outputs(found))[1])
     found = counterfactual.effects(spark.createDataFrame([tuple(ids)], "id string, other string"), rows).collect()
     assert {(r.id, r.other) for r in found} == {tuple(ids)} and sought == [2]
+
+
+@pytest.mark.parametrize(("module", "name"), [(storage, "json_experiments"), (sync, "stream_graph_sync")])
+def test_texts_go_out_compressed(spark, tmp_path, monkeypatch, module, name):
+    monkeypatch.setattr(module, "shared_folder", lambda _, kind="stream": str(tmp_path / kind))
+    assert getattr(module, name)(spark, DATA).count() > 0
+    texts = [x for d, _, names in os.walk(tmp_path) for x in names if ".json" in x and x.startswith("part-")]
+    assert texts and all(x.endswith(".json.gz") for x in texts)

@@ -98,6 +98,21 @@ def test_effects_seek_outputs_of_pairs_alone(spark, monkeypatch):
     assert {(r.id, r.other) for r in found} == {tuple(ids)} and sought == [2]
 
 
+def test_semantic_edges_are_those_of_relations(spark):
+    rows = seed(spark)
+    every = {tuple(r) for r in graph.edges(rows).collect()}
+    assert {tuple(r) for r in graph.semantic_edges(rows).collect()} == {e for e in every if not e[1].startswith("HAS_") and e[1] != "EVIDENCE_FROM"} != set()
+
+
+def test_expand_reads_edges_twice(spark, counting):
+    count, made = counting
+    edges = graph.edges(seed(spark)).select("source", "type", "target").cache()
+    ids = seed(spark).select("id").where("id like 'EXP-NI%'")
+    want = sorted(map(tuple, graph.expand(edges, ids).collect()))
+    got = sorted(map(tuple, graph.expand(edges.withColumn("target", count("target")), ids).collect()))
+    assert got == want and made() <= 2 * edges.count()
+
+
 @pytest.mark.parametrize(("module", "name"), [(storage, "json_experiments"), (sync, "stream_graph_sync")])
 def test_texts_go_out_compressed(spark, tmp_path, monkeypatch, module, name):
     monkeypatch.setattr(module, "shared_folder", lambda _, kind="stream": str(tmp_path / kind))

@@ -113,6 +113,18 @@ def test_expand_reads_edges_twice(spark, counting):
     assert got == want and made() <= 2 * edges.count()
 
 
+def test_within_drops_edges_before_a_shuffle(spark, monkeypatch):
+    rng = random.Random(5)
+    edges = spark.createDataFrame([(f"n{rng.randrange(30)}", "t", f"n{rng.randrange(30)}") for _ in range(200)], "source string, type string, target string")
+    shown = spark.createDataFrame([(f"n{i}",) for i in range(0, 30, 3)], "node string")
+    own = {f"n{i}" for i in range(0, 30, 3)}
+    want = sorted(tuple(r) for r in edges.collect() if r.source in own and r.target in own)
+    few = browse.within(edges, shown)
+    assert sorted(map(tuple, few.collect())) == want
+    monkeypatch.setattr(browse, "BROADCAST_TARGETS", 0)
+    assert sorted(map(tuple, browse.within(edges, shown).collect())) == want
+
+
 @pytest.mark.parametrize(("module", "name"), [(storage, "json_experiments"), (sync, "stream_graph_sync")])
 def test_texts_go_out_compressed(spark, tmp_path, monkeypatch, module, name):
     monkeypatch.setattr(module, "shared_folder", lambda _, kind="stream": str(tmp_path / kind))

@@ -156,3 +156,22 @@ def test_messages_of_relay_are_the_same(spark, events):
     """The worker's transitions are those of `relay.relayed`."""
     rows = events.select("event_id", "payload", F.lit("pending").alias("status"), F.lit(0).alias("attempts"), NOW(0).alias("created_at"), NOW(0).alias("updated_at"))
     assert {r.kind for r in relay.relayed(rows).collect()} == {"published", "failed"}
+
+
+def test_a_large_merge_takes_its_buckets_in_passes(spark, tmp_path, monkeypatch):
+    """Few rows at a time give the same table as all at once, over a merged table and one that was saved whole."""
+    from hyperloom.sources import store as stores
+
+    seen, write = [], Store._write
+    monkeypatch.setattr(Store, "_write", lambda self, df, path, *by: (seen.append(by), write(self, df, path, *by))[1])
+    rows = lambda a, b, v: spark.range(a, b).select("id", F.lit(v).alias("v"))
+    for most in (stores.MERGED_TOGETHER, 20):
+        monkeypatch.setattr(stores, "MERGED_TOGETHER", most)
+        store = Store(spark, str(tmp_path / str(most)), buckets=4)
+        store.upsert("a", rows(0, 60, "old"))
+        store.upsert("a", rows(40, 90, "new"))
+        store.save("b", rows(0, 60, "old"))
+        store.upsert("b", rows(40, 90, "new"))
+        for name in "ab":
+            assert sorted(map(tuple, store.load(name).collect())) == [(i, "old" if i < 40 else "new") for i in range(90)]
+    assert seen.count(("_bucket",)) == 3 + 3 + 4 + 4  # a pass for each merge, then as many as there are buckets or 20 rows
